@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from chaintrail.functions.headers import delimiter_text, needs_repair_text, repair_header_text, sanitise_names
 from chaintrail.functions.text import strip_space
-from chaintrail.session import new_scratch
+from chaintrail.session import materialise, new_scratch
 
-# Defaults of the loader.
+# Defaults of the loader, other names of encodings.
+ENCODING_NAMES = {"utf8": "UTF-8", "latin1": "ISO-8859-1"}
 NULL_TOKEN = "NA"
 DELIMITER = ";"
 ENCODING = "UTF-8"
@@ -38,7 +39,7 @@ def read_csv(
     reader = (
         spark.read.option("sep", delimiter)
         .option("header", header)
-        .option("encoding", encoding)
+        .option("encoding", ENCODING_NAMES.get(encoding, encoding))
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("multiLine", multi_line)
@@ -107,18 +108,23 @@ def infer_schema_from_head(spark: SparkSession, path: str, lines: int = 1000, **
 def read_with_bad_records(
     spark: SparkSession, path: str, schema: str, delimiter: str = DELIMITER, **options: object
 ) -> tuple[DataFrame, DataFrame]:
-    """(good rows, raw text of rows that do not fit the schema)."""
+    """(good rows, raw text of rows that do not fit the schema).
+
+    The parsed rows are written once: both results then rest on the same full parse,
+    whatever columns are used later.
+    """
     whole = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-    df = read_csv(
+    parsed = read_csv(
         spark, path, delimiter, whole, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **{"multi_line": False, **options}
     )
+    df = materialise(parsed, "parsed")
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return good, df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
 
 
-def read_strings(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = "utf8", multi_line: bool = True) -> DataFrame:
+def read_strings(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool = True) -> DataFrame:
     """Plain scan, every column a string."""
-    return spark.read.csv(path, sep=sep, encoding=encoding, header=True, multiLine=multi_line)
+    return spark.read.csv(path, sep=sep, encoding=ENCODING_NAMES.get(encoding, encoding), header=True, multiLine=multi_line)
 
 
 def read_trimmed(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool = True) -> DataFrame:
