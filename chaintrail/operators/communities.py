@@ -137,8 +137,8 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
     state = materialise(state, "state")
     spread = split.spread(links, ["src"]).repartition(*split.keys()).persist()
     loops = vertices.agg(F.sum("loop")).first()[0] or 0.0
-    best_state, best_q, first_q = state, None, None
-    for turn in range(max_iterations + 1):
+    best_state, best_q, first_q, idle = state, None, None, 0
+    for turn in range(2 * max_iterations + 1):
         sums = state.groupBy("community").agg(F.sum("k").alias("sum_k"))
         ends = split.repeat(state.select(F.col("id").alias("end"), F.col("community").alias("c")), "end")
         link = spread.join(ends, split.on(spread, ends, "end")).groupBy("src", "c").agg(F.sum("weight").alias("to_c"))
@@ -168,16 +168,17 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
             ),
             "judged",
         )
-        inner = judged.agg(F.sum("to_own")).first()[0] or 0.0
-        squares = judged.groupBy("community").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+        per = judged.groupBy("community").agg(F.sum("k").alias("s"), F.sum("to_own").alias("own"), F.max(F.col("next") != F.col("community")).alias("moves"))
+        inner, squares, moves = per.agg(F.sum("own"), F.sum(F.col("s") * F.col("s")), F.max("moves")).first()
         q = (inner + loops) / double_m - squares / (double_m * double_m)
         if first_q is None:
             first_q = q
-        if best_q is not None and q <= best_q + (tolerance if turn % 2 == 1 else 0.0):
-            if q > best_q:
-                best_q, best_state = q, state
+        idle = 0 if best_q is None or q > best_q + tolerance else idle + 1
+        if best_q is None or q > best_q:
+            best_q, best_state = q, state
+        # each turn moves half of the nodes: two turns in a row must bring nothing
+        if idle >= 2 and (q < best_q or not moves or idle >= 3):
             break
-        best_q, best_state = q, state
         state = judged.select("id", "k", F.col("next").alias("community"))
     spread.unpersist()
     return best_q > first_q + 1e-12, best_state.select("id", "community")

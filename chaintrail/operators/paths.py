@@ -11,6 +11,7 @@ from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
 from chaintrail.session import materialise
 
 MAX_NODES = 10
+MERGE_SHARE = 10  # merge once improvements exceed a tenth of the tree
 
 
 def target_year_edges(flows: DataFrame, year: int) -> DataFrame:
@@ -47,11 +48,16 @@ def shortest_path_tree(edges: DataFrame, sources: DataFrame, rows_per_part: int
     keeps per pair the least (cost, hops, pred); it ends when nothing improves, so
     no bound on hops can hide a cheaper long path. A pair carries its predecessor,
     not its path. Edges stay partitioned by their start, hubs cut into parts.
+
+    While many pairs improve, the tree is rewritten each round. Once few do, the
+    improvements are kept beside it: the tree is only scanned for the pairs in
+    question, neither shuffled nor rewritten, until the next merge.
     """
     split = HotKeySplit(edges, "src", rows_per_part)
     lightest = edges.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     steps = materialise(split.spread(lightest, ["dst"]), "steps").repartition(*split.keys()).persist()
     pred_type = edges.schema["src"].dataType
+    pair = ["source", "target"]
     tree = materialise(
         sources.select(
             F.col("id").alias("source"),
@@ -62,33 +68,57 @@ def shortest_path_tree(edges: DataFrame, sources: DataFrame, rows_per_part: int
         ),
         "tree",
     )
-    turn = 0
-    while True:
+    tree_rows = tree.count()
+    fresh, fresh_rows, beside, beside_rows, turn = tree, tree_rows, [], 0, 0
+    while fresh_rows:
         turn += 1
-        fresh = tree.where(F.col("best.turn") == turn - 1).select("source", F.col("target").alias("at"), "best")
-        if turn > 1 and fresh.isEmpty():
-            break
-        starts = split.repeat(fresh, "at")
-        reached = starts.join(steps, split.on(steps, starts, "at")).select(
-            "source",
-            F.col("dst").alias("target"),
-            F.struct(
-                (F.col("best.cost") + F.col("weight")).alias("cost"),
-                (F.col("best.hops") + 1).alias("hops"),
-                F.col("at").alias("pred"),
-                F.lit(turn).alias("turn"),
-            ).alias("best"),
-        )
-        tree = materialise(
-            tree.union(reached.where(F.col("source") != F.col("target")))
-            .groupBy("source", "target")
-            .agg(F.min("best").alias("best")),
-            "tree",
+        starts = split.repeat(fresh.select("source", F.col("target").alias("at"), "best"), "at")
+        reached = (
+            starts.join(steps, split.on(steps, starts, "at"))
+            .where(F.col("source") != F.col("dst"))
+            .select(
+                "source",
+                F.col("dst").alias("target"),
+                F.struct(
+                    (F.col("best.cost") + F.col("weight")).alias("cost"),
+                    (F.col("best.hops") + 1).alias("hops"),
+                    F.col("at").alias("pred"),
+                    F.lit(turn).alias("turn"),
+                ).alias("best"),
+            )
         )
+        known = _stack([tree, *beside])
+        if (fresh_rows + beside_rows) * MERGE_SHARE > tree_rows:
+            tree = materialise(known.union(reached).groupBy(*pair).agg(F.min("best").alias("best")), "tree")
+            tree_rows, beside, beside_rows = tree.count(), [], 0
+            fresh = tree.where(F.col("best.turn") == turn)
+            fresh_rows = fresh.count()
+        else:
+            tried = materialise(reached.groupBy(*pair).agg(F.min("best").alias("new")), "tried")
+            asked = known.join(tried.select(*pair), pair, "left_semi").groupBy(*pair).agg(F.min("best").alias("old"))
+            fresh = materialise(
+                tried.join(asked, pair, "left")
+                .where(F.col("old").isNull() | (F.col("new") < F.col("old")))
+                .select(*pair, F.col("new").alias("best")),
+                "fresh",
+            )
+            fresh_rows = fresh.count()
+            beside, beside_rows = [*beside, fresh], beside_rows + fresh_rows
     steps.unpersist()
+    if beside_rows:
+        # a pair's latest improvement is its best; the tree keeps the pairs not improved
+        late = materialise(_stack(beside).groupBy(*pair).agg(F.min("best").alias("best")), "late")
+        tree = tree.join(late.select(*pair), pair, "left_anti").union(late)
     return tree.select("source", "target", "best.cost", "best.hops", "best.pred")
 
 
+def _stack(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.union(df)
+    return out
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int = MAX_NODES, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """(source, target, total_cost, node_ids, costs) of cheapest paths of at most max_nodes nodes.
 
@@ -123,10 +153,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int = MAX_NO
             break
         levels.append(level)
     tree.unpersist()
-    out = levels[0]
-    for df in levels[1:]:
-        out = out.union(df)
-    return out
+    return _stack(levels)
 
 
 def nearest_source(paths: DataFrame, min_length: int = 2) -> DataFrame:
