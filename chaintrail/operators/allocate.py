@@ -41,12 +41,15 @@ def _produced(area: Column, exports: Column, total_area: Column, share: float) -
 
 
 def _per_year(df: DataFrame, flows: DataFrame, years: Iterable[object]) -> DataFrame:
-    """Every row once per year, with that year's exports (0 without any)."""
-    wanted = F.array(*[F.lit(str(y)) for y in years])
-    exports = flows.groupBy("YEAR").agg(F.sum("volume_raw").alias("exports"))
+    """Every row once per year, with that year's exports (0 without any).
+
+    The exports are one row per listed year at most, so they are always broadcast.
+    """
+    names = [str(y) for y in years]
+    exports = flows.where(F.col("YEAR").isin(names)).groupBy("YEAR").agg(F.sum("volume_raw").alias("exports"))
     return (
-        df.withColumn("YEAR", F.explode(wanted))
-        .join(exports, "YEAR", "left")
+        df.withColumn("YEAR", F.explode(F.array(*[F.lit(y) for y in names])))
+        .join(F.broadcast(exports), "YEAR", "left")
         .withColumn("exports", F.coalesce(F.col("exports"), F.lit(0.0)))
     )
 

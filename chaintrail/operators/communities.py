@@ -139,13 +139,17 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
     loops = vertices.agg(F.sum("loop")).first()[0] or 0.0
     best_state, best_q, first_q, idle = state, None, None, 0
     for turn in range(2 * max_iterations + 1):
+        # a community's strength travels with its members, so edges never join on a community
         sums = state.groupBy("community").agg(F.sum("k").alias("sum_k"))
-        ends = split.repeat(state.select(F.col("id").alias("end"), F.col("community").alias("c")), "end")
-        link = spread.join(ends, split.on(spread, ends, "end")).groupBy("src", "c").agg(F.sum("weight").alias("to_c"))
         own = state.join(sums, "community").select("id", "k", "community", F.col("sum_k").alias("own_sum"))
+        ends = split.repeat(own.select(F.col("id").alias("end"), F.col("community").alias("c"), F.col("own_sum").alias("sum_k")), "end")
+        link = (
+            spread.join(ends, split.on(spread, ends, "end"))
+            .groupBy("src", "c")
+            .agg(F.sum("weight").alias("to_c"), F.max("sum_k").alias("sum_k"))
+        )
         options = (
-            link.join(sums.select(F.col("community").alias("c"), "sum_k"), "c")
-            .join(own, F.col("src") == F.col("id"))
+            link.join(own, F.col("src") == F.col("id"))
             .groupBy("id")
             .agg(
                 F.max(F.when(F.col("c") == F.col("community"), F.col("to_c"))).alias("to_own"),

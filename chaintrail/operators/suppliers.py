@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chaintrail.operators.groups import could_come_from
@@ -49,7 +49,9 @@ def second_degree_groups(
 ) -> DataFrame:
     """Groups ag2 -> farm -> ag1 -> target whose farm of origin does not send to the target itself.
 
-    `via` is a condition on the farm in between, over its column farm_id.
+    `via` is a condition on the farm in between, over its column farm_id. With a
+    limit the first pairs by (ag1, ag2) are wanted; each of them takes one of the
+    first `limit` groups of its farm on either side, so no more than those meet.
     """
     ag1 = groups.where((F.col("dest_id") == F.lit(target)) & (F.col("dest_label") == SLAUGHTERHOUSE)).select(
         F.col("id").alias("ag1"), F.col("origin_id").alias("farm_id")
@@ -58,15 +60,20 @@ def second_degree_groups(
         F.col("id").alias("ag2"), F.col("dest_id").alias("farm_id"), F.col("origin_id").alias("second_farm_id")
     )
     direct = flows.where(F.col("dst") == F.lit(target)).select(F.col("src").alias("second_farm_id")).distinct()
-    paths = (
-        ag1.where(via)
-        .join(ag2.where(via).join(direct, "second_farm_id", "left_anti"), "farm_id")
-        .where(F.col("ag1") != F.col("ag2"))
-        .select("ag1", "farm_id", "ag2", "second_farm_id")
-    )
+    ag1, ag2 = ag1.where(via), ag2.where(via).join(direct, "second_farm_id", "left_anti")
+    if limit is not None:
+        ag1, ag2 = _first_of_farm(ag1, "ag1", limit), _first_of_farm(ag2, "ag2", limit)
+    # ag1 goes to a slaughterhouse and ag2 to a farm: the two never coincide
+    paths = ag1.join(ag2, "farm_id").select("ag1", "farm_id", "ag2", "second_farm_id")
     return paths if limit is None else paths.orderBy("ag1", "ag2").limit(limit)
 
 
+def _first_of_farm(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The k least keys per farm; the engine keeps k per task before it shuffles."""
+    place = F.row_number().over(Window.partitionBy("farm_id").orderBy(key))
+    return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def supplier_degrees(groups: DataFrame, target: object, years: Iterable[int]) -> DataFrame:
     """(farm_id, year, degree, animals) of one slaughterhouse, all years in one pass.
 

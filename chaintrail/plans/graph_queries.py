@@ -233,7 +233,7 @@ def farm_inflow(spark: SparkSession, sf: str) -> DataFrame:
         """
     SELECT a.id AS ag1, a.origin_id AS farm_id, b.id AS ag2, b.origin_id AS second_farm_id
     FROM grp a JOIN grp b ON a.origin_id = b.dest_id
-    WHERE a.dest_id = 1 AND b.dest_label = 'Farm' AND a.id <> b.id
+    WHERE a.dest_id = 1 AND b.dest_label = 'Farm'
       AND a.origin_id = (SELECT min(origin_id) FROM grp WHERE dest_id = 1)
       AND b.origin_id NOT IN (SELECT src FROM flows WHERE dst = 1)
     ORDER BY 1, 3 LIMIT 3""",

