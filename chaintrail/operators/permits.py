@@ -28,9 +28,9 @@ class Graph:
     edges: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def node_id(tax: Column, name: Column) -> Column:
-    """Injective text id of a (tax number, name) node."""
-    return F.concat(F.length(tax).cast("string"), F.lit(":"), tax, F.lit(":"), name)
+def node_id(label: str, tax: Column, name: Column) -> Column:
+    """Injective text id of a (label, tax number, name) node."""
+    return F.concat(F.lit(label), F.lit(":"), F.length(tax).cast("string"), F.lit(":"), tax, F.lit(":"), name)
 
 
 def normalise_permits(raw: DataFrame) -> DataFrame:
@@ -43,14 +43,14 @@ def normalise_permits(raw: DataFrame) -> DataFrame:
         F.col("TRANSPORT_DATE").cast("date").alias("gta_date"),
         F.col("TRANSPORT_YEAR").cast("int").alias("year"),
         slaughter.alias("slaughter_gta"),
-        node_id(*origin).alias("origin_id"),
+        node_id(FARM, *origin).alias("origin_id"),
         origin[0].alias("origin_tax"),
         origin[1].alias("origin_name"),
         key_text(F.col("ORIGIN_GEOCODE")).alias("origin_geocode"),
         F.col("ORIGIN_CITY").alias("origin_city"),
         key_text(F.col("ORIGIN_STATE")).alias("origin_state"),
         key_text(F.col("ORIGIN_CODE")).alias("origin_code"),
-        F.when(slaughter.isNotNull(), node_id(*dest)).alias("dest_id"),
+        F.when(slaughter, node_id(SLAUGHTERHOUSE, *dest)).when(~slaughter, node_id(FARM, *dest)).alias("dest_id"),
         F.when(slaughter, SLAUGHTERHOUSE).when(~slaughter, FARM).alias("dest_label"),
         F.col("DESTINATION_TAX_NUMBER").isNotNull().alias("dest_tax_known"),
         dest[0].alias("dest_tax"),

@@ -43,6 +43,14 @@ def missing_hashes(here: DataFrame, there: DataFrame) -> DataFrame:
     return here.select(HASH).distinct().join(there.select(HASH).distinct(), HASH, "left_anti")
 
 
+def changed_hashes(source: DataFrame, dest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new, stale) distinct fingerprints, each written once and read from there."""
+    return (
+        materialise(missing_hashes(source, dest), "new-hashes"),
+        materialise(missing_hashes(dest, source), "stale-hashes"),
+    )
+
+
 def changes(source: DataFrame, dest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(inserts, deletes) between fingerprinted frames.
 
@@ -51,9 +59,9 @@ def changes(source: DataFrame, dest: DataFrame) -> tuple[DataFrame, DataFrame]:
     the planner broadcast it and leave the full rows where they are; a large one is
     shuffled.
     """
-    inserts = source.join(materialise(missing_hashes(source, dest), "new-hashes"), HASH, "left_semi")
-    deletes = dest.join(materialise(missing_hashes(dest, source), "stale-hashes"), HASH, "left_semi")
-    return inserts.select(source.columns), deletes.select(dest.columns)
+    new, stale = changed_hashes(source, dest)
+    inserts = source.join(new, HASH, "left_semi").select(source.columns)
+    return inserts, dest.join(stale, HASH, "left_semi").select(dest.columns)
 
 
 def apply_changes(dest: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
@@ -135,6 +143,12 @@ class VersionedTable:
         log = inserts.withColumn("_op", F.lit("insert")).unionByName(gone.withColumn("_op", F.lit("delete")))
         return self._write(log, max(self._generations()))
 
+    def inserted(self, version: int) -> int:
+        """Rows inserted by one version, counted from what was written."""
+        generation = next(g for g, known in self._generations().items() if version in known)
+        log = self.spark.read.parquet(f"{self.path}/generation={generation}/version={version}")
+        return log.where(F.col("_op") == "insert").count()
+
     def _write(self, log: DataFrame, generation: int) -> int:
         version = max(self.versions(), default=-1) + 1
         log.write.mode("overwrite").parquet(f"{self.path}/generation={generation}/version={version}")
@@ -193,12 +207,13 @@ def replicate(
         if schema_info(source, [HASH]) != schema_info(current, [HASH]):
             outcome = Outcome(name, "schema-changed", version=dest.refresh(hashed))
         else:
-            inserts, deletes = changes(hashed, current)
-            added, gone = inserts.count(), deletes.count()
-            if added or gone:
-                outcome = Outcome(name, "changed", added, gone, dest.append(inserts, deletes))
-            else:
+            new, stale = changed_hashes(hashed, current)
+            if new.isEmpty() and stale.isEmpty():
                 outcome = Outcome(name, "unchanged", version=max(dest.versions()))
+            else:
+                gone = current.select(HASH).join(stale, HASH, "left_semi").count()
+                version = dest.append(hashed.join(new, HASH, "left_semi").select(hashed.columns), stale)
+                outcome = Outcome(name, "changed", dest.inserted(version), gone, version)
     if stamp:
         dest.set_stamp(stamp)
     return outcome

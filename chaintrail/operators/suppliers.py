@@ -136,14 +136,18 @@ def supply_shed(degrees: DataFrame, farms: DataFrame, years: list[int], places:
     `places` (farm_id, city_name, city_geocode) fans out farms of several cities and
     drops farms of none.
     """
-    measures = []
-    for y in years:
-        for degree in DEGREES:
-            picked = F.sum(F.when((F.col("year") == y) & (F.col("degree") == degree), F.col("animals")))
-            if y == years[0] and degree == DEGREES[0]:
-                picked = F.coalesce(picked, F.lit(0))
-            measures.append(picked.alias(f"{degree}_{y}"))
-    wide = degrees.groupBy("farm_id").agg(*measures)
+    cols = [f"{degree}_{y}" for y in years for degree in DEGREES]
+    picked = [
+        F.sum(F.when((F.col("year") == y) & (F.col("degree") == degree), F.col("animals"))).alias(f"{degree}_{y}")
+        for y in years
+        for degree in DEGREES
+    ]
+    wide = (
+        degrees.groupBy("farm_id")
+        .agg(*picked)
+        .where(has_any_degree(*[F.col(c) for c in cols]))
+        .withColumn(cols[0], F.coalesce(F.col(cols[0]), F.lit(0)))
+    )
     named = wide.join(
         farms.select(F.col("id").alias("farm_id"), F.col("name").alias("Farm_name"), F.col("tax_number").alias("Tax_number")),
         "farm_id",
@@ -152,7 +156,6 @@ def supply_shed(degrees: DataFrame, farms: DataFrame, years: list[int], places:
     if places is not None:
         named = named.join(places, "farm_id").withColumnsRenamed({"city_name": "City_name", "city_geocode": "City_geocode"})
         names = ["City_name", "City_geocode", *names]
-    cols = [f"{degree}_{y}" for y in years for degree in DEGREES]
     return named.select(*names, *cols).orderBy(F.desc(cols[0]), *names[::-1])
 
 

@@ -187,10 +187,11 @@ PARTS: dict[str, tuple[list[str], str]] = {
         SELECT CAST(o_orderkey AS VARCHAR) AS gta_id, CAST(o_orderdate AS DATE) AS gta_date,
                CAST(year(o_orderdate) AS INTEGER) AS year,
                CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderstatus = 'F' END AS slaughter_gta,
-               concat(length(o.tax), ':', o.tax, ':', o.name) AS origin_id, o.tax AS origin_tax, o.name AS origin_name,
+               concat('Farm:', length(o.tax), ':', o.tax, ':', o.name) AS origin_id, o.tax AS origin_tax, o.name AS origin_name,
                o.geocode AS origin_geocode, concat(o.nation, '-', o_orderstatus) AS origin_city, o.state AS origin_state,
                concat('F-', o.tax) AS origin_code,
-               CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN concat(length(d.tax), ':', d.tax, ':', d.name) END AS dest_id,
+               CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN concat(CASE WHEN o_orderstatus = 'F' THEN 'Slaughterhouse:' ELSE 'Farm:' END,
+                                                                         length(d.tax), ':', d.tax, ':', d.name) END AS dest_id,
                CASE WHEN o_orderpriority <> '4-NOT SPECIFIED'
                     THEN CASE WHEN o_orderstatus = 'F' THEN 'Slaughterhouse' ELSE 'Farm' END END AS dest_label,
                d.tax AS dest_tax, d.name AS dest_name, d.geocode AS dest_geocode,

@@ -62,18 +62,32 @@ def first_line(spark: SparkSession, path: str) -> str:
     return rows[0][0]
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a line break, seen from the lines alone.
+
+    Such a field leaves a line with an odd number of quotes. An escaped quote is
+    not followed up and counts as a yes. Lines are split between tasks.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.translate(line, '"', ""))
+    odd = (quotes % 2 == 1) | F.contains(line, F.lit('\\"'))
+    return not spark.read.text(path, lineSep="\n").where(odd).isEmpty()
+
+
 def read_repaired(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
     multi_line: bool = True,
+    corrupt: str | None = None,
     **options: object,
 ) -> tuple[DataFrame, str]:
     """(frame, delimiter): delimiter found and header repaired while reading.
 
     A header that needs repair gives clean column names, and carriage returns left
     in the body become blanks; no copy of the file is written. Only the header line
-    reaches the driver.
+    reaches the driver. With `corrupt`, that column holds the text of rows that do
+    not fit.
     """
     header = first_line(spark, path)
     delimiter = delimiter_text(header)
@@ -85,9 +99,12 @@ def read_repaired(
         kinds += [T.StringType()] * (len(names) - len(kinds))
         unique = sanitise_names(names, " ")
         schema = T.StructType([T.StructField(n, t) for n, t in zip(unique, kinds, strict=False)])
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    if corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        options = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     df = read_csv(spark, path, delimiter, schema, multi_line=multi_line, line_sep="\n", **options)
     if damaged:
-        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({c: F.translate(F.col(f"`{c}`"), "\r", " ") for c in texts})
     return df, delimiter
 

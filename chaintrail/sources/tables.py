@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chaintrail.functions.headers import bronze_name_text
 from chaintrail.operators.columns import sanitise_columns
-from chaintrail.sources.csv_files import infer_schema_from_head, read_csv, read_repaired
+from chaintrail.session import materialise
+from chaintrail.sources.csv_files import CORRUPT, infer_schema_from_head, read_csv, read_repaired, spans_lines
 from chaintrail.sources.listing import list_csv_files, list_files
 
 # Bytes from which the schema is taken from the head of a file.
@@ -51,18 +52,25 @@ def table_properties(spark: SparkSession, name: str, keys: Iterable[str]) -> Dat
 def load_csv(spark: SparkSession, path: str, database: str, length: int = 0, mode: str = "overwrite", table: str = "", note: str = "") -> str:
     """One CSV file or dataset into a bronze table; returns the table's name.
 
-    From BIG_FILE_BYTES on the schema comes from the head and the file is split.
+    From BIG_FILE_BYTES on the schema comes from the head and the file is split,
+    unless a quoted field may span lines. Rows that do not fit go, as text, to a
+    second table with the suffix _bad_records.
     """
-    name = f"`{database}`.`{table or bronze_name_text(path.rstrip('/').rsplit('/', 1)[-1])}`"
-    if length > BIG_FILE_BYTES:
-        df, delimiter = read_repaired(spark, path, infer_schema_from_head(spark, path), multi_line=False)
+    plain = table or bronze_name_text(path.rstrip("/").rsplit("/", 1)[-1])
+    name = f"`{database}`.`{plain}`"
+    if length > BIG_FILE_BYTES and not spans_lines(spark, path):
+        df, delimiter = read_repaired(spark, path, infer_schema_from_head(spark, path), multi_line=False, corrupt=CORRUPT)
     else:
-        df, delimiter = read_repaired(spark, path)
-    save_table(sanitise_columns(df), name, mode)
+        df, delimiter = read_repaired(spark, path, corrupt=CORRUPT)
+    parsed = materialise(df, "parsed")
+    good, bad = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.where(F.col(CORRUPT).isNotNull())
+    properties = {"source_csv_file": path, "write_mode": mode, "source_delimiter": delimiter}
+    save_table(sanitise_columns(good), name, mode)
+    if not bad.isEmpty():
+        properties["bad_records"] = f"{plain}_bad_records"
+        save_table(bad.select(F.col(CORRUPT).alias("record")), f"`{database}`.`{plain}_bad_records`", mode)
     comment = f"Table schema and data created automatically from {path}" + (f" . {note}" if note else "")
-    describe_table(
-        spark, name, comment, {"source_csv_file": path, "write_mode": mode, "source_delimiter": delimiter}
-    )
+    describe_table(spark, name, comment, properties)
     return name
 
 
