@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chaintrail.functions.measures import path_length, path_weight
 from chaintrail.operators.permits import SLAUGHTERHOUSE
 from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
-from chaintrail.session import materialise
+from chaintrail.session import discard, materialise
 
 MAX_NODES = 10
 MERGE_SHARE = 10  # merge once improvements exceed a tenth of the tree
@@ -89,8 +89,9 @@ def shortest_path_tree(edges: DataFrame, sources: DataFrame, rows_per_part: int
         )
         known = _stack([tree, *beside])
         if (fresh_rows + beside_rows) * MERGE_SHARE > tree_rows:
-            tree = materialise(known.union(reached).groupBy(*pair).agg(F.min("best").alias("best")), "tree")
-            tree_rows, beside, beside_rows = tree.count(), [], 0
+            merged = materialise(known.union(reached).groupBy(*pair).agg(F.min("best").alias("best")), "tree")
+            discard(tree, *beside)
+            tree, tree_rows, beside, beside_rows = merged, merged.count(), [], 0
             fresh = tree.where(F.col("best.turn") == turn)
             fresh_rows = fresh.count()
         else:
@@ -103,6 +104,7 @@ def shortest_path_tree(edges: DataFrame, sources: DataFrame, rows_per_part: int
                 "fresh",
             )
             fresh_rows = fresh.count()
+            discard(tried)
             beside, beside_rows = [*beside, fresh], beside_rows + fresh_rows
     steps.unpersist()
     if beside_rows:

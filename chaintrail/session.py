@@ -54,4 +54,20 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = new_scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete step tables that a later step has replaced; others than those are left alone.
+
+    Long iterations would otherwise keep every round on the shared folder.
+    """
+    for df in steps:
+        path = getattr(df, "_scratch_path", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
