@@ -91,7 +91,7 @@ def exact_percentile(df: DataFrame, column: str, q: float, bounded_rows: int = 1
     position, below, inside = q * (total - 1), 0, total
     while distinct > bounded_rows:
         # ranks of distinct values are bracketed by halving on the value axis
-        edges = values.agg(F.percentile_approx("v", [i / 64 for i in range(65)], 100_000, ).alias("e")).first()["e"]
+        edges = values.agg(F.percentile_approx("v", [i / 64 for i in range(65)], 100_000).alias("e")).first()["e"]
         parts = (
             values.withColumn("b", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))))
             .groupBy("b")

@@ -10,10 +10,10 @@ from chaintrail.functions.text import clean_breaks, map_values, simple_code
 from chaintrail.operators import allocate as A
 from chaintrail.operators import registry as G
 from chaintrail.operators import replicate as R
-from chaintrail.operators.columns import duplicates, keep_first
+from chaintrail.operators.columns import duplicates
 from chaintrail.plans import fixtures as fx
 from chaintrail.plans.sql_parts import sql
-from chaintrail.session import materialise, new_scratch
+from chaintrail.session import new_scratch
 from chaintrail.sources import jdbc
 
 QUERIES: dict = {}
