@@ -7,9 +7,10 @@
    out that many less one, and leaves out its most frequent values: boilerplate.
 3. In every list each class meets the list's first class. The union of both sketches
    estimates the similarity, hopeless pairs go, and the full sets decide about the rest.
-4. Lists whose classes are not yet one component are swept in blocks: on sketches first,
-   which leaves classes with a possible partner in another component, then on full sets.
-   A block's task returns a spanning forest of the links it finds, never all pairs.
+4. Lists whose classes are not yet one component are swept in blocks, on sketches: a block's
+   task returns a spanning forest of the pairs that are possible links between components.
+   Each component of these forests is swept once more, on full sets, for a forest of links.
+   No step emits all pairs.
 
 Nothing is capped: a list of any length is cut into blocks, and all pairs of blocks with more
 than one component are compared.
@@ -37,7 +38,7 @@ from chaintrail.session import materialise
 
 SKETCH, INDEXED, MISS = 64, 24, 1e-9
 #: Of one block in a sweep: classes, and shingles of their texts.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
 #: Classes that one hub meets in one task.
 HUB_ROWS = 2000
 
@@ -125,22 +126,28 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def _forest(pairs: np.ndarray, roots: dict[int, int]) -> list[tuple[int, int]]:
-    """Those of the pairs (of component ids) that connect what was not connected before."""
-    kept = []
-
-    def find(x: int) -> int:
-        while roots.setdefault(x, x) != x:
-            roots[x] = roots[roots[x]]
-            x = roots[x]
-        return x
-
-    for i, (x, y) in enumerate(pairs):
-        a, b = find(int(x)), find(int(y))
-        if a != b:
-            roots[max(a, b)] = min(a, b)
-            kept.append(i)
-    return kept
+def _forest(ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (x[i], y[j]) with ok[i, j]; x and y are row numbers."""
+    rows = [ok, np.ascontiguousarray(ok.T)]
+    sides, todo = [x, y], [ok.any(axis=1), ok.any(axis=0)]
+    same = len(x) == len(y) and bool((x == y).all())
+    edges = []
+    for start in np.flatnonzero(todo[0]):
+        if not todo[0][start]:
+            continue
+        todo[0][start] = False
+        if same:
+            todo[1][start] = False
+        stack = [(0, int(start))]
+        while stack:
+            side, at = stack.pop()
+            new = np.flatnonzero(rows[side][at] & todo[1 - side])
+            todo[1 - side][new] = False
+            if same:
+                todo[side][new] = False
+            edges += [(int(sides[side][at]), int(sides[1 - side][j])) for j in new]
+            stack += [(1 - side, int(j)) for j in new]
+    return edges
 
 
 def _star_pairs(index: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -259,6 +266,11 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
     comps = components(stars)
     open_lists = materialise(_residual(index, comps, reps), "open-lists")
 
+    def edges_of(g: pd.DataFrame, ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        pairs = np.array(_forest(ok, x, y), dtype=np.int64).reshape(-1, 2)
+        rep = g["rep"].to_numpy()
+        return pd.DataFrame({"hub": rep[pairs[:, 0]], "rep": rep[pairs[:, 1]]})
+
     def possible(g: pd.DataFrame) -> pd.DataFrame:
         x, y = _halves(g)
         sets = [np.asarray(s).view(np.uint64)[:SKETCH] for s in g["body"]]
@@ -268,26 +280,23 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
         # at least `floor` of the union sketch lies in both, and so in both sketches
         need = np.ceil(floor * np.minimum(large, SKETCH) - 1e-9)
         ok = (both >= need) & (den * small >= num * large) & (comp[x][:, None] != comp[y][None, :])
-        stay = np.union1d(x[ok.any(axis=1)], y[ok.any(axis=0)])
-        return g.iloc[stay][["value", "rep", "comp", "n"]]
+        return edges_of(g, ok, x, y)
 
     def verified(g: pd.DataFrame) -> pd.DataFrame:
         x, y = _halves(g)
         sets = shingle_sets(pa.array(g["body"], pa.string()), k)
-        comp, rep = g["comp"].to_numpy(), g["rep"].to_numpy()
+        comp = g["comp"].to_numpy()
         n = np.array([len(s) for s in sets], dtype=np.float64)
         both = _overlap([sets[i] for i in x], [sets[i] for i in y]).astype(np.float64)
         union = n[x][:, None] + n[y][None, :] - both
-        p, q = np.nonzero((den * both >= num * union) & (comp[x][:, None] != comp[y][None, :]))
-        p, q = x[p], y[q]
-        kept = _forest(np.stack([comp[p], comp[q]], axis=1), {})
-        return pd.DataFrame({"hub": rep[p[kept]], "rep": rep[q[kept]]})
-
-    schema = "value long, rep long, comp long, n long"
-    open_lists = open_lists.withColumn("one", F.lit(1))
-    plausible = _sweep(open_lists, sketch, "one", BLOCK_ROWS, possible, schema).distinct()
-    plausible = materialise(plausible, "plausible")
-    more = _sweep(plausible, texts, "n", BLOCK_SHINGLES, verified, "hub long, rep long")
+        return edges_of(g, (den * both >= num * union) & (comp[x][:, None] != comp[y][None, :]), x, y)
+
+    schema = "hub long, rep long"
+    plausible = _sweep(open_lists.withColumn("one", F.lit(1)), sketch, "one", BLOCK_ROWS, possible, schema)
+    # a pair is plausible only within one component of the plausible pairs: a class is swept once
+    groups = components(materialise(plausible, "plausible")).select(F.col("component").alias("value"), F.col("node").alias("rep"))
+    members = groups.join(open_lists.select("rep", "comp", "n").distinct(), "rep")
+    more = _sweep(materialise(members, "groups"), texts, "n", BLOCK_SHINGLES, verified, schema)
     return stars.unionByName(more)
 
 
