@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaintrail.llm.arrow_text import shingle_sets, slices
+from chaintrail.llm.arrow_text import ragged_take, shingle_sets, slices
 from chaintrail.llm.graph import components
 from chaintrail.llm.registry import query, table
 from chaintrail.session import materialise
@@ -102,27 +102,41 @@ def _index(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets in `a` with all in `b`: one matrix product over shared values."""
-    left, right = np.concatenate(a), np.concatenate(b)
-    shared = np.intersect1d(left, right)
+    """Intersection sizes of all sets in `a` with all in `b`.
+
+    Values that few sets hold add their pairs one by one, frequent ones through a matrix product.
+    """
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
     counts = np.zeros((len(a), len(b)), dtype=np.float32)
-    width = 4096
-    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b)]
     places = []
-    for flat, row in zip((left, right), rows):
-        at = np.searchsorted(shared, flat)
-        ok = at < len(shared)
-        ok[ok] = shared[at[ok]] == flat[ok]
+    for sets in (a, b):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        ok = shared[at] == flat if len(shared) else np.zeros(len(flat), dtype=bool)
         order = np.argsort(at[ok], kind="stable")
-        places.append((at[ok][order], row[ok][order]))
-    for start in range(0, len(shared), width):
+        places.append((at[ok][order], row[ok][order], np.bincount(at[ok], minlength=len(shared))))
+    (at_a, row_a, n_a), (at_b, row_b, n_b) = places
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    few = np.flatnonzero(n_a * n_b <= 256)
+    for part in np.array_split(few, 1 + int((n_a[few] * n_b[few]).sum()) // 4_000_000):
+        # every row of `a` that holds a value, repeated for every row of `b` that holds it
+        left = ragged_take(row_a, first_a[part], n_a[part])
+        width = np.repeat(n_b[part], n_a[part])
+        right = ragged_take(row_b, np.repeat(first_b[part], n_a[part]), width)
+        np.add.at(counts, (np.repeat(left, width), right), 1)
+    many = np.flatnonzero(n_a * n_b > 256)
+    column = np.full(len(shared), -1)
+    for start in range(0, len(many), 2048):
+        part = many[start : start + 2048]
+        column[part] = np.arange(len(part))
         one = []
-        for (at, row), sets in zip(places, (a, b)):
-            lo, hi = np.searchsorted(at, [start, start + width])
-            m = np.zeros((len(sets), min(width, len(shared) - start)), dtype=np.float32)
-            m[row[lo:hi], at[lo:hi] - start] = 1
+        for at, row, sets in ((at_a, row_a, a), (at_b, row_b, b)):
+            m = np.zeros((len(sets), len(part)), dtype=np.float32)
+            here = column[at] >= 0
+            m[row[here], column[at[here]]] = 1
             one.append(m)
         counts += one[0] @ one[1].T
+        column[part] = -1
     return counts
 
 
@@ -208,7 +222,11 @@ def _sweep(members: DataFrame, payload: DataFrame, unit: str, limit: int, run, s
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("value", "rep", "comp", "n", "block", other)
     dealt = dealt.select("value", "rep", "comp", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return dealt.join(payload, "rep").groupBy("value", "i", "j").applyInPandas(run, schema)
+    # few bytes, much work: a fixed number of tasks, which adaptive execution doesn't merge
+    session = members.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    dealt = dealt.join(payload, "rep").repartition(tasks, "value", "i", "j")
+    return dealt.groupBy("value", "i", "j").applyInPandas(run, schema)
 
 
 def _halves(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
