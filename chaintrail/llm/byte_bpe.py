@@ -26,6 +26,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from chaintrail.llm.arrow_text import ragged_take, slices
@@ -113,7 +114,7 @@ def _mapped(docs: DataFrame, columns: list[str], schema: str, path: str, pattern
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """The columns of `docs` except `text`, then ids (array<int>)."""
     columns = [c for c in docs.columns if c not in ("text", "ids")]
-    schema = docs.select(*columns).schema.add("ids", "array<int>")
+    schema = docs.select(*columns).schema.add("ids", ArrayType(IntegerType()))
 
     def make(keep, ids, counts):
         return pa.RecordBatch.from_arrays([*keep, pa.array([x.view(np.int32) for x in ids], pa.list_(pa.int32()))], [*columns, "ids"])

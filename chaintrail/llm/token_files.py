@@ -39,7 +39,8 @@ from chaintrail.llm.token_units import UnitEncoder
 from chaintrail.session import new_scratch
 
 MAGIC = b"CTB1"
-HEAD = struct.Struct("<4sc3xQQQQ")
+HEAD = "<4sc3xQQQQ"
+HEAD_SIZE = struct.calcsize(HEAD)
 BLOCK = 1 << 16
 NULL_ID = -(1 << 63)
 #: Text bytes of one file, which one task reads whole.
@@ -73,22 +74,22 @@ def ids_chunk(ids: np.ndarray, first: int, bits: bool = False) -> bytes:
     packer = zstandard.ZstdCompressor(level=1)
     frames = [packer.compress(p) for p in to_planes(ids, bits)]
     body = b"".join(struct.pack("<I", len(f)) + f for f in frames)
-    return HEAD.pack(MAGIC, b"I", len(ids), first, len(body), len(frames)) + body
+    return struct.pack(HEAD, MAGIC, b"I", len(ids), first, len(body), len(frames)) + body
 
 
 def docs_chunk(doc_ids: list[int], counts: list[int], first: int) -> bytes:
     body = zstandard.ZstdCompressor(level=1).compress(np.array([doc_ids, counts], dtype="<i8").tobytes())
-    return HEAD.pack(MAGIC, b"D", len(doc_ids), first, len(body), 1) + body
+    return struct.pack(HEAD, MAGIC, b"D", len(doc_ids), first, len(body), 1) + body
 
 
 def read_chunks(data: bytes) -> Iterator[tuple[str, int, int, int, object]]:
     """(kind, position, length, first entry, content): ids, or (doc ids, token counts)."""
     at, unpacker = 0, zstandard.ZstdDecompressor()
     while at < len(data):
-        magic, kind, entries, first, size, planes = HEAD.unpack_from(data, at)
+        magic, kind, entries, first, size, planes = struct.unpack_from(HEAD, data, at)
         if magic != MAGIC:
             raise ValueError(f"no chunk at byte {at}")
-        start = at + HEAD.size
+        start = at + HEAD_SIZE
         if kind == b"I":
             frames, p = [], start
             for _ in range(planes):
@@ -98,7 +99,7 @@ def read_chunks(data: bytes) -> Iterator[tuple[str, int, int, int, object]]:
             content: object = from_planes(frames, entries)
         else:
             content = np.frombuffer(unpacker.decompress(data[start : start + size]), "<i8").reshape(2, -1)
-        yield kind.decode(), at, HEAD.size + size, first, content
+        yield kind.decode(), at, HEAD_SIZE + size, first, content
         at = start + size + 1
 
 
@@ -147,9 +148,9 @@ def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
                 at, rows = 0, []
                 raw = data.as_py()
                 while at < len(raw):
-                    _, kind, entries, first, size, _ = HEAD.unpack_from(raw, at)
-                    rows.append({"file": file, "kind": kind.decode(), "position": at, "length": HEAD.size + size, "first": first, "entries": entries})
-                    at += HEAD.size + size + 1
+                    _, kind, entries, first, size, _ = struct.unpack_from(HEAD, raw, at)
+                    rows.append({"file": file, "kind": kind.decode(), "position": at, "length": HEAD_SIZE + size, "first": first, "entries": entries})
+                    at += HEAD_SIZE + size + 1
                 names = ["file", "kind", "position", "length", "first", "entries"]
                 kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names)
