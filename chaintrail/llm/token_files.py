@@ -44,7 +44,7 @@ HEAD_SIZE = struct.calcsize(HEAD)
 BLOCK = 1 << 16
 NULL_ID = -(1 << 63)
 #: Text bytes of one file, which one task reads whole.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=2)
