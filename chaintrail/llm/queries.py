@@ -1,4 +1,4 @@
 """Every query of this package, with the pipeline at the repository top."""
 
-from chaintrail.llm import byte_bpe, language_id, minhash_dedup, token_files, toxicity, url_filter, warc_dedup  # noqa: F401
+from chaintrail.llm import byte_bpe, language_id, minhash_dedup, pii, token_files, toxicity, url_filter, warc_dedup  # noqa: F401
 from chaintrail.llm.registry import QUERIES  # noqa: F401
