@@ -1 +1,63 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and reread."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and reread.
+
+Null texts, empty texts and texts without a letter go in the first stage. The last stage returns
+doc_id, n_tokens, and the digests of the ids and of the bytes they decode to.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from chaintrail.llm import byte_bpe, decontaminate, language_id, minhash_dedup, pii
+from chaintrail.llm.registry import query, table
+from chaintrail.session import materialise
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not rejected, by a model of the labelled rows of `docs`."""
+    return language_id.keep_recognised(docs, language_id.learned(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (5 words, 0.8): that with the smallest doc_id."""
+    kept = minhash_dedup.near_duplicates(docs, k=5, num=80, den=100).where("kept").select("doc_id").distinct()
+    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return once.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of `benchmark`."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data masked and n_chars of a changed text."""
+    return pii.mask(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", personal_data_stage),
+    ("byte_bpe", token_stage),
+]
+
+#: Trained and latent models have no SQL; each stage is tested on small tables instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
+
+
+query("pipeline", ORACLE_SQL)(run)
