@@ -251,12 +251,14 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
     """(a, b): verified links between classes that connect all that is connected by links."""
     threshold, floor = num / den, estimate_floor(num / den)
     index = materialise(_index(reps, threshold), "lists")
-    wanted = index.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("body"))
-    texts = materialise(texts, "texts")
     sketch = reps.select("rep", F.col("sketch").alias("body"))
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        # written first, so that its measured size decides how the texts meet it
+        ids = materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{name}-ids")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        return materialise(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("body")), name)
+
     def likely(head: pa.Array, bodies: pa.Array) -> list[bool]:
         one = np.asarray(head[0].values)
         out = []
@@ -279,7 +281,8 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
 
     pairs = _with_parts(materialise(_star_pairs(index, reps, num, den), "star-pairs"))
     hopeful = materialise(_against_hub(pairs, sketch, "sketch", likely), "hopeful-pairs")
-    stars = materialise(_against_hub(_with_parts(hopeful), texts, "text", exact), "star-links")
+    ends = hopeful.select("rep").unionByName(hopeful.select(F.col("hub").alias("rep")))
+    stars = materialise(_against_hub(_with_parts(hopeful), texts_of(ends, "star-texts"), "text", exact), "star-links")
 
     comps = components(stars)
     open_lists = materialise(_residual(index, comps, reps), "open-lists")
@@ -313,8 +316,8 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
     plausible = _sweep(open_lists.withColumn("one", F.lit(1)), sketch, "one", BLOCK_ROWS, possible, schema)
     # a pair is plausible only within one component of the plausible pairs: a class is swept once
     groups = components(materialise(plausible, "plausible")).select(F.col("component").alias("value"), F.col("node").alias("rep"))
-    members = groups.join(open_lists.select("rep", "comp", "n").distinct(), "rep")
-    more = _sweep(materialise(members, "groups"), texts, "n", BLOCK_SHINGLES, verified, schema)
+    members = materialise(groups.join(open_lists.select("rep", "comp", "n").distinct(), "rep"), "groups")
+    more = _sweep(members, texts_of(members, "group-texts"), "n", BLOCK_SHINGLES, verified, schema)
     return stars.unionByName(more)
 
 
