@@ -25,6 +25,11 @@ def to_tons(kilograms: Column) -> Column:
     return kilograms / F.lit(1000)
 
 
+def significant(value: Column, digits: int = 9) -> Column:
+    """Rounded to significant digits, so that small values stay apart however many rows share a total."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("double"))
+
+
 def path_length(nodes: Column) -> Column:
     return F.size(nodes) - 1
 

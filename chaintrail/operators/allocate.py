@@ -90,12 +90,10 @@ def area_per_parish(production: DataFrame, year: object = YEARS[-1]) -> DataFram
 
 
 def allocation_check(production: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per year, what was allocated and exported, and whether allocation covers it."""
+    """Per year of either side, what was allocated and exported, and whether allocation covers it."""
     made = production.groupBy("YEAR").agg(F.sum("avg_produced_tons").alias("allocated"))
     sold = flows.groupBy("YEAR").agg(F.sum("volume_raw").alias("exported"))
-    return made.join(sold, "YEAR", "left").select(
-        "YEAR",
-        "allocated",
-        F.coalesce(F.col("exported"), F.lit(0.0)).alias("exported"),
-        (F.col("allocated") >= F.coalesce(F.col("exported"), F.lit(0.0))).alias("covered"),
+    allocated, exported = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("allocated", "exported"))
+    return made.join(sold, "YEAR", "full").select(
+        "YEAR", allocated.alias("allocated"), exported.alias("exported"), (allocated >= exported).alias("covered")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chaintrail.functions.measures import significant
 from chaintrail.operators import communities as C
 from chaintrail.operators import paths as SP
 from chaintrail.operators import ranking as R
@@ -45,12 +46,12 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def _top(scores: DataFrame, names: DataFrame, k: int) -> DataFrame:
     # rounding first makes the order the same on every engine
-    return R.top_ranked(scores.withColumn("score", F.round("score", 9)), names, k)
+    return R.top_ranked(scores.withColumn("score", significant(F.col("score"))), names, k)
 
 
 def _ranked(score: str, where: str, k: int) -> str:
     return _rank_sql(
-        f"SELECT name, tax_number, round({score}, 9) AS score FROM rank WHERE {where} ORDER BY score DESC, name, tax_number LIMIT {k}"
+        f"SELECT name, tax_number, CAST(printf('%.8e', {score}) AS DOUBLE) AS score FROM rank WHERE {where} ORDER BY score DESC, name, tax_number LIMIT {k}"
     )
 
 
@@ -74,15 +75,15 @@ def pagerank_top_100_farms(spark: SparkSession, sf: str) -> DataFrame:
     return _top(R.l1_scale(_scores(spark, sf)), fx.farms(spark, sf), 100)
 
 
-@query("pagerank_l1", _rank_sql("SELECT id, round(scaled, 9) AS score FROM rank"))
+@query("pagerank_l1", _rank_sql("SELECT id, CAST(printf('%.8e', scaled) AS DOUBLE) AS score FROM rank"))
 def pagerank_l1(spark: SparkSession, sf: str) -> DataFrame:
-    return R.l1_scale(_scores(spark, sf)).withColumn("score", F.round("score", 9))
+    return R.l1_scale(_scores(spark, sf)).withColumn("score", significant(F.col("score")))
 
 
-@query("pagerank_p95", _rank_sql("SELECT round(quantile_cont(scaled, 0.95), 9) AS score FROM rank WHERE label = 'Farm'"))
+@query("pagerank_p95", _rank_sql("SELECT CAST(printf('%.8e', quantile_cont(scaled, 0.95)) AS DOUBLE) AS score FROM rank WHERE label = 'Farm'"))
 def pagerank_p95(spark: SparkSession, sf: str) -> DataFrame:
     scores = R.l1_scale(_scores(spark, sf)).join(fx.farms(spark, sf), "id", "left_semi")
-    return R.exact_percentile(scores, "score", 0.95).withColumn("score", F.round("score", 9))
+    return R.exact_percentile(scores, "score", 0.95).withColumn("score", significant(F.col("score")))
 
 
 def _by_city(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,21 +151,21 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "shortest_paths",
     sql(
-        "SELECT source, target, round(cost, 9) AS total_cost, CAST(hops + 1 AS INTEGER) AS nodes FROM tree WHERE hops <= 9",
+        "SELECT source, target, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(hops + 1 AS INTEGER) AS nodes FROM tree WHERE hops <= 9",
         "tree",
         recursive=True,
     ),
 )
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Cost and number of nodes per pair; which of several equal paths is listed is free."""
-    return _paths(spark, sf).select("source", "target", F.round("total_cost", 9).alias("total_cost"), F.size("node_ids").alias("nodes"))
+    return _paths(spark, sf).select("source", "target", significant(F.col("total_cost")).alias("total_cost"), F.size("node_ids").alias("nodes"))
 
 
 @query(
     "nearest_slaughterhouse",
     sql(
         """
-    SELECT t AS target, length AS path_length, round(cost, 9) AS total_cost, CAST(source AS BIGINT) AS source
+    SELECT t AS target, length AS path_length, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(source AS BIGINT) AS source
     FROM (SELECT target AS t, b.h AS length, b.c AS cost, b.s AS source
           FROM (SELECT target, min({'h': CAST(hops AS INTEGER), 'c': cost, 's': source}) AS b
                 FROM tree WHERE hops <= 9 AND target % 2 = 0 GROUP BY 1))
@@ -175,7 +176,7 @@ def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
 )
 def nearest_slaughterhouse(spark: SparkSession, sf: str) -> DataFrame:
     paths = _paths(spark, sf).join(fx.farms(spark, sf).select(F.col("id").alias("target")), "target", "left_semi")
-    return SP.nearest_source(paths).withColumn("total_cost", F.round("total_cost", 9))
+    return SP.nearest_source(paths).withColumn("total_cost", significant(F.col("total_cost")))
 
 
 @query(
@@ -190,14 +191,14 @@ def reachable_slaughterhouses(spark: SparkSession, sf: str) -> DataFrame:
     "cheapest_paths",
     sql(
         """
-    SELECT source, round(cost, 9) AS total_cost, CAST(hops AS INTEGER) AS path_length
+    SELECT source, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(hops AS INTEGER) AS path_length
     FROM tree WHERE hops <= 9 AND target = 42 ORDER BY cost, source LIMIT 5""",
         "tree",
         recursive=True,
     ),
 )
 def cheapest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return SP.cheapest_sources(_paths(spark, sf), fx.SAMPLE_FARM).withColumn("total_cost", F.round("total_cost", 9))
+    return SP.cheapest_sources(_paths(spark, sf), fx.SAMPLE_FARM).withColumn("total_cost", significant(F.col("total_cost")))
 
 
 @query(

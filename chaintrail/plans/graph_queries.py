@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaintrail.functions.measures import whole_months
+from chaintrail.functions.measures import significant, whole_months
 from chaintrail.operators import permits as P
 from chaintrail.operators import suppliers as S
 from chaintrail.operators.groups import could_come_from, mark_compatible
@@ -338,7 +338,7 @@ def compatible_edges(spark: SparkSession, sf: str) -> DataFrame:
     "weighted_edges",
     sql(
         """
-    SELECT *, round(1.0::DOUBLE / (total + 1), 9) AS path_weight
+    SELECT *, CAST(printf('%.8e', 1.0::DOUBLE / (total + 1)) AS DOUBLE) AS path_weight
     FROM (SELECT * FROM first_edge UNION ALL SELECT * FROM next_edge)""",
         "first_edge",
         "next_edge",
@@ -346,4 +346,4 @@ def compatible_edges(spark: SparkSession, sf: str) -> DataFrame:
 )
 def weighted_edges(spark: SparkSession, sf: str) -> DataFrame:
     both = weighted(fx.first_edges(spark, sf)).unionByName(weighted(fx.next_edges(spark, sf)))
-    return both.withColumn("path_weight", F.round("path_weight", 9))
+    return both.withColumn("path_weight", significant(F.col("path_weight")))

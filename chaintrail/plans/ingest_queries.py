@@ -6,6 +6,8 @@ read back with the operators under test.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +82,25 @@ def csv_ingest_declared(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("csv_schema_sample")
-def csv_schema_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole file under the schema taken from its head."""
-    path = _write_csv(_dirty_orders(spark, sf), "dirty-orders")
-    return CSV.read_repaired(spark, path, CSV.infer_schema_from_head(spark, path), multi_line=False)[0]
+_FOLDER = "SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 101 = 7 THEN concat('x', o_orderkey) ELSE CAST(o_orderkey AS VARCHAR) END AS mixed"
+
+
+@query("csv_folder", _FOLDER + " FROM orders")
+def csv_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file of a folder as a table of its own, read back together.
+
+    Each task writes files of one name to several folders; `mixed` turns from numbers to text late in a file.
+    """
+    rows = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("long").alias("order_key"),
+        F.expr("CASE WHEN o_orderkey % 101 = 7 THEN concat('x', o_orderkey) ELSE CAST(o_orderkey AS STRING) END").alias("mixed"),
+        (F.col("o_orderkey") % 3).alias("part"),
+    )
+    root = new_scratch(spark, "folder")
+    rows.repartition(2, "order_key").sortWithinPartitions("part", F.col("mixed").startswith("x")).write.partitionBy("part").csv(root, header=True)
+    tables = [spark.table(t) for t in T.load_csv_folder(spark, root, _scratch_database(spark))]
+    tables = [t.select(F.col("order_key").cast("long"), F.col("mixed").cast("string")) for t in tables]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query(
@@ -153,14 +169,34 @@ def _relative(path: Column) -> Column:
     return F.regexp_replace(F.array_join(F.slice(parts, -3, 3), "/"), "[cdf]=", "")
 
 
-@query("list_csv_files")
+_PLACES = "SELECT concat('c=n', c_nationkey % 5) AS c, concat('d=db', c_custkey % 3) AS d, concat('f=f', c_custkey % 5, '.csv') AS f, * FROM customer"
+
+
+@query(
+    "list_csv_files",
+    f"""
+    SELECT concat_ws('/', c, d, f) AS dataset,
+           CAST(sum(length(CAST(c_custkey AS VARCHAR)) + length(c_name) + 2) + length('c_custkey,c_name') + 1 AS BIGINT) AS length
+    FROM ({_PLACES}) GROUP BY c, d, f""",
+)
 def list_csv_files(spark: SparkSession, sf: str) -> DataFrame:
-    return L.list_csv_files(spark, _catalogue_files(spark, sf))
+    """Each dataset with the bytes of its one file: header, and two values, a comma and a line break a row."""
+    root = _catalogue_files(spark, sf)
+    return L.list_csv_files(spark, root).select(L.dataset_of(L.below(F.col("path"), root)).alias("dataset"), "length")
 
 
-@query("dir_contents")
+@query(
+    "dir_contents",
+    f"""
+    WITH p AS ({_PLACES})
+    SELECT DISTINCT '' AS parent, c AS name, false AS is_file FROM p
+    UNION ALL SELECT DISTINCT c, d, false FROM p
+    UNION ALL SELECT DISTINCT concat_ws('/', c, d), f, false FROM p
+    UNION ALL SELECT DISTINCT concat_ws('/', c, d, f), 'part', true FROM p""",
+)
 def dir_contents(spark: SparkSession, sf: str) -> DataFrame:
-    return L.dir_contents(spark, _catalogue_files(spark, sf))
+    """Children of every folder; the part files' generated names are cut to 'part'."""
+    return L.dir_contents(spark, _catalogue_files(spark, sf)).withColumn("name", F.regexp_replace("name", "^part-.*$", "part"))
 
 
 def _silver(spark: SparkSession, sf: str) -> DataFrame:

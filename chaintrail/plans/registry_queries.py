@@ -75,15 +75,6 @@ def source_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return R.source_freshness(fx.replica_source(spark, sf), "o_orderdate", "1998-01-01 00:00:00")
 
 
-@query("schema_drift")
-def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders against orders with one column retyped and two swapped."""
-    source = fx.replica_source(spark, sf)
-    names = source.columns
-    dest = source.select(names[1], names[0], *names[2:]).withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
-    return R.schema_drift(source, dest)
-
-
 @query("schema_probe")
 def schema_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of the replicated table without the refresh field, and how many values each holds."""
@@ -98,19 +89,6 @@ def column_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return jdbc.column_bounds(fx.replica_source(spark, sf), "o_orderkey")
 
 
-@query(
-    "stride_sizes",
-    """
-    SELECT CAST(greatest(0, least(7, (o_orderkey - lo) // greatest(1, (hi - lo) // 8))) AS INTEGER) AS stride, count(*) AS rows
-    FROM orders, (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) GROUP BY 1""",
-)
-def stride_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows every connection of a partitioned read would fetch: shows a skewed column before the read."""
-    source = fx.replica_source(spark, sf)
-    lower, upper = jdbc.column_bounds(source, "o_orderkey").first()
-    return source.groupBy(jdbc.stride_of(F.col("o_orderkey"), lower, upper).alias("stride")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query(
     "row_fingerprint",
     """
@@ -315,9 +293,10 @@ def area_per_parish(spark: SparkSession, sf: str) -> DataFrame:
     "allocation_check",
     sql(
         """
-    SELECT m.YEAR AS YEAR, round(m.t, 6) AS allocated, round(coalesce(x.t, 0), 6) AS exported, m.t >= coalesce(x.t, 0) AS covered
+    SELECT coalesce(m.YEAR, x.YEAR) AS YEAR, round(coalesce(m.t, 0), 6) AS allocated, round(coalesce(x.t, 0), 6) AS exported,
+           coalesce(m.t, 0) >= coalesce(x.t, 0) AS covered
     FROM (SELECT YEAR, sum(avg_produced_tons) AS t FROM parish_year GROUP BY 1) m
-    LEFT JOIN (SELECT YEAR, sum(volume_raw) AS t FROM exports GROUP BY 1) x ON x.YEAR = m.YEAR""",
+    FULL JOIN (SELECT YEAR, sum(volume_raw) AS t FROM exports GROUP BY 1) x ON x.YEAR = m.YEAR""",
         "parish_year",
     ),
 )

@@ -1,4 +1,4 @@
-"""CSV scans: option set, header repair, schema from the head, bad records."""
+"""CSV scans: option set, header repair, bad records."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from chaintrail.functions.headers import delimiter_text, needs_repair_text, repair_header_text, sanitise_names
 from chaintrail.functions.text import strip_space
-from chaintrail.session import materialise, new_scratch
+from chaintrail.session import materialise
 
 # Defaults of the loader, other names of encodings.
 ENCODING_NAMES = {"utf8": "UTF-8", "latin1": "ISO-8859-1"}
@@ -26,16 +26,17 @@ def read_csv(
     header: bool = True,
     encoding: str = ENCODING,
     null_value: str = NULL_TOKEN,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     line_sep: str | None = None,
     **options: object,
 ) -> DataFrame:
     """CSV scan with the loader's options. Types are inferred unless a schema is given.
 
     multi_line lets quoted fields hold line breaks, at the price of one task per
-    file; pass False for big files without such fields, which are then split. A
-    header is always skipped, also under a given schema.
+    file. By default the lines themselves decide: files without such fields are
+    split, whatever their size. A header is always skipped, also under a given schema.
     """
+    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
     reader = (
         spark.read.option("sep", delimiter)
         .option("header", header)
@@ -62,7 +63,7 @@ def first_line(spark: SparkSession, path: str) -> str:
     return rows[0][0]
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
+def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a quoted field may hold a line break, seen from the lines alone.
 
     Such a field leaves a line with an odd number of quotes. An escaped quote is
@@ -78,7 +79,7 @@ def read_repaired(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     corrupt: str | None = None,
     **options: object,
 ) -> tuple[DataFrame, str]:
@@ -90,6 +91,7 @@ def read_repaired(
     not fit.
     """
     header = first_line(spark, path)
+    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
     delimiter = delimiter_text(header)
     damaged = needs_repair_text(header)
     names = [n.strip() for n in repair_header_text(header).rstrip("\r").split(delimiter)]
@@ -109,19 +111,6 @@ def read_repaired(
     return df, delimiter
 
 
-def infer_schema_from_head(spark: SparkSession, path: str, lines: int = 1000, **options: object) -> T.StructType:
-    """Schema of a big file from its first lines, with the repaired header as names."""
-    header = first_line(spark, path)
-    delimiter = delimiter_text(header)
-    head = spark.read.text(path, lineSep="\n").where(F.col("_metadata.file_block_start") == 0).select("value").limit(lines)
-    sample = new_scratch(spark, "csv-head")
-    head.where(F.col("value") != header).coalesce(1).write.text(sample)
-    found = read_csv(spark, sample, delimiter, header=False, multi_line=False, **options).schema
-    names = sanitise_names([n.strip() for n in repair_header_text(header).rstrip("\r").split(delimiter)], "[^0-9a-zA-Z]+")
-    kinds = [f.dataType for f in found.fields] + [T.StringType()] * (len(names) - len(found.fields))
-    return T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=False)])
-
-
 def read_with_bad_records(
     spark: SparkSession, path: str, schema: str, delimiter: str = DELIMITER, **options: object
 ) -> tuple[DataFrame, DataFrame]:
@@ -139,12 +128,13 @@ def read_with_bad_records(
     return good, df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
 
 
-def read_strings(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool = True) -> DataFrame:
+def read_strings(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool | None = None) -> DataFrame:
     """Plain scan, every column a string."""
+    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
     return spark.read.csv(path, sep=sep, encoding=ENCODING_NAMES.get(encoding, encoding), header=True, multiLine=multi_line)
 
 
-def read_trimmed(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool = True) -> DataFrame:
+def read_trimmed(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool | None = None) -> DataFrame:
     """Plain scan with white space of any kind stripped from every value."""
     df = read_strings(spark, path, sep, encoding, multi_line)
     return df.select(*[strip_space(F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -55,10 +55,3 @@ def hash_predicates(expression: str, parts: int) -> list[str]:
 
 def read_hash_split(spark: SparkSession, url: str, table: str, expression: str, parts: int, properties: dict[str, str]) -> DataFrame:
     return spark.read.jdbc(url, table, predicates=hash_predicates(expression, parts), properties=properties)
-
-
-def stride_of(column: Column, lower: int, upper: int, partitions: int = CONNECTIONS) -> Column:
-    """Number of the stride a value falls into; values outside the bounds go to the outer ones."""
-    stride = max(1, (upper - lower) // partitions)
-    place = F.floor((column - F.lit(lower)) / F.lit(stride))
-    return F.greatest(F.lit(0), F.least(F.lit(partitions - 1), F.coalesce(place, F.lit(0)))).cast("int")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Suffix searched in the lower-cased file name, size limit in bytes.
+# Fixed value: suffix searched in the lower-cased file name.
 CSV_MARK = ".csv"
-MAX_BYTES = 50_000_000
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -20,24 +21,28 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def list_csv_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """CSV files of bearable size; a file that is too big is skipped alone."""
+def below(path: Column, root: str) -> Column:
+    """Path without the root, whose scheme and authority a listing may have added."""
+    plain = re.sub("^[A-Za-z0-9+.-]+:/+", "/", root).rstrip("/")
+    return F.regexp_replace(path, "^.*?" + re.escape(plain) + "/+", "")
+
+
+def list_csv_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, length) of the CSV files below a folder; only a caller's limit leaves files out."""
     name = F.element_at(F.split("path", "/"), -1)
-    return list_files(spark, root).where((F.col("length") <= max_bytes) & F.contains(F.lower(name), F.lit(CSV_MARK)))
+    files = list_files(spark, root).where(F.contains(F.lower(name), F.lit(CSV_MARK)))
+    return files if max_bytes is None else files.where(F.col("length") <= max_bytes)
 
 
 def dir_contents(spark: SparkSession, root: str) -> DataFrame:
-    """(parent, files, dirs): direct children of every folder that leads to a file."""
-    parts = F.split(F.regexp_replace("path", "/+$", ""), "/")
-    steps = list_files(spark, root).select(parts.alias("p")).select("p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("i"))
-    child = steps.select(
+    """(parent, name, is_file): direct children of the root ('') and of every folder below it that leads to a file."""
+    parts = F.split(below(F.col("path"), root), "/")
+    steps = list_files(spark, root).select(parts.alias("p")).select("p", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("i"))
+    return steps.select(
         F.array_join(F.slice("p", F.lit(1), F.col("i")), "/").alias("parent"),
         F.get(F.col("p"), F.col("i")).alias("name"),
         (F.col("i") == F.size("p") - 1).alias("is_file"),
     ).distinct()
-    return child.groupBy("parent").agg(
-        F.count_if(F.col("is_file")).alias("files"), F.count_if(~F.col("is_file")).alias("dirs")
-    )
 
 
 def dataset_of(path: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 
@@ -10,22 +12,13 @@ from pyspark.sql import functions as F
 
 from chaintrail.functions.headers import bronze_name_text
 from chaintrail.operators.columns import sanitise_columns
-from chaintrail.session import materialise
-from chaintrail.sources.csv_files import CORRUPT, infer_schema_from_head, read_csv, read_repaired, spans_lines
+from chaintrail.session import discard, materialise
+from chaintrail.sources.csv_files import CORRUPT, read_csv, read_repaired
 from chaintrail.sources.listing import list_csv_files, list_files
 
-# Bytes from which the schema is taken from the head of a file.
-BIG_FILE_BYTES = 10_000_000
-
-
-def database_name(catalog: str, db: str) -> str:
-    """Two-level name of catalog.db for a session catalogue."""
-    return f"{catalog}__{db}" if catalog else db
-
-
 def create_database(spark: SparkSession, db: str, location: str | None = None, comment: str = "") -> None:
     at = f" LOCATION '{_quoted(location)}'" if location else ""
-    note = comment or (f"{db} database, hosted in {location}" if location else f"{db} database")
+    note = comment or (f"Tables of {db}, stored below {location}" if location else f"Tables of {db}")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` COMMENT '{_quoted(note)}'{at}")
 
 
@@ -49,39 +42,57 @@ def table_properties(spark: SparkSession, name: str, keys: Iterable[str]) -> Dat
     return spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key").isin(list(keys)))
 
 
-def load_csv(spark: SparkSession, path: str, database: str, length: int = 0, mode: str = "overwrite", table: str = "", note: str = "") -> str:
+def load_csv(spark: SparkSession, path: str, database: str, mode: str = "overwrite", table: str = "", note: str = "") -> str:
     """One CSV file or dataset into a bronze table; returns the table's name.
 
-    From BIG_FILE_BYTES on the schema comes from the head and the file is split,
-    unless a quoted field may span lines. Rows that do not fit go, as text, to a
-    second table with the suffix _bad_records.
+    Types come from all of its rows. The file is split unless a quoted field may
+    span lines. Rows that do not fit go, as text, to a second table with the suffix
+    _bad_records; an overwrite without such rows removes that of an earlier load.
     """
     plain = table or bronze_name_text(path.rstrip("/").rsplit("/", 1)[-1])
-    name = f"`{database}`.`{plain}`"
-    if length > BIG_FILE_BYTES and not spans_lines(spark, path):
-        df, delimiter = read_repaired(spark, path, infer_schema_from_head(spark, path), multi_line=False, corrupt=CORRUPT)
-    else:
-        df, delimiter = read_repaired(spark, path, corrupt=CORRUPT)
+    name, rejects = f"`{database}`.`{plain}`", f"`{database}`.`{plain}_bad_records`"
+    df, delimiter = read_repaired(spark, path, corrupt=CORRUPT)
     parsed = materialise(df, "parsed")
     good, bad = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.where(F.col(CORRUPT).isNotNull())
+    # fixed values: the keys of the properties
     properties = {"source_csv_file": path, "write_mode": mode, "source_delimiter": delimiter}
     save_table(sanitise_columns(good), name, mode)
     if not bad.isEmpty():
         properties["bad_records"] = f"{plain}_bad_records"
-        save_table(bad.select(F.col(CORRUPT).alias("record")), f"`{database}`.`{plain}_bad_records`", mode)
-    comment = f"Table schema and data created automatically from {path}" + (f" . {note}" if note else "")
-    describe_table(spark, name, comment, properties)
+        save_table(bad.select(F.col(CORRUPT).alias("record")), rejects, mode)
+    elif mode == "overwrite":
+        spark.sql(f"DROP TABLE IF EXISTS {rejects}")
+    describe_table(spark, name, f"Loaded from the CSV file {path}" + (f"; {note}" if note else ""), properties)
+    discard(parsed)
     return name
 
 
+def table_names(paths: Sequence[str], root: str) -> list[str]:
+    """A table name for each path, no two alike: from the file's name, or else from its path below the root."""
+    base = [bronze_name_text(p.rsplit("/", 1)[-1]) for p in paths]
+    clash = {n for n, c in Counter(base).items() if c > 1}
+    plain = re.sub("^[A-Za-z0-9+.-]+:/+", "/", root).rstrip("/") + "/"
+    taken, names = set(base) - clash, []
+    for path, name in zip(paths, base, strict=True):
+        if name in clash:
+            long = bronze_name_text(path.partition(plain)[2].replace("/", "_") or path.replace("/", "_"))
+            name, turn = long, 1
+            while name in taken:
+                turn += 1
+                name = f"{long}_{turn}"
+            taken.add(name)
+        names.append(name)
+    return names
+
+
 def load_csv_folder(spark: SparkSession, root: str, database: str, max_bytes: int | None = None) -> list[str]:
     """Every CSV file below a folder into its own bronze table.
 
     Only the list of files comes to the driver, one entry per table to create.
     """
-    files = list_csv_files(spark, root) if max_bytes is None else list_csv_files(spark, root, max_bytes)
+    paths = [f["path"] for f in list_csv_files(spark, root, max_bytes).orderBy("path").toLocalIterator()]
     create_database(spark, database)
-    return [load_csv(spark, f["path"], database, f["length"]) for f in files.orderBy("path").toLocalIterator()]
+    return [load_csv(spark, p, database, table=t) for p, t in zip(paths, table_names(paths, root), strict=True)]
 
 
 def load_catalogue_csvs(spark: SparkSession, listed: DataFrame, bucket: str, database_of) -> list[str]:
@@ -90,11 +101,13 @@ def load_catalogue_csvs(spark: SparkSession, listed: DataFrame, bucket: str, dat
     found = listed.withColumn("path", F.concat(F.lit(bucket.rstrip("/") + "/"), "path")).join(
         files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path"
     )
-    tables = []
+    by_database: dict[str, list[str]] = {}
     for f in found.orderBy("path").toLocalIterator():
-        database = database_of(f["path"])
+        by_database.setdefault(database_of(f["path"]), []).append(f["path"])
+    tables = []
+    for database, paths in by_database.items():
         create_database(spark, database)
-        tables.append(load_csv(spark, f["path"], database, f["length"]))
+        tables += [load_csv(spark, p, database, table=t) for p, t in zip(paths, table_names(paths, bucket), strict=True)]
     return tables
 
 

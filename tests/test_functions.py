@@ -82,3 +82,9 @@ def test_paths(spark):
     catalog, db = H.namespace_of(F.lit("s3://bucket/brazil/beef/out/x.csv"))
     assert (one(spark, catalog), one(spark, db)) == ("brazil", "beef")
     assert one(spark, H.dataset_name(F.lit("a/b/CD_2013.v2.csv"))) == "CD_2013"
+
+
+def test_small_scores_keep_their_order(spark):
+    rows = spark.createDataFrame([(1e-12,), (1.00001e-12,), (3.0,), (None,), (0.0,)], "v double")
+    got = [r[0] for r in rows.select(significant(F.col("v"))).collect()]
+    assert got == [1e-12, 1.00001e-12, 3.0, None, 0.0]

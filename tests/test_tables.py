@@ -41,36 +41,46 @@ def test_folder_becomes_tables(spark, tmp_path):
     write(tmp_path / "in/readme.txt", "no table")
     T.create_database(spark, "bronze_folder", str(tmp_path / "db"))
     names = T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_folder", max_bytes=600)
-    assert {n.split(".")[1].strip("`") for n in names} == {"bronze_two", "bronze_one_1"}  # big.csv alone is skipped
+    assert {n.split(".")[1].strip("`") for n in names} == {"bronze_two", "bronze_one_1"}  # big.csv is above the caller's limit
+    assert len(T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_folder")) == 3
+    assert spark.table("bronze_folder.bronze_big").count() == 300
     assert spark.table("bronze_folder.bronze_two").count() == 1
     stamped = {r["key"]: r["value"] for r in T.table_properties(spark, "bronze_folder.bronze_two", ["source_delimiter", "write_mode"]).collect()}
     assert stamped == {"source_delimiter": "|", "write_mode": "overwrite"}
 
 
-def test_big_file_takes_its_schema_from_the_head(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(T, "BIG_FILE_BYTES", 100)
-    path = write(tmp_path / "big.csv", "an id;some (text)\n" + "".join(f"{i};t{i}\n" for i in range(50)))
-    T.create_database(spark, "bronze_big", str(tmp_path / "db"))
-    table = spark.table(T.load_csv(spark, path, "bronze_big", length=1000))
-    assert table.dtypes == [("an_id", "int"), ("some_text_", "string")] and table.count() == 50
+def test_files_of_one_name_become_two_tables(spark, tmp_path):
+    write(tmp_path / "in/a/x.csv", "k;v\n1;2\n")
+    write(tmp_path / "in/b/x.csv", "k;v\n3;4\n")
+    names = T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_twice")
+    assert len(set(names)) == 2 and sorted(spark.table(n).first()["k"] for n in names) == [1, 3]
+    assert len(set(T.table_names(["/r/a/b.csv", "/r/a_b.csv", "/r/c/b.csv", "/r/a b.csv"], "/r"))) == 4
 
 
-def test_big_file_with_line_breaks_in_fields_is_not_split(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(T, "BIG_FILE_BYTES", 10)
-    path = write(tmp_path / "big.csv", 'id;t\n1;"two\nlines"\n2;x\n')
+def test_rows_are_loaded_alike_at_every_size(spark, tmp_path):
+    """Values that change after many rows widen the type; a file of 11 MB keeps its rows as one of 1 MB does."""
+    T.create_database(spark, "bronze_sizes", str(tmp_path / "db"))
+    for name, pad in (("small", 1), ("large", 90)):
+        rows = "".join(f"{i if i < 100_000 else i + 0.5};{'p' * pad}\n" for i in range(120_000))
+        table = spark.table(T.load_csv(spark, write(tmp_path / f"{name}.csv", "v;pad\n" + rows), "bronze_sizes"))
+        assert table.count() == 120_000 and dict(table.dtypes)["v"] == "double" and table.where("v IS NULL").isEmpty()
+
+
+def test_line_breaks_in_fields(spark, tmp_path):
+    path = write(tmp_path / "lines.csv", 'id;t\n1;"two\nlines"\n2;x\n')
     assert CSV.spans_lines(spark, path)
     T.create_database(spark, "bronze_lines", str(tmp_path / "db"))
-    rows = spark.table(T.load_csv(spark, path, "bronze_lines", length=1000)).collect()
-    assert sorted(map(tuple, rows)) == [(1, "two\nlines"), (2, "x")]
+    assert sorted(map(tuple, spark.table(T.load_csv(spark, path, "bronze_lines")).collect())) == [(1, "two\nlines"), (2, "x")]
 
 
-def test_rows_that_do_not_fit_the_head_are_kept_apart(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(T, "BIG_FILE_BYTES", 10)
-    path = write(tmp_path / "late.csv", "id;t\n" + "1;x\n" * 1200 + "late;y\n")
+def test_bad_records_of_an_earlier_load_go(spark, tmp_path):
     T.create_database(spark, "bronze_late", str(tmp_path / "db"))
-    name = T.load_csv(spark, path, "bronze_late", length=1000)
-    assert spark.table(name).count() == 1200 and dict(spark.table(name).dtypes)["id"] == "int"
-    assert spark.table("bronze_late.bronze_late_bad_records").collect() == [("late;y",)]
+    path = write(tmp_path / "late.csv", "id;t\n1;x\n2;y;z\n")
+    name = T.load_csv(spark, path, "bronze_late")
+    assert spark.table("bronze_late.bronze_late_bad_records").collect() == [("2;y;z",)]
+    write(tmp_path / "late.csv", "id;t\n1;x\n")
+    assert T.load_csv(spark, path, "bronze_late") == name and spark.table(name).count() == 1
+    assert not spark.catalog.tableExists("bronze_late.bronze_late_bad_records")
 
 
 def test_pipeline_inputs(spark, tmp_path):
