@@ -41,8 +41,8 @@ WORD = np.zeros(256, dtype=bool)
 WORD[ord("0") : ord("9") + 1] = WORD[ord("a") : ord("z") + 1] = WORD[128:] = True
 
 
-def _interned(values: pa.Array) -> Iterator[tuple[np.ndarray, SpanTable]]:
-    """For each block of words: (text each occurrence belongs to, its table)."""
+def _interned(values: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, SpanTable]]:
+    """For each block of words: (text of each word, text of each occurrence of a run, the runs' table)."""
     buf, offsets = text_bytes(values, lower=True)
     starts, ends = word_bounds(buf, offsets, WORD)
     text = np.searchsorted(offsets, starts, "right") - 1
@@ -51,7 +51,7 @@ def _interned(values: pa.Array) -> Iterator[tuple[np.ndarray, SpanTable]]:
         beyond = min(stop + LONGEST - 1, len(starts))  # runs may end in the next block
         joined, begin, end = joined_words(buf, starts[at:beyond], ends[at:beyond])
         word, _, a, b = runs(begin, end, text[at:beyond], LONGEST, 0, stop - at)
-        yield text[at + word], SpanTable(joined, a, b)
+        yield text[at:stop], text[at + word], SpanTable(joined, a, b)
 
 
 def _slot_buckets(spans: SpanTable, buckets: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
-                for _, spans in _interned(part.column("text")):
+                for _, _, spans in _interned(part.column("text")):
                     np.add.at(total, _slot_buckets(spans, buckets), spans.counts())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
@@ -99,12 +99,10 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words, features, weight = (np.zeros(part.num_rows, dtype=np.int64) for _ in range(3))
-                for text, spans in _interned(part.column("text")):
+                for owner, text, spans in _interned(part.column("text")):
                     np.add.at(weight, text, gain[_slot_buckets(spans, buckets)][spans.slot])
                     features += np.bincount(text, minlength=part.num_rows)
-                buf, offsets = text_bytes(part.column("text"), lower=True)
-                starts, _ = word_bounds(buf, offsets, WORD)
-                words += np.diff(np.searchsorted(starts, offsets))
+                    words += np.bincount(owner, minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(words), pa.array(features), pa.array(weight)],
                     ["doc_id", "n_words", "n_features", "weight"],

@@ -7,9 +7,11 @@ records per task: a row is a record without its closing blank lines, which the w
 its line separator. That works on any file system Spark can write to.
 
 Null payloads count as empty, and payloads under `min_bytes` are never revisits. A null url
-gives no target header; control characters and spaces in a url are percent-encoded in it. Rows that
-repeat a page_id each become a record; a null page_id is a response with an empty id and is
-read back as null. Other columns are not read. An empty table gives an empty archive.
+gives no target header; control characters and spaces in a url are percent-encoded in it. A record's id
+holds its page_id and its digest. Rows that repeat a page_id each become a record: with other
+payloads each refers to the response of its own payload, and rows equal in both are one
+record written twice. A null page_id is a response with an empty id and is read back as null. Other
+columns are not read. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
+def _record_id(page: str) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col("payload_digest"), F.lit(">"))
+
+
 def _record(kind: str, more: list[Column], body: Column) -> Column:
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -53,8 +59,8 @@ def _record(kind: str, more: list[Column], body: Column) -> Column:
     )
     block = F.concat(http, body)
     head = F.concat(
-        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: "), F.col("written"),
+        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), _record_id("page_id"),
+        F.lit("\r\nWARC-Date: "), F.col("written"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), F.col("target")), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"), *more,
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
@@ -63,13 +69,15 @@ def _record(kind: str, more: list[Column], body: Column) -> Column:
     return F.concat(head, block)
 
 
+PAYLOAD = ["payload_digest", "payload_bytes"]
+
+
 def revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of records whose payload a record with a larger id holds."""
+    """(page_id, payload_digest, payload_bytes, refers_to) of records whose payload a record with a larger id holds."""
     usable = headers.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes))
-    keys = ["payload_digest", "payload_bytes"]
-    first = usable.groupBy(*keys).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = usable.groupBy(*PAYLOAD).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     # one row per digest on one side: adaptive execution can split a hot digest on the other
-    return usable.join(first, keys).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return usable.join(first, PAYLOAD).where("page_id <> refers_to").select("page_id", *PAYLOAD, "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -82,12 +90,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     headers = rows.select("page_id", digest.alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     headers = materialise(headers, "headers")
     rows = rows.withColumns({"payload_digest": digest, "payload_bytes": F.octet_length("html").cast("long")})
-    rows = rows.join(revisits(headers, min_bytes), "page_id", "left")
+    # a page_id may stand for several payloads, and each finds its own response
+    rows = rows.join(revisits(headers, min_bytes), ["page_id", *PAYLOAD], "left")
     rows = rows.withColumn("written", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    refers = [
-        F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"),
-        F.col("refers_to").cast("string"), F.lit(">"),
-    ]
+    refers = [F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id("refers_to")]
     record = F.when(F.col("refers_to").isNull(), _record("response", [], F.col("html"))).otherwise(
         _record("revisit", refers, F.lit(""))
     )
@@ -157,7 +163,7 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
         if kind == "response":
             if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError("a payload does not have its digest")
-        ids = [fields.get(k, b"").removeprefix(b"<urn:page:").removesuffix(b">") for k in (b"WARC-Record-ID", b"WARC-Refers-To")]
+        ids = [fields.get(k, b"").removeprefix(b"<urn:page:").partition(b":")[0] for k in (b"WARC-Record-ID", b"WARC-Refers-To")]
         own, refers = (int(x) if x else None for x in ids)
         url = fields[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in fields else None
         yield own, kind, refers, url, size, digest, payload if kind == "response" else None

@@ -39,3 +39,10 @@ def test_minimum_size_repeats_and_empty_table(spark):
     got = sorted((r.page_id, r.refers_to or 0) for r in round_trip(spark, rows, min_bytes=4))
     assert got == [(1, 0), (2, 0), (3, 4), (4, 0), (4, 0)]
     assert round_trip(spark, []) == []
+
+
+def test_one_page_id_with_two_payloads_keeps_both(spark):
+    rows = [(5, "u", "A"), (5, "v", "B"), (9, "u", "A"), (10, "v", "B"), (5, "w", "C")]
+    got = round_trip(spark, rows)
+    assert sorted((r.page_id, r.url, r.refers_to) for r in got if r.refers_to) == [(5, "u", 9), (5, "v", 10)]
+    assert sorted((r.page_id, bytes(r.payload)) for r in got if not r.refers_to) == [(5, b"C"), (9, b"A"), (10, b"B")]
