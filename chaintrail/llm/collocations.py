@@ -40,9 +40,9 @@ UNKNOWN = "und"
 #: Text per hash partition, which bounds its counters.
 PART_BYTES = 128 << 20
 #: Occurrences a task gathers before it sorts them, counters and phrases it holds before it gives them out.
-GATHERED, HELD, PHRASES = 2_000_000, 4_000_000, 400_000
+GATHERED, HELD, PHRASES = 500_000, 1_500_000, 150_000
 FILTER_BITS, BITS_PER_SURVIVOR = 1 << 30, 16
-BLOCK_WORDS = 262_144
+BLOCK_WORDS = 65_536
 #: Rows that look up one part of a phrase in one task; rows of a language that one task ranks.
 PART_ROWS, RANK_ROWS = 2_000, 500_000
 
@@ -126,8 +126,10 @@ def summaries(docs: DataFrame, parts: int, longest: int) -> DataFrame:
         fresh, gathered = [], 0
 
         def settle():
-            keys = np.concatenate([held[0], *fresh])
-            return _tally(keys, np.concatenate([held[1], np.ones(len(keys) - len(held[0]), dtype=np.int64)]))
+            if not fresh:
+                return held
+            keys, counts = np.unique(np.concatenate(fresh), return_counts=True)
+            return _tally(np.concatenate([held[0], keys]), np.concatenate([held[1], counts]))
 
         for batch in batches:
             for some in slices(batch):
@@ -193,23 +195,29 @@ def survivors(packed: DataFrame, threshold: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["part", "n", "keys"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != part:
+            owners, roles, masses = (batch.column(c).to_pylist() for c in ("part", "role", "mass"))
+            for i in range(batch.num_rows):
+                if owners[i] != part:
                     if summary is not None:
                         yield close()
-                    part, mass, summary, size = row["part"], 0, None, 0
-                if row["role"] == 0:
-                    mass += row["mass"]
+                    part, mass, summary, size = owners[i], 0, None, 0
+                if roles[i] == 0:
+                    mass += masses[i]
                     continue
                 if summary is None:
                     summary = Summary(mass // threshold + 1)
-                ones, more = np.frombuffer(row["ones"], np.uint32), np.frombuffer(row["more"], np.uint32)
+                ones, more, counts = (
+                    np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                    for c, kind in (("ones", np.uint32), ("more", np.uint32), ("counts", np.int64))
+                )
                 waiting.append((ones, np.ones(len(ones), dtype=np.int64)))
-                waiting.append((more, np.frombuffer(row["counts"], np.int64)))
+                waiting.append((more, counts))
                 size += len(ones) + len(more)
                 if size >= max(summary.capacity, GATHERED):
                     feed()
                     size = 0
+            feed()  # what waits is a view of this batch
+            size = 0
         if summary is not None:
             yield close()
 
@@ -351,27 +359,27 @@ WITH pieces AS (
   FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
-grams AS (
-  SELECT lang, m, w[i : i + m - 1] AS g, count(*) AS f
-  FROM words, (VALUES (1), (2), (3)) s(m), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)
-  GROUP BY ALL),
-candidates AS (SELECT * FROM grams WHERE m > 1 AND f >= 10),
+runs AS (
+  SELECT lang, m, unnest([array_to_string(w[i : i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) AS phrase
+  FROM words, (VALUES (1), (2), (3)) s(m)),
+counts AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 10),
+candidates AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS g FROM counts WHERE m > 1),
+parts AS (
+  SELECT lang, phrase, m, f AS a, k, array_to_string(g[1 : k], ' ') AS x, array_to_string(g[k + 1 : m], ' ') AS y
+  FROM candidates, (VALUES (1), (2)) t(k) WHERE k < m),
 cuts AS (
-  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r,
-         ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM candidates c, (VALUES (1), (2)) t(k), grams x, grams y
-  WHERE k < c.m AND x.lang = c.lang AND y.lang = c.lang AND x.g = c.g[1 : k] AND y.g = c.g[k + 1 : c.m]),
-worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+  SELECT p.lang, p.phrase, m, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM parts p JOIN (SELECT lang, phrase AS x, f FROM counts) x USING (lang, x)
+               JOIN (SELECT lang, phrase AS y, f FROM counts) y USING (lang, y)),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (
-  SELECT lang, g[at : at + 1] AS g, max(f) AS longer
-  FROM candidates, (VALUES (1), (2)) t(at) WHERE m = 3 GROUP BY ALL),
+  SELECT lang, array_to_string(g[p : p + 1], ' ') AS phrase, max(f) AS longer
+  FROM candidates, (VALUES (1), (2)) t(p) WHERE m = 3 GROUP BY ALL),
 left_over AS (
-  SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.g = w.g
+  SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
   WHERE i.longer IS NULL OR 100 * i.longer < 50 * w.a),
 ranked AS (
-  SELECT *, array_to_string(g, ' ') AS phrase,
-         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
-  FROM left_over)
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
