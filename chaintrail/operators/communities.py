@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
-from chaintrail.session import materialise
+from chaintrail.session import discard, materialise
 
 MAX_LEVELS = 10
 MAX_ITERATIONS = 10
@@ -16,14 +18,16 @@ TOLERANCE = 1e-4
 def _labelled(edges: DataFrame, communities: DataFrame, rows_per_part: int) -> DataFrame:
     """Weight between communities: label one end, sum, label the other, sum.
 
-    Summing after the first label leaves a hub target with one row per community.
+    Summing after the first label leaves a hub target with one row per community, which may
+    still be many; both ends are split where they are hot.
     """
-    by_src = HotKeySplit(edges, "src", rows_per_part)
+    by_src, by_dst = HotKeySplit(edges, "src", rows_per_part), HotKeySplit(edges, "dst", rows_per_part)
     spread = by_src.spread(edges.select("src", "dst", "weight"), ["dst"])
     left = by_src.repeat(communities.select(F.col("id").alias("a"), F.col("community").alias("c_src")), "a")
     half = spread.join(left, by_src.on(spread, left, "a")).groupBy("c_src", "dst").agg(F.sum("weight").alias("weight"))
-    right = communities.select(F.col("id").alias("dst"), F.col("community").alias("c_dst"))
-    return half.join(right, "dst").groupBy("c_src", "c_dst").agg(F.sum("weight").alias("weight"))
+    half = by_dst.spread(half, ["c_src"])
+    right = by_dst.repeat(communities.select(F.col("id").alias("b"), F.col("community").alias("c_dst")), "b")
+    return half.join(right, by_dst.on(half, right, "b")).groupBy("c_src", "c_dst").agg(F.sum("weight").alias("weight"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
@@ -50,9 +54,9 @@ def modularity(edges: DataFrame, communities: DataFrame, rows_per_part: int = RO
 
 
 def community_sizes(communities: DataFrame, above: int = 20) -> DataFrame:
-    return (
-        communities.groupBy("community").agg(F.count(F.lit(1)).alias("node_amount")).where(F.col("node_amount") > above)
-    )
+    """Communities of more than `above` nodes, the largest first."""
+    sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("node_amount")).where(F.col("node_amount") > above)
+    return sizes.orderBy(F.desc("node_amount"), "community")
 
 
 def community_size_of(communities: DataFrame, node: object) -> DataFrame:
@@ -61,20 +65,49 @@ def community_size_of(communities: DataFrame, node: object) -> DataFrame:
     return communities.join(own, "community", "left_semi").agg(F.countDistinct("id").alias("nodes"))
 
 
-def louvain(
+@dataclass
+class Level:
+    """One level of a run: its communities, their modularity, the turns it took, and whether it settled by itself."""
+
+    communities: int
+    modularity: float
+    turns: int
+    settled: bool
+
+
+@dataclass
+class LouvainRun:
+    membership: DataFrame
+    levels: list[Level]
+    settled: bool
+
+    @property
+    def community_count(self) -> int:
+        return self.levels[-1].communities if self.levels else self.membership.count()
+
+    @property
+    def modularity(self) -> float:
+        return self.levels[-1].modularity if self.levels else 0.0
+
+
+def louvain_run(
     edges: DataFrame,
     nodes: DataFrame,
     max_levels: int = MAX_LEVELS,
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
     rows_per_part: int = ROWS_PER_PART,
-) -> DataFrame:
-    """(id, community) by weighted modularity; direction is ignored.
+) -> LouvainRun:
+    """Communities (id, community) by weighted modularity, with a record of every level; direction is ignored.
+
+    Every level moves nodes to the neighbouring community of highest gain, a changing half of the
+    nodes at a time so that neighbours do not swap places, until modularity rises by less than
+    `tolerance`; then communities become the nodes of the next level. A community is named after
+    its smallest member. `settled` tells a run that ended because nothing improved from one that
+    ran out of levels or turns.
 
-    Every level moves nodes to the neighbouring community of highest gain, a
-    changing half of the nodes at a time so that neighbours do not swap places,
-    until modularity rises by less than `tolerance`; then communities become the
-    nodes of the next level. A community is named after its smallest member.
+    Sums over a community are added up before the shuffle and written once a turn; where a community
+    or a hub has more than `rows_per_part` rows, joins with it are split over tasks.
     """
     both = edges.where(F.col("src") != F.col("dst")).select(
         F.explode(
@@ -84,26 +117,36 @@ def louvain(
             )
         ).alias("e")
     )
-    links = both.select("e.*").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    links = materialise(links, "links")
+    links = materialise(both.select("e.*").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "links")
+    written = [links]
     loops = edges.where(F.col("src") == F.col("dst")).groupBy(F.col("src").alias("id")).agg(
         (F.sum("weight") * 2).cast("double").alias("loop")
     )
     vertices = materialise(nodes.select("id").distinct().join(loops, "id", "left").fillna(0.0, ["loop"]), "vertices")
+    written.append(vertices)
     membership = vertices.select("id", F.col("id").alias("community"))
     double_m = (links.agg(F.sum("weight")).first()[0] or 0.0) + (vertices.agg(F.sum("loop")).first()[0] or 0.0)
+    levels: list[Level] = []
     if not double_m:
-        return membership
+        return LouvainRun(membership, levels, True)
+    kept = vertices  # what the membership reads
+    ended = False
     for level in range(max_levels):
-        moved, placed = _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, level)
-        if not moved:
+        improved, placed, turns, q, settled = _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, level)
+        if not improved:
+            ended = settled
+            discard(placed)
             break
-        named = materialise(_named_by_smallest(placed), "named")
-        membership = materialise(
-            membership.join(named.select(F.col("id").alias("old"), F.col("community").alias("new")), F.col("community") == F.col("old"))
-            .select("id", F.col("new").alias("community")),
-            "membership",
-        )
+        named = materialise(_named_by_smallest(placed, rows_per_part), "named")
+        discard(placed)
+        moved = named.select(F.col("id").alias("old"), F.col("community").alias("new"))
+        by_community = HotKeySplit(membership, "community", rows_per_part)
+        spread, few = by_community.spread(membership, ["id"]), by_community.repeat(moved, "old")
+        joined = spread.join(few, by_community.on(spread, few, "old")).select("id", F.col("new").alias("community"))
+        membership = materialise(joined, "membership")
+        if kept is not vertices:
+            discard(kept)
+        kept = membership
         merged = materialise(_labelled(links, named, rows_per_part), "merged")
         inner = merged.where(F.col("c_src") == F.col("c_dst")).select(F.col("c_src").alias("id"), F.col("weight").alias("inner"))
         links = merged.where(F.col("c_src") != F.col("c_dst")).select(
@@ -117,17 +160,36 @@ def louvain(
             .select("id", (F.col("loop") + F.coalesce(F.col("inner"), F.lit(0.0))).alias("loop")),
             "vertices",
         )
-    return membership
+        discard(*written, named)
+        written = [merged, vertices]
+        levels.append(Level(vertices.count(), q, turns, settled))
+    if levels:
+        discard(*written)
+    return LouvainRun(membership, levels, ended)
+
 
+def louvain(edges: DataFrame, nodes: DataFrame, **options: object) -> DataFrame:
+    """(id, community): the membership of `louvain_run`."""
+    return louvain_run(edges, nodes, **options).membership
 
-def _named_by_smallest(placed: DataFrame) -> DataFrame:
+
+def _named_by_smallest(placed: DataFrame, rows_per_part: int) -> DataFrame:
     names = placed.groupBy("community").agg(F.min("id").alias("name"))
-    return placed.join(names, "community").select("id", F.col("name").alias("community"))
+    split = HotKeySplit(placed, "community", rows_per_part)
+    many, few = split.spread(placed, ["id"]), split.repeat(names.withColumnRenamed("community", "_named"), "_named")
+    return many.join(few, split.on(many, few, "_named")).select("id", F.col("name").alias("community"))
+
+
+def _sums(state: DataFrame) -> DataFrame:
+    """(of, sum_k, count) of every community, written: one row each, added up before the shuffle."""
+    sums = state.groupBy(F.col("community").alias("of")).agg(F.sum("k").alias("sum_k"), F.count("*").alias("count"))
+    return materialise(sums, "community-sums")
 
 
 def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, level):
-    """Local moves of one level: (did anything improve, (id, community))."""
+    """Local moves of one level: (did anything improve, (id, community), turns, modularity, did it settle)."""
     split = HotKeySplit(links, "dst", rows_per_part)
+    by_src = split.by("src")  # links stand in both directions
     strength = links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out"))
     state = vertices.join(strength, "id", "left").select(
         "id",
@@ -135,21 +197,25 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
         F.col("id").alias("community"),
     )
     state = materialise(state, "state")
+    written, best_written = [state], state
     spread = split.spread(links, ["src"]).repartition(*split.keys()).persist()
     loops = vertices.agg(F.sum("loop")).first()[0] or 0.0
-    best_state, best_q, first_q, idle = state, None, None, 0
+    best_state, best_q, first_q, idle, settled, turn = state, None, None, 0, False, 0
     for turn in range(2 * max_iterations + 1):
+        sums = _sums(state)
+        members = HotKeySplit(None, "community", rows_per_part, sums.select(F.col("of").alias("community"), "count"))
+        many, few = members.spread(state, ["id"]), members.repeat(sums.drop("count"), "of")
+        own = many.join(few, members.on(many, few, "of")).select("id", "k", "community", F.col("sum_k").alias("own_sum"))
         # a community's strength travels with its members, so edges never join on a community
-        sums = state.groupBy("community").agg(F.sum("k").alias("sum_k"))
-        own = state.join(sums, "community").select("id", "k", "community", F.col("sum_k").alias("own_sum"))
         ends = split.repeat(own.select(F.col("id").alias("end"), F.col("community").alias("c"), F.col("own_sum").alias("sum_k")), "end")
         link = (
             spread.join(ends, split.on(spread, ends, "end"))
             .groupBy("src", "c")
             .agg(F.sum("weight").alias("to_c"), F.max("sum_k").alias("sum_k"))
         )
+        link, mine = by_src.spread(link, ["c"]), by_src.repeat(own, "id")
         options = (
-            link.join(own, F.col("src") == F.col("id"))
+            link.join(mine, by_src.on(link, mine, "id"))
             .groupBy("id")
             .agg(
                 F.max(F.when(F.col("c") == F.col("community"), F.col("to_c"))).alias("to_own"),
@@ -172,17 +238,23 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
             ),
             "judged",
         )
-        per = judged.groupBy("community").agg(F.sum("k").alias("s"), F.sum("to_own").alias("own"), F.max(F.col("next") != F.col("community")).alias("moves"))
-        inner, squares, moves = per.agg(F.sum("own"), F.sum(F.col("s") * F.col("s")), F.max("moves")).first()
+        inner, moves = judged.agg(F.sum("to_own"), F.max(F.col("next") != F.col("community"))).first()
+        squares = sums.agg(F.sum(F.col("sum_k") * F.col("sum_k"))).first()[0]
+        discard(sums)
         q = (inner + loops) / double_m - squares / (double_m * double_m)
         if first_q is None:
             first_q = q
         idle = 0 if best_q is None or q > best_q + tolerance else idle + 1
         if best_q is None or q > best_q:
-            best_q, best_state = q, state
+            best_q, best_state, best_written = q, state, written[-1]
+        discard(*[w for w in written if w is not best_written])
+        written = [best_written, judged] if best_written in written else [judged]
         # each turn moves half of the nodes: two turns in a row must bring nothing
         if idle >= 2 and (q < best_q or not moves or idle >= 3):
+            settled = True
             break
         state = judged.select("id", "k", F.col("next").alias("community"))
     spread.unpersist()
-    return best_q > first_q + 1e-12, best_state.select("id", "community")
+    placed = materialise(best_state.select("id", "community"), "placed")
+    discard(*written)
+    return best_q > first_q + 1e-12, placed, turn + 1, best_q, settled

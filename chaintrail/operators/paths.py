@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chaintrail.functions.measures import path_length, path_weight
+from chaintrail.functions.measures import path_weight
 from chaintrail.operators.permits import SLAUGHTERHOUSE
 from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
 from chaintrail.session import discard, materialise
@@ -158,46 +158,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int = MAX_NO
     return _stack(levels)
 
 
-def nearest_source(paths: DataFrame, min_length: int = 2) -> DataFrame:
-    """Per target the source with the fewest steps, kept if at least `min_length` away.
+def nearest_source(tree: DataFrame, targets: DataFrame, min_length: int = 2, max_nodes: int = MAX_NODES) -> DataFrame:
+    """Per row of `targets` (with a column `target`) the source with the fewest steps, kept if at least `min_length` away.
 
-    A minimum of a struct, so a target's paths are reduced before the shuffle.
+    Steps are those of the cheapest paths; paths of more than `max_nodes` nodes do not count.
     """
-    return (
-        paths.groupBy("target")
-        .agg(F.min(F.struct(path_length(F.col("node_ids")).alias("path_length"), "total_cost", "source")).alias("best"))
-        .select("target", "best.*")
-        .where(F.col("path_length") >= min_length)
-    )
-
-
-def reachable_sources(paths: DataFrame, target: object) -> DataFrame:
-    return paths.where(F.col("target") == F.lit(target)).agg(F.countDistinct("source").alias("reachable_slaughterhouses"))
-
-
-def cheapest_sources(paths: DataFrame, target: object, k: int = 5) -> DataFrame:
-    return (
-        paths.where(F.col("target") == F.lit(target))
-        .select("source", "total_cost", path_length(F.col("node_ids")).alias("path_length"))
-        .orderBy("total_cost", "source")
-        .limit(k)
-    )
-
-
-def path_subgraph(paths: DataFrame, first_edges: DataFrame, next_edges: DataFrame, source: object, target: object) -> DataFrame:
-    """(kind, src, dst, total): stored edges whose ends lie on one stored path.
-
-    The path is at most a few nodes long; both edge sets are semi-joined with it.
-    """
-    on_path = (
-        paths.where((F.col("source") == F.lit(source)) & (F.col("target") == F.lit(target)))
-        .select(F.explode("node_ids").alias("node"))
-        .distinct()
-    )
-    first = first_edges.where(F.col("src") == F.lit(source)).join(on_path.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    between = next_edges.join(on_path.withColumnRenamed("node", "src"), "src", "left_semi").join(
-        on_path.withColumnRenamed("node", "dst"), "dst", "left_semi"
-    )
-    return first.select(F.lit("first").alias("kind"), "src", "dst", "total").unionByName(
-        between.select(F.lit("next").alias("kind"), "src", "dst", "total")
-    )
+    near = tree.where(F.col("hops") < max_nodes).join(targets.select("target"), "target", "left_semi")
+    best = near.groupBy("target").agg(F.min(F.struct(F.col("hops").alias("path_length"), F.col("cost").alias("total_cost"), "source")).alias("best"))
+    far = best.where(F.col("best.path_length") >= min_length)
+    return targets.join(far, "target").select(*targets.columns, "best.*")

@@ -33,8 +33,8 @@ def node_id(label: str, tax: Column, name: Column) -> Column:
     return F.concat(F.lit(label), F.lit(":"), F.length(tax).cast("string"), F.lit(":"), tax, F.lit(":"), name)
 
 
-def normalise_permits(raw: DataFrame) -> DataFrame:
-    """Raw permit records to the flat permits frame; missing keys become ''."""
+def normalise_permits(raw: DataFrame, *more: Column) -> DataFrame:
+    """Raw permit records to the flat permits frame, with `more` columns of the records; missing keys become ''."""
     origin = (key_text(F.col("ORIGIN_TAX_NUMBER")), key_text(F.col("ORIGIN_NAME")))
     dest = (key_text(F.col("DESTINATION_TAX_NUMBER")), key_text(F.col("DESTINATION_NAME")))
     slaughter = F.col("SLAUGHTER_GTA")
@@ -67,6 +67,7 @@ def normalise_permits(raw: DataFrame) -> DataFrame:
         F.col("TIMELINE_OBS").alias("timeline_obs"),
         F.col("MISSING_INFO").alias("missing_info"),
         F.col("NUM_ANIMALS_ASSUMED").alias("num_animals_assumed"),
+        *more,
     )
 
 
@@ -233,30 +234,78 @@ def build_graph(permits: DataFrame, animals: DataFrame, years: Iterable[int], or
     return Graph(nodes, edges)
 
 
-def node_keys(graph: Graph) -> DataFrame:
-    """(label, key) of every node of every label."""
-    key_column = {
-        FARM: "id", SLAUGHTERHOUSE: "id", "City": "geocode", "State": "name", "GTA": "gta_id",
-        "Transport": "transport", "Purpose": "purpose", "GTA_Source": "gta_source", "Species": "species",
-        "Code": "code", "Animal_Type": "animal_type",
-    }
-    return _stack(
-        df.select(F.lit(label).alias("label"), F.col(key_column[label]).cast("string").alias("key"))
-        for label, df in graph.nodes.items()
-    )
+def _several(items: list[Column], animals: Column) -> Column:
+    """One row for each struct in `items` that is not null, and for each element of `animals`."""
+    return F.explode(F.concat(F.filter(F.array(*items), lambda x: x.isNotNull()), animals))
 
 
-def edge_pairs(graph: Graph) -> DataFrame:
-    """(type, src, dst) of every edge of every type."""
-    return _stack(
-        df.select(F.lit(kind).alias("type"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-        for kind, df in graph.edges.items()
-    )
+def _with_animals(raw: DataFrame) -> DataFrame:
+    return normalise_permits(raw, F.coalesce(F.col("ANIMALS"), F.array()).alias("animals"))
+
+
+def node_keys(raw: DataFrame) -> DataFrame:
+    """(label, key) of every node in raw permit records: one scan, one `explode`, one distinct.
 
+    A permit gives out all its keys at once; the few values of most labels combine before the shuffle.
+    """
 
-def _stack(frames: Iterable[DataFrame]) -> DataFrame:
-    frames = list(frames)
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df)
-    return out
+    def node(label: Column | str, key: Column) -> Column:
+        label = F.lit(label) if isinstance(label, str) else label
+        return F.struct(label.alias("label"), key.cast("string").alias("key"))
+
+    c = F.col
+    # fixed values: the labels
+    keys = [
+        node(FARM, c("origin_id")),
+        F.when(c("dest_label").isNotNull(), node(c("dest_label"), c("dest_id"))),
+        *(node("City", c(f"{side}_geocode")) for side in ("origin", "dest")),
+        *(node("State", c(f"{side}_state")) for side in ("origin", "dest")),
+        *(node("Code", c(f"{side}_code")) for side in ("origin", "dest")),
+        node("GTA", c("gta_id")),
+        node("Transport", c("transport")),
+        node("Purpose", c("purpose")),
+        node("GTA_Source", c("gta_source")),
+        node("Species", c("species")),
+    ]
+    animals = F.transform("animals", lambda a: node("Animal_Type", key_text(a["DESCRIPTION"])))
+    return _with_animals(raw).select(_several(keys, animals).alias("n")).select("n.*").distinct()
+
+
+#: Edges that stand once however many permits name them; the others stand once per permit or animal line.
+MERGED = [
+    "CITY_IS_LOCATED_IN", "FARM_IS_LOCATED_IN", "SLAUGHTERHOUSE_IS_LOCATED_IN", "FARM_HAS_CODE", "SLAUGHTERHOUSE_HAS_CODE", "SENDS_TO",
+]
+
+
+def edge_pairs(raw: DataFrame) -> DataFrame:
+    """(type, src, dst) of every edge in raw permit records: one scan, one `explode`, one count.
+
+    The count tells how often an edge of a permit stands, which is once unless a record is repeated.
+    """
+
+    def edge(kind: Column | str, src: Column, dst: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(kind.alias("type"), src.cast("string").alias("src"), dst.cast("string").alias("dst"))
+
+    c = F.col
+    gta, origin, dest, known = c("gta_id"), c("origin_id"), c("dest_id"), c("dest_label").isNotNull()
+    of_dest = lambda ending: F.concat(F.upper("dest_label"), F.lit(ending))
+    pairs = [
+        *(edge("CITY_IS_LOCATED_IN", c(f"{side}_geocode"), c(f"{side}_state")) for side in ("origin", "dest")),
+        edge("FARM_IS_LOCATED_IN", origin, c("origin_geocode")),
+        F.when(known, edge(of_dest("_IS_LOCATED_IN"), dest, c("dest_geocode"))),
+        edge("FARM_HAS_CODE", origin, c("origin_code")),
+        F.when(known, edge(of_dest("_HAS_CODE"), dest, c("dest_code"))),
+        edge("IS_TRANSPORTED_BY", gta, c("transport")),
+        edge("HAS_PURPOSE", gta, c("purpose")),
+        edge("FROM_GTA_SOURCE", gta, c("gta_source")),
+        edge("SPECIES_TRANSPORTED", gta, c("species")),
+        edge("IS_ORIGIN_OF_GTA", origin, gta),
+        F.when(known, edge("GTA_HAS_DESTINATION", gta, dest)),
+        F.when(known, edge("SENDS_TO", origin, dest)),
+    ]
+    animals = F.transform("animals", lambda a: edge("ANIMAL_TYPE_SENT", gta, key_text(a["DESCRIPTION"])))
+    rows = _with_animals(raw).select(_several(pairs, animals).alias("e")).select("e.*")
+    times = F.when(F.col("type").isin(MERGED), 1).otherwise(F.col("count")).cast("int")
+    counted = rows.groupBy("type", "src", "dst").count()
+    return counted.select("type", "src", "dst", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")

@@ -26,8 +26,11 @@ class HotKeySplit:
     once per part. Without a hot key nothing is added to either side.
     """
 
-    def __init__(self, many: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART):
-        counts = many.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > rows_per_part)
+    def __init__(self, many: DataFrame | None, key: str, rows_per_part: int = ROWS_PER_PART, counts: DataFrame | None = None):
+        """`counts` (key, count) saves counting `many` where the counts are known."""
+        if counts is None:
+            counts = many.where(F.col(key).isNotNull()).groupBy(key).count()
+        counts = counts.where(F.col("count") > rows_per_part)
         hot = materialise(
             counts.select(
                 F.col(key).alias("_hot"), F.ceil(F.col("count") / rows_per_part).cast("int").alias("_parts")
@@ -38,6 +41,12 @@ class HotKeySplit:
         self.key = key
         self.hot = broadcast_checked(hot, rows) if rows else None
 
+    def by(self, key: str) -> HotKeySplit:
+        """The same hot values under another column, for a frame with no more rows per value."""
+        other = object.__new__(HotKeySplit)
+        other.key, other.hot = key, self.hot
+        return other
+
     def _parts(self, df: DataFrame, key: str) -> DataFrame:
         return df.join(self.hot, F.col(key) == F.col("_hot"), "left").drop("_hot")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaintrail.functions.measures import significant
+from chaintrail.functions.measures import path_length, significant
 from chaintrail.operators import communities as C
+from chaintrail.operators import path_search as PS
 from chaintrail.operators import paths as SP
 from chaintrail.operators import ranking as R
 from chaintrail.plans import fixtures as fx
@@ -40,8 +41,27 @@ def _rank_sql(body: str) -> str:
     return head + ",\n" + ",\n".join(rounds) + "\n" + body
 
 
+def _run(spark: SparkSession, sf: str) -> R.RankRun:
+    return R.pagerank_run(fx.flow_graph(spark, sf), fx.named_nodes(spark, sf).select("id"))
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return R.pagerank(fx.flow_graph(spark, sf), fx.named_nodes(spark, sf).select("id"))
+    return _run(spark, sf).scores
+
+
+@query(
+    "pagerank_convergence",
+    _rank_sql(
+        f"""SELECT {R.ITERATIONS} AS rounds, CAST(printf('%.5e', max(abs(a.score - b.score))) AS DOUBLE) AS residual,
+                   max(abs(a.score - b.score)) < {R.TOLERANCE!r} AS converged
+            FROM r{R.ITERATIONS} a JOIN r{R.ITERATIONS - 1} b USING (id)"""
+    ),
+)
+def pagerank_convergence(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rounds were run, and how much the last one changed."""
+    run = _run(spark, sf)
+    row = spark.createDataFrame([(run.rounds, run.residual, run.converged)], "rounds int, residual double, converged boolean")
+    return row.withColumn("residual", significant(F.col("residual"), 6))
 
 
 def _top(scores: DataFrame, names: DataFrame, k: int) -> DataFrame:
@@ -117,7 +137,7 @@ def modularity(spark: SparkSession, sf: str) -> DataFrame:
     return C.modularity(graph, _by_city(spark, sf)).withColumn("modularity", F.round("modularity", 9))
 
 
-@query("community_sizes", f"SELECT community, count(*) AS node_amount FROM ({_CITY_OF}) GROUP BY 1 HAVING count(*) > 20")
+@query("community_sizes", f"SELECT community, count(*) AS node_amount FROM ({_CITY_OF}) GROUP BY 1 HAVING count(*) > 20 ORDER BY node_amount DESC, community")
 def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return C.community_sizes(_by_city(spark, sf))
 
@@ -130,53 +150,98 @@ def community_size_of(spark: SparkSession, sf: str) -> DataFrame:
     return C.community_size_of(_by_city(spark, sf), fx.TARGET)
 
 
+_STARS = """
+    WITH hub AS MATERIALIZED (SELECT c_nationkey AS nation, min(c_custkey) * 2 AS hub FROM customer GROUP BY 1),
+    star AS MATERIALIZED (SELECT hub AS src, c_custkey * 2 AS dst, 1000 + c_custkey % 7 AS weight FROM customer JOIN hub ON nation = c_nationkey),
+    ring AS MATERIALIZED (SELECT a.hub AS src, b.hub AS dst, 1 AS weight FROM hub a JOIN hub b ON b.nation = (a.nation + 1) % 25)"""
+
+
+def _star_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers of each nation around the first of them, and a weak ring through the nations."""
+    customers = fx.table(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") * 2).alias("dst"), "c_custkey")
+    hubs = customers.groupBy("c_nationkey").agg(F.min("dst").alias("src"))
+    stars = customers.join(hubs, "c_nationkey").select("src", "dst", (1000 + F.col("c_custkey") % 7).alias("weight"))
+    after = hubs.select(F.col("c_nationkey").alias("next"), F.col("src").alias("dst"))
+    ring = hubs.join(after, F.col("next") == (F.col("c_nationkey") + 1) % 25).select("src", "dst", F.lit(1).cast("long").alias("weight"))
+    return materialise(stars.unionByName(ring), "star-graph")
+
+
+def _planted(spark: SparkSession, sf: str) -> C.LouvainRun:
+    return C.louvain_run(_star_graph(spark, sf), fx.farms(spark, sf).select("id"))
+
+
+@query("louvain_planted", _STARS + " SELECT dst AS id, src AS community FROM star")
+def louvain_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities of a graph in which they are known: one for each nation."""
+    return _planted(spark, sf).membership
+
+
+@query(
+    "louvain_summary",
+    _STARS
+    + """,
+    edge AS (SELECT * FROM star UNION ALL SELECT * FROM ring),
+    ends AS (SELECT a.src AS a, b.src AS b, e.weight AS w FROM edge e JOIN star a ON a.dst = e.src JOIN star b ON b.dst = e.dst),
+    deg AS (SELECT c, sum(w) AS t FROM (SELECT a AS c, w FROM ends UNION ALL SELECT b, w FROM ends) GROUP BY 1)
+    SELECT (SELECT count(*) FROM hub) AS communities, true AS settled,
+           round((SELECT sum(w) FROM ends WHERE a = b)::DOUBLE / (SELECT sum(w) FROM ends)
+               - (SELECT sum(t::DOUBLE * t) FROM deg) / ((SELECT sum(t) FROM deg)::DOUBLE * (SELECT sum(t) FROM deg)), 9) AS modularity""",
+)
+def louvain_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What the run on the planted graph reports of itself."""
+    run = _planted(spark, sf)
+    row = (run.community_count, round(run.modularity, 9), run.settled)
+    return spark.createDataFrame([row], "communities long, modularity double, settled boolean")
+
+
 @query("louvain")
 def louvain(spark: SparkSession, sf: str) -> DataFrame:
     graph = materialise(fx.flow_graph(spark, sf), "flow-graph")
     return C.louvain(graph, fx.named_nodes(spark, sf).select("id"))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
-def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored path table: computed once per application and data folder, then looked up."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        edges = materialise(fx.path_graph(spark, sf), "path-graph")
-        _STORED[key] = materialise(SP.shortest_paths(edges, fx.slaughterhouses(spark, sf).select("id")), "stored-paths")
-    return _STORED[key]
+def _path_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(fx.path_graph(spark, sf), "path-graph")
 
 
 @query(
     "shortest_paths",
     sql(
-        "SELECT source, target, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(hops + 1 AS INTEGER) AS nodes FROM tree WHERE hops <= 9",
+        "SELECT source, target, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(hops AS INTEGER) AS path_length FROM tree WHERE hops <= 9",
         "tree",
         recursive=True,
     ),
 )
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Cost and number of nodes per pair; which of several equal paths is listed is free."""
-    return _paths(spark, sf).select("source", "target", significant(F.col("total_cost")).alias("total_cost"), F.size("node_ids").alias("nodes"))
+    """Cost and length per pair; which of several equal paths is listed is free."""
+    paths = SP.shortest_paths(_path_graph(spark, sf), fx.slaughterhouses(spark, sf).select("id"))
+    return paths.select("source", "target", significant(F.col("total_cost")).alias("total_cost"), path_length(F.col("node_ids")).alias("path_length"))
 
 
 @query(
     "nearest_slaughterhouse",
     sql(
         """
-    SELECT t AS target, length AS path_length, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(source AS BIGINT) AS source
+    SELECT n.id AS target, n.name AS farm_name, n.tax_number, length AS path_length, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost,
+           CAST(source AS BIGINT) AS source
     FROM (SELECT target AS t, b.h AS length, b.c AS cost, b.s AS source
           FROM (SELECT target, min({'h': CAST(hops AS INTEGER), 'c': cost, 's': source}) AS b
                 FROM tree WHERE hops <= 9 AND target % 2 = 0 GROUP BY 1))
+    JOIN nodes n ON n.id = t
     WHERE length >= 2""",
         "tree",
+        "nodes",
         recursive=True,
     ),
 )
 def nearest_slaughterhouse(spark: SparkSession, sf: str) -> DataFrame:
-    paths = _paths(spark, sf).join(fx.farms(spark, sf).select(F.col("id").alias("target")), "target", "left_semi")
-    return SP.nearest_source(paths).withColumn("total_cost", significant(F.col("total_cost")))
+    tree = SP.shortest_path_tree(_path_graph(spark, sf), fx.slaughterhouses(spark, sf).select("id"))
+    farms = fx.farms(spark, sf).select(F.col("id").alias("target"), F.col("name").alias("farm_name"), "tax_number")
+    return SP.nearest_source(tree, farms).withColumn("total_cost", significant(F.col("total_cost")))
+
+
+def _to_sample_farm(spark: SparkSession, sf: str) -> DataFrame:
+    return PS.search_to(_path_graph(spark, sf), fx.SAMPLE_FARM)
 
 
 @query(
@@ -184,21 +249,24 @@ def nearest_slaughterhouse(spark: SparkSession, sf: str) -> DataFrame:
     sql("SELECT count(DISTINCT source) AS reachable_slaughterhouses FROM tree WHERE hops <= 9 AND target = 42", "tree", recursive=True),
 )
 def reachable_slaughterhouses(spark: SparkSession, sf: str) -> DataFrame:
-    return SP.reachable_sources(_paths(spark, sf), fx.SAMPLE_FARM)
+    return PS.count_reaching(_to_sample_farm(spark, sf), fx.slaughterhouses(spark, sf))
 
 
 @query(
     "cheapest_paths",
     sql(
         """
-    SELECT source, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(hops AS INTEGER) AS path_length
-    FROM tree WHERE hops <= 9 AND target = 42 ORDER BY cost, source LIMIT 5""",
+    SELECT source, name AS slaughterhouse_name, CAST(printf('%.8e', cost) AS DOUBLE) AS total_cost, CAST(hops AS INTEGER) AS path_length
+    FROM tree JOIN nodes ON id = source WHERE hops <= 9 AND target = 42 ORDER BY cost, source LIMIT 5""",
         "tree",
+        "nodes",
         recursive=True,
     ),
 )
 def cheapest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return SP.cheapest_sources(_paths(spark, sf), fx.SAMPLE_FARM).withColumn("total_cost", significant(F.col("total_cost")))
+    sources = fx.slaughterhouses(spark, sf).select("id", F.col("name").alias("slaughterhouse_name"))
+    best = PS.cheapest_reaching(_to_sample_farm(spark, sf), sources)
+    return best.withColumnRenamed("id", "source").withColumn("total_cost", significant(F.col("total_cost")))
 
 
 @query(
@@ -218,4 +286,6 @@ def cheapest_paths(spark: SparkSession, sf: str) -> DataFrame:
 )
 def path_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     first, later = materialise(fx.first_edges(spark, sf), "first"), materialise(fx.next_edges(spark, sf), "next")
-    return SP.path_subgraph(_paths(spark, sf), first, later, fx.TARGET, fx.SAMPLE_FARM)
+    graph = SP.project(SP.weighted(first).unionByName(SP.weighted(later)), "path_weight")
+    on_path = PS.nodes_on_path(PS.search_to(graph, fx.SAMPLE_FARM), fx.TARGET)
+    return PS.path_subgraph(on_path, first, later, fx.TARGET)

@@ -115,11 +115,6 @@ def city_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return P.city_nodes(P.normalise_permits(fx.raw_permits(spark, sf)), F.col("gta_id").cast("long"))
 
 
-def _graph(spark: SparkSession, sf: str) -> P.Graph:
-    raw = materialise(fx.raw_permits(spark, sf), "raw-permits")
-    return P.build_graph(P.normalise_permits(raw), P.permit_animals(raw), fx.FLOW_YEARS, F.col("gta_id").cast("long"))
-
-
 @query(
     "graph_nodes",
     sql(
@@ -139,7 +134,7 @@ def _graph(spark: SparkSession, sf: str) -> P.Graph:
     ),
 )
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return P.node_keys(_graph(spark, sf))
+    return P.node_keys(_json_permits(spark, sf))
 
 
 @query(
@@ -167,7 +162,7 @@ def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return P.edge_pairs(_graph(spark, sf))
+    return P.edge_pairs(_json_permits(spark, sf))
 
 
 @query("animal_groups", sql("SELECT * FROM grp", "grp"))

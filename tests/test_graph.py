@@ -13,7 +13,7 @@ from chaintrail.operators import paths as SP
 from chaintrail.operators import permits as P
 from chaintrail.operators import suppliers as S
 from chaintrail.operators.groups import animal_groups, could_come_from, mark_compatible
-from chaintrail.operators.ranking import exact_percentile, l1_scale, pagerank
+from chaintrail.operators.ranking import exact_percentile, l1_scale, pagerank, pagerank_run
 from chaintrail.operators.reach import reach
 from chaintrail.sources.permits_json import PERMIT_SCHEMA
 
@@ -243,17 +243,43 @@ def test_pagerank(spark, rows_per_part):
     assert {r["id"]: r["score"] for r in l1_scale(ranks).collect()} == pytest.approx({n: s / total for n, s in score.items()})
 
 
-@pytest.mark.parametrize("bounded_rows", [1_000_000, 50])
-@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
-def test_exact_percentile(spark, bounded_rows, q):
-    rnd = random.Random(1)
-    values = [rnd.choice([rnd.random(), 0.25, rnd.random() ** 3]) for _ in range(3000)]
-    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+def percentile_of(values, q):
     ordered = sorted(values)
     place = q * (len(values) - 1)
     low = int(place)
-    want = ordered[low] + (ordered[min(low + 1, len(values) - 1)] - ordered[low]) * (place - low)
-    assert exact_percentile(frame, "x", q, bounded_rows).first()["x"] == pytest.approx(want, abs=1e-9)
+    high = ordered[min(low + 1, len(values) - 1)]
+    return ordered[low] + (high - ordered[low]) * (place - low) if high != ordered[low] else high
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_exact_percentile(spark, q):
+    rnd = random.Random(1)
+    values = [rnd.choice([rnd.random() - 0.5, 0.25, rnd.random() ** 3, -0.0, 1e300, -1e-310]) for _ in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    assert exact_percentile(frame, "x", q).first()["x"] == percentile_of(values, q)
+
+
+def test_percentile_of_values_that_lie_close_together(spark):
+    rnd = random.Random(2)
+    values = [1.0 + rnd.random() * 1e-12 for _ in range(2000)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    assert exact_percentile(frame, "x", 0.95).first()["x"] == percentile_of(values, 0.95)
+    infinite = spark.createDataFrame([(float("inf"),), (float("-inf"),), (2.0,)], "x double")
+    assert exact_percentile(infinite, "x", 0.5).first()["x"] == 2.0
+    assert exact_percentile(infinite, "x", 1.0).first()["x"] == float("inf")
+    assert exact_percentile(frame.limit(0), "x", 0.5).first()["x"] is None
+
+
+def test_pagerank_stops_when_scores_settle(spark):
+    """A chain settles after as many rounds as it is long, a cycle does not within a few."""
+    nodes = spark.range(6).select("id")
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "src long, dst long, weight double")
+    run = pagerank_run(chain, nodes)
+    assert run.converged and run.rounds == 5 and run.residual == 0.0
+    cycle = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, weight double")
+    run = pagerank_run(cycle, nodes, iterations=7)
+    assert not run.converged and run.rounds == 7 and run.residual == pytest.approx(0.15 * 0.85**7)
+    assert pagerank_run(cycle, nodes, iterations=400, tolerance=1e-3).rounds < 60
 
 
 def brute_modularity(edges, of):
@@ -286,6 +312,42 @@ def test_louvain_finds_planted_groups(spark):
     assert q["modularity"] > brute_modularity(edges, alone)
     again = {r["id"]: r["community"] for r in C.louvain(frame, nodes).collect()}
     assert again == of
+    run = C.louvain_run(frame, nodes)
+    assert run.settled and run.community_count == 4 and run.modularity == pytest.approx(q["modularity"])
+    qs = [level.modularity for level in run.levels]
+    assert qs == sorted(qs) and [level.communities for level in run.levels] == sorted((level.communities for level in run.levels), reverse=True)
+
+
+def test_louvain_says_when_it_did_not_settle(spark):
+    edges = [(a, b, 1) for g in range(4) for a, b in itertools.combinations(range(g * 5, g * 5 + 5), 2)]
+    edges += [(0, 5, 1), (5, 10, 1), (10, 15, 1)]
+    frame = spark.createDataFrame(edges, "src long, dst long, weight long")
+    short = C.louvain_run(frame, spark.range(20), max_levels=1, max_iterations=1)
+    assert not short.settled
+    none = C.louvain_run(frame.limit(0), spark.range(3))
+    assert none.settled and none.levels == [] and none.community_count == 3 and none.modularity == 0.0
+
+
+def test_nodes_and_edges_come_from_one_scan(spark):
+    records = raw(
+        spark,
+        {"ID": "1", "ANIMALS": [("BOVINO,FEMEA,0 A 12", 5), ("BOVINO,MACHO,13 A 24", None)]},
+        {"ID": "2", "ANIMALS": None, "SLAUGHTER_GTA": True, "DESTINATION_CODE": "S"},
+        {"ID": "2", "ANIMALS": [], "SLAUGHTER_GTA": True, "DESTINATION_CODE": "S"},
+        {"ID": "3", "SLAUGHTER_GTA": None},
+    )
+    permits, animals = P.normalise_permits(records), P.permit_animals(records)
+    graph = P.build_graph(permits, animals, [2018], F.col("gta_id").cast("long"))
+    keys = {"Farm": "id", "Slaughterhouse": "id", "City": "geocode", "State": "name", "GTA": "gta_id", "Code": "code", "Animal_Type": "animal_type"}
+    want = {(label, r[0]) for label, frame in graph.nodes.items() for r in frame.select(keys.get(label, frame.columns[0])).collect()}
+    nodes = P.node_keys(records)
+    assert {tuple(r) for r in nodes.collect()} == want and nodes.count() == len(want)
+    edges = P.edge_pairs(records)
+    listed = sorted((kind, str(r["src"]), str(r["dst"])) for kind, frame in graph.edges.items() for r in frame.select("src", "dst").collect())
+    assert sorted(map(tuple, edges.collect())) == listed
+    for frame in (nodes, edges):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") + plan.count("Generate") >= 1 and plan.count("LogicalRDD") <= 1
 
 
 def test_second_degree_groups_skip_direct_senders(spark):
