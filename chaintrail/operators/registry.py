@@ -38,20 +38,21 @@ INPUT_FILES = {
 
 
 def registry_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """The nine bronze inputs, every string stripped of white space."""
-    return {name: read_trimmed(spark, paths[name], sep) for name, sep in INPUT_FILES.items()}
+    """The nine bronze inputs, every string stripped of white space; the facility lists know the place of each row."""
+    return {name: read_trimmed(spark, paths[name], sep, position="row_id" if name.startswith("df") else "") for name, sep in INPUT_FILES.items()}
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
     """Stack lists by column name; `source_rank` and `row_id` keep the reading order.
 
-    A list without a row_id column gets one from its position in the files, which
-    survives a retried task.
+    `registry_inputs` gives row ids that do not depend on how files are split. A list without them
+    is taken in the order of its partitions, which changes when its files are split otherwise.
     """
     out = None
     for rank, df in enumerate(sources):
         if "row_id" not in df.columns:
-            df = df.withColumn("row_id", F.monotonically_increasing_id())
+            here = (F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row"))
+            df = df.withColumn("row_id", F.struct(*here))
         df = df.withColumn("source_rank", F.lit(rank))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out

@@ -1,17 +1,19 @@
-"""Replication of a table by comparing row fingerprints."""
+"""Replication of a table by comparing row fingerprints, copies included."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaintrail.functions.measures import fingerprint, freshness
-from chaintrail.session import materialise
+from chaintrail.session import discard, in_parallel, materialise
 
-HASH = "row_hash"
+HASH, COPIES, VERSION = "row_hash", "copies", "version"
+#: Copies of one row that one task writes out.
+COPIES_PER_TASK = 100_000
 
 
 def schema_info(df: DataFrame, exclude: Iterable[str] = ()) -> list[tuple[str, str]]:
@@ -38,36 +40,99 @@ def with_hash(df: DataFrame, mode: str = "md5") -> DataFrame:
     return df.withColumn(HASH, fingerprint([c for c in df.columns if c != HASH], mode))
 
 
-def missing_hashes(here: DataFrame, there: DataFrame) -> DataFrame:
-    """Distinct fingerprints of `here` that `there` lacks; only fingerprints are shuffled."""
-    return here.select(HASH).distinct().join(there.select(HASH).distinct(), HASH, "left_anti")
+# --- differences of multisets
 
 
-def changed_hashes(source: DataFrame, dest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new, stale) distinct fingerprints, each written once and read from there."""
-    return (
-        materialise(missing_hashes(source, dest), "new-hashes"),
-        materialise(missing_hashes(dest, source), "stale-hashes"),
-    )
+def _copies(df: DataFrame, sign: int) -> DataFrame:
+    """(row_hash, copies) of each row, with `sign`; a frame that counts its copies keeps its counts."""
+    count = F.col(COPIES) if COPIES in df.columns else F.lit(1)
+    return df.select(HASH, (count.cast("long") * sign).alias(COPIES))
+
+
+def changed_copies(source: DataFrame, dest: DataFrame) -> DataFrame:
+    """(row_hash, copies): how often a row must be added to `dest` (above 0) or taken away (below 0).
+
+    One sum over both sides: counts are added up before the shuffle, which carries
+    fingerprints only, and a row that stands a million times is one row of it.
+    """
+    both = _copies(source, 1).unionByName(_copies(dest, -1))
+    return both.groupBy(HASH).agg(F.sum(COPIES).alias(COPIES)).where(F.col(COPIES) != 0)
+
+
+def rows_of(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """One row for each fingerprint in `changed`, with its copies.
+
+    The change set is usually small, so its size on disk lets the planner broadcast it and
+    leave the full rows where they are; a large one is shuffled.
+    """
+    some = rows.drop(COPIES).join(changed, HASH).dropDuplicates([HASH])
+    return some.select(*[c for c in rows.columns if c != COPIES], COPIES)
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Every row as often as `copies` says. Rows with very many copies are dealt to several tasks."""
+    most = rows.agg(F.max(COPIES)).first()[0] or 0
+    kept = [c for c in rows.columns if c != COPIES]
+    if most > COPIES_PER_TASK:
+        parts = F.explode(F.sequence(F.lit(0), F.floor((F.col(COPIES) - 1) / COPIES_PER_TASK)))
+        rows = rows.where(F.col(COPIES) > 0).withColumn("_part", parts)
+        rows = rows.withColumn(COPIES, F.least(F.lit(COPIES_PER_TASK), F.col(COPIES) - F.col("_part") * COPIES_PER_TASK))
+        rows = rows.repartition(HASH, "_part")
+    copies = F.explode(F.array_repeat(F.lit(0), F.greatest(F.col(COPIES), F.lit(0)).cast("int")))
+    return rows.select(*kept, copies.alias("_copy")).drop("_copy")
 
 
 def changes(source: DataFrame, dest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(inserts, deletes) between fingerprinted frames.
+    """(inserts, deletes) between fingerprinted frames, as multisets: each row as often as it must be added or removed.
 
-    First the fingerprints alone are compared, then each side keeps the rows whose
-    fingerprint changed. The change set is usually small, so its size on disk lets
-    the planner broadcast it and leave the full rows where they are; a large one is
-    shuffled.
+    Each side is fingerprinted twice at most: to be compared, and to find its changed rows.
     """
-    new, stale = changed_hashes(source, dest)
-    inserts = source.join(new, HASH, "left_semi").select(source.columns)
-    return inserts, dest.join(stale, HASH, "left_semi").select(dest.columns)
+    changed = materialise(changed_copies(source, dest), "changed-copies")
+    added = changed.where(F.col(COPIES) > 0)
+    gone = changed.where(F.col(COPIES) < 0).withColumn(COPIES, -F.col(COPIES))
+    return (
+        repeated(materialise(rows_of(source, added), "inserted-rows")).select(source.columns),
+        repeated(materialise(rows_of(dest, gone), "deleted-rows")).select(dest.columns),
+    )
 
 
 def apply_changes(dest: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
-    """The next snapshot: rows of stale fingerprints leave, inserts join."""
-    stale = deletes.select(HASH).distinct()
-    return dest.join(stale, HASH, "left_anti").select(dest.columns).unionByName(inserts)
+    """The next snapshot: as many copies of a row leave as were deleted, inserts join."""
+    gone = deletes.groupBy(HASH).agg((-F.count("*")).alias(COPIES))
+    return _alive(dest.withColumn(COPIES, F.lit(1).cast("long")), gone).unionByName(inserts).select(dest.columns)
+
+
+def _alive(base: DataFrame, later: DataFrame) -> DataFrame:
+    """`base` after the signed copies in `later`; rows it does not name are neither shuffled nor rewritten.
+
+    `later` has the fingerprint and the copies, and may have the columns of new rows.
+    """
+    named = materialise(later.select(HASH).distinct(), "named-hashes")
+    kept = base.join(named, HASH, "left_anti").select(base.columns)
+    touched = base.join(named, HASH, "left_semi").select(base.columns)
+    new = later.where(F.col(COPIES) > 0)
+    full = touched if set(base.columns) - set(later.columns) else touched.unionByName(new.select(base.columns))
+    left = _copies(touched, 1).unionByName(_copies(later, 1)).groupBy(HASH).agg(F.sum(COPIES).alias(COPIES))
+    rows = materialise(rows_of(full, left.where(F.col(COPIES) > 0)), "touched-rows")
+    # a row of the base stands once for each of its copies
+    return kept.drop(COPIES).unionByName(repeated(rows))
+
+
+# --- a log of versions
+
+
+def as_of(log: DataFrame, version: int | None = None) -> DataFrame:
+    """Rows alive at a version, by default the latest, of a log (row, row_hash, copies, version).
+
+    The smallest version holds the whole table, later ones the signed copies of the rows that
+    changed. Only what later versions name is compared; the rest of the first version is read as
+    it was written.
+    """
+    upto = log if version is None else log.where(F.col(VERSION) <= version)
+    first = log.agg(F.min(VERSION)).first()[0]
+    columns = [c for c in log.columns if c != VERSION]
+    base, later = (upto.where(c).select(columns) for c in (F.col(VERSION) == first, F.col(VERSION) > first))
+    return _alive(base, later)
 
 
 def source_freshness(source: DataFrame, field: str, stamp: str | None) -> DataFrame:
@@ -90,139 +155,86 @@ class Outcome:
     version: int | None = None
 
 
-class VersionedTable:
-    """Change log under one folder: every version is one write of inserted and deleted rows.
+STAMP = "source_time"
 
-    A version appears when its write commits, so a lost executor or driver leaves no
-    half version. Rows alive at version n are those inserted up to n and not deleted
-    at a later version up to n; unchanged rows are never rewritten. A full refresh
-    opens a new generation, which starts from nothing and may have other columns;
-    version numbers run on.
-    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, path: str):
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
-
-    def _numbers(self, path: str, prefix: str) -> list[int]:
-        fs, root = self._fs(path)
-        if not fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(root)]
-        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
-
-    def _generations(self) -> dict[int, list[int]]:
-        """Committed versions by generation."""
-        out = {}
-        for generation in self._numbers(self.path, "generation="):
-            base = f"{self.path}/generation={generation}"
-            done = []
-            for version in self._numbers(base, "version="):
-                fs, marker = self._fs(f"{base}/version={version}/_SUCCESS")
-                if fs.exists(marker):
-                    done.append(version)
-            if done:
-                out[generation] = done
-        return out
-
-    def versions(self) -> list[int]:
-        return sorted(v for known in self._generations().values() for v in known)
-
-    def refresh(self, rows: DataFrame) -> int:
-        """Write all rows as the first version of a new generation."""
-        generations = self._generations()
-        return self._write(rows.withColumn("_op", F.lit("insert")), max(generations, default=-1) + 1)
-
-    def append(self, inserts: DataFrame, deletes: DataFrame) -> int:
-        """Write a difference; of deleted rows only the fingerprint is kept."""
-        gone = deletes.select(HASH).distinct()
-        gone = gone.withColumns({c: F.lit(None).cast(kind) for c, kind in inserts.dtypes if c != HASH})
-        log = inserts.withColumn("_op", F.lit("insert")).unionByName(gone.withColumn("_op", F.lit("delete")))
-        return self._write(log, max(self._generations()))
-
-    def inserted(self, version: int) -> int:
-        """Rows inserted by one version, counted from what was written."""
-        generation = next(g for g, known in self._generations().items() if version in known)
-        log = self.spark.read.parquet(f"{self.path}/generation={generation}/version={version}")
-        return log.where(F.col("_op") == "insert").count()
-
-    def _write(self, log: DataFrame, generation: int) -> int:
-        version = max(self.versions(), default=-1) + 1
-        log.write.mode("overwrite").parquet(f"{self.path}/generation={generation}/version={version}")
-        return version
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows alive at a version, by default the latest."""
-        for generation, versions in sorted(self._generations().items(), reverse=True):
-            known = [v for v in versions if version is None or v <= version]
-            if known:
-                break
-        else:
-            raise ValueError(f"no version to read under {self.path}")
-        base = f"{self.path}/generation={generation}"
-        log = self.spark.read.option("basePath", base).parquet(*[f"{base}/version={v}" for v in known])
-        rows = log.where(F.col("_op") == "insert")
-        if len(known) > 1:
-            gone = log.where(F.col("_op") == "delete").groupBy(HASH).agg(F.max("version").alias("_gone"))
-            rows = rows.join(gone, HASH, "left").where(F.col("_gone").isNull() | (F.col("version") > F.col("_gone")))
-        return rows.select([c for c in log.columns if c not in ("_op", "version")])
-
-    def _stamp_path(self) -> str:
-        return f"{self.path}/_stamp"
-
-    def stamp(self) -> str | None:
-        fs, path = self._fs(self._stamp_path())
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(self._stamp_path()).agg(F.max("value")).first()[0]
-
-    def set_stamp(self, value: str) -> None:
-        row = self.spark.createDataFrame([(value,)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(self._stamp_path())
-
-
-def replicate(
-    source: DataFrame, dest: VersionedTable, name: str = "", refresh_field: str | None = None, mode: str = "md5"
-) -> Outcome:
-    """Bring `dest` up to `source`: skip, refresh fully, or write the difference.
-
-    A full refresh happens for a new destination or changed columns. Stale rows are
-    always looked for, also when both sides count the same.
+def _stamp(spark: SparkSession, table: str) -> str | None:
+    row = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == STAMP).first()
+    return row["value"] if row else None
+
+
+def _last_version(spark: SparkSession, table: str) -> int:
+    return spark.table(table).agg(F.max(VERSION)).first()[0]
+
+
+def _begin(rows: DataFrame, table: str, version: int) -> int:
+    """A log table that begins with all rows as `version`."""
+    whole = rows.withColumn(COPIES, F.lit(1).cast("long")).withColumn(VERSION, F.lit(version))
+    whole.write.format("parquet").mode("overwrite").partitionBy(VERSION).saveAsTable(table)
+    return version
+
+
+def _append(rows: DataFrame, changed: DataFrame, table: str) -> int:
+    """One more version: rows to add with their columns, rows to remove by their fingerprint.
+
+    A write that was cut off leaves files of a version the table does not know; the next one overwrites them.
+    """
+    spark = rows.sparkSession
+    version = _last_version(spark, table) + 1
+    added = rows_of(rows, changed.where(F.col(COPIES) > 0))
+    gone = changed.where(F.col(COPIES) < 0)
+    log = added.unionByName(gone, allowMissingColumns=True).select(*[c for c in spark.table(table).columns if c != VERSION])
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({VERSION} = {version}) SELECT * FROM {{log}}", log=log)
+    return version
+
+
+def _set_aside(spark: SparkSession, table: str, name: str) -> None:
+    """Rename a log table; its versions are told where they are now, which not every catalogue does by itself."""
+    spark.sql(f"ALTER TABLE {table} RENAME TO {name}")
+    where = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+    for row in spark.sql(f"SHOW PARTITIONS {name}").collect():  # one row per version
+        version = row["partition"].split("=")[1]
+        spark.sql(f"ALTER TABLE {name} PARTITION ({VERSION} = {version}) SET LOCATION '{where}/{row['partition']}'")
+
+
+def replicate(source: DataFrame, table: str, refresh_field: str | None = None, mode: str = "md5") -> Outcome:
+    """Bring the log table `table` up to `source`: skip, begin anew, or write the difference.
+
+    A new destination and changed columns begin a log; the one with the old columns is kept
+    under a name with its last version. Stale rows are always looked for, also when both
+    sides count the same. A table has one writer at a time.
     """
-    stamp = None
+    spark, stamp = source.sparkSession, None
+    known = spark.catalog.tableExists(table)
     if refresh_field:
-        seen = source_freshness(source, refresh_field, dest.stamp()).first()
+        seen = source_freshness(source, refresh_field, _stamp(spark, table) if known else None).first()
         stamp = str(seen["source_time"])
-        if seen["state"] == "same" and dest.versions():
-            return Outcome(name, "up-to-date", version=max(dest.versions()))
+        if seen["state"] == "same" and known:
+            return Outcome(table, "up-to-date", version=_last_version(spark, table))
         source = source.drop(refresh_field)
     hashed = with_hash(source, mode)
-    if not dest.versions():
-        outcome = Outcome(name, "created", version=dest.refresh(hashed))
+    if not known:
+        outcome = Outcome(table, "created", version=_begin(hashed, table, 0))
+    elif schema_info(source, [HASH]) != schema_info(spark.table(table), [HASH, COPIES, VERSION]):
+        last = _last_version(spark, table)
+        _set_aside(spark, table, f"{table}_to_{last}")
+        outcome = Outcome(table, "schema-changed", version=_begin(hashed, table, last + 1))
     else:
-        current = dest.read()
-        if schema_info(source, [HASH]) != schema_info(current, [HASH]):
-            outcome = Outcome(name, "schema-changed", version=dest.refresh(hashed))
+        changed = materialise(changed_copies(hashed, spark.table(table)), "changed-copies")
+        more, less = changed.agg(F.sum(F.greatest(COPIES, F.lit(0))), F.sum(F.greatest(-F.col(COPIES), F.lit(0)))).first()
+        if more is None:
+            outcome = Outcome(table, "unchanged", version=_last_version(spark, table))
         else:
-            new, stale = changed_hashes(hashed, current)
-            if new.isEmpty() and stale.isEmpty():
-                outcome = Outcome(name, "unchanged", version=max(dest.versions()))
-            else:
-                gone = current.select(HASH).join(stale, HASH, "left_semi").count()
-                version = dest.append(hashed.join(new, HASH, "left_semi").select(hashed.columns), stale)
-                outcome = Outcome(name, "changed", dest.inserted(version), gone, version)
+            outcome = Outcome(table, "changed", more, less, _append(hashed, changed, table))
+        discard(changed)
     if stamp:
-        dest.set_stamp(stamp)
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{STAMP}'='{stamp}')")
     return outcome
 
 
 def replicate_all(
-    tables: Iterable[str],
-    read_source: Callable[[str], DataFrame],
-    open_dest: Callable[[str], VersionedTable],
-    refresh_field: str | None = None,
+    spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], refresh_field: str | None = None, at_once: int = 4
 ) -> list[Outcome]:
-    return [replicate(read_source(t), open_dest(t), t, refresh_field) for t in tables]
+    """Replicate several tables, `at_once` of them at a time; one that fails is reported and does not stop the others."""
+    done = in_parallel(spark, {t: lambda t=t: replicate(sources[t](), t, refresh_field) for t in sources}, at_once)
+    return [r if isinstance(r, Outcome) else Outcome(t, f"failed: {r}") for t, r in done.items()]

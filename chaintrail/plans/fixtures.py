@@ -212,19 +212,27 @@ def raw_permits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _more_copies(orders: DataFrame, digit: int, more: int) -> DataFrame:
+    """Further copies of the orders whose key ends in `digit`."""
+    rows = orders.where(F.col("o_orderkey") % 10 == digit)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(more)))).drop("copy")
+
+
 def replica_source(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders")
+    """The orders, those ending in 3 twice."""
+    orders = table(spark, sf, "orders")
+    return orders.unionByName(_more_copies(orders, 3, 1))
 
 
 def replica_dest(spark: SparkSession, sf: str) -> DataFrame:
-    """The orders of an earlier time: some missing, some at another price, some since removed."""
+    """The orders of an earlier time: some missing, some at another price, some since removed, some three times."""
     orders = table(spark, sf, "orders")
     last = F.col("o_orderkey") % 10
     kept = orders.where(last != 0).withColumn(
         "o_totalprice", F.when(last == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     )
     stale = orders.where(last == 2).withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000_000)
-    return kept.unionByName(stale)
+    return kept.unionByName(stale).unionByName(_more_copies(orders, 4, 2))
 
 
 def ponds(spark: SparkSession, sf: str) -> DataFrame:

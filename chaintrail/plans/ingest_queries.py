@@ -98,24 +98,57 @@ def csv_folder(spark: SparkSession, sf: str) -> DataFrame:
     )
     root = new_scratch(spark, "folder")
     rows.repartition(2, "order_key").sortWithinPartitions("part", F.col("mixed").startswith("x")).write.partitionBy("part").csv(root, header=True)
-    tables = [spark.table(t) for t in T.load_csv_folder(spark, root, _scratch_database(spark))]
+    tables = [spark.table(load.table) for load in T.load_csv_folder(spark, root, _scratch_database(spark))]
     tables = [t.select(F.col("order_key").cast("long"), F.col("mixed").cast("string")) for t in tables]
     return reduce(DataFrame.unionByName, tables)
 
 
 @query(
-    "csv_bad_records",
+    "csv_folder_report",
     """
-    SELECT o_orderkey AS order_key, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS cust_key,
-           CASE WHEN o_orderstatus = 'P' THEN concat(o_orderkey, ';n/a') END AS record
-    FROM orders WHERE o_orderstatus <> 'P'
-    UNION ALL SELECT NULL, NULL, concat(o_orderkey, ';n/a') FROM orders WHERE o_orderstatus = 'P'""",
+    SELECT 'empty' AS state, 1 AS files, 0 AS rows_written
+    UNION ALL SELECT 'loaded', 2, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)""",
 )
-def csv_bad_records(spark: SparkSession, sf: str) -> DataFrame:
-    lines = fx.table(spark, sf, "orders").select(
-        "o_orderkey", F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey")
+def csv_folder_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder with an empty file, one of a single column, and one as usual: what became of each kind."""
+    root = new_scratch(spark, "odd-folder")
+    customers, suppliers = fx.table(spark, sf, "customer"), fx.table(spark, sf, "supplier")
+    customers.select("c_custkey", "c_name").coalesce(1).write.csv(f"{root}/usual", header=True)
+    suppliers.select("s_name").coalesce(1).write.csv(f"{root}/single", header=True)
+    suppliers.where("false").select("s_name").coalesce(1).write.csv(f"{root}/nothing")
+    loads = T.load_csv_folder(spark, root, _scratch_database(spark))
+    return T.load_report(spark, loads).groupBy("state").agg(F.count("*").alias("files"), F.sum("rows_written").alias("rows_written"))
+
+
+_LINES = """
+    SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderstatus = 'P' AS bad,
+           CASE WHEN o_orderkey % 5 = 0 THEN concat('two', chr(10), 'lines') ELSE 'one' END AS note FROM orders"""
+
+
+def _orders_with_bad_rows(spark: SparkSession, sf: str) -> str:
+    """Orders with a note that may span lines, and no number where the status is P."""
+    return _write_csv(
+        fx.table(spark, sf, "orders").select(
+            F.col("o_orderkey").alias("order key"),
+            F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_custkey").cast("string")).alias("cust key"),
+            F.when(F.col("o_orderkey") % 5 == 0, "two\nlines").otherwise("one").alias("note"),
+        ),
+        "bad-rows",
     )
-    good, bad = CSV.read_with_bad_records(spark, _write_csv(lines, "bad-rows"), "order_key bigint, cust_key bigint")
+
+
+_BAD_SCHEMA = "order_key bigint, cust_key bigint, note string"
+
+
+@query(
+    "csv_bad_records",
+    f"""
+    WITH line AS ({_LINES})
+    SELECT order_key, cust_key, note, NULL AS record FROM line WHERE NOT bad
+    UNION ALL SELECT NULL, NULL, NULL, concat(order_key, ';n/a;', CASE WHEN note = 'one' THEN note ELSE concat('"', note, '"') END) FROM line WHERE bad""",
+)
+def csv_bad_records(spark: SparkSession, sf: str) -> DataFrame:
+    good, bad = CSV.read_with_bad_records(spark, _orders_with_bad_rows(spark, sf), _BAD_SCHEMA)
     return good.withColumn("record", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
@@ -127,9 +160,8 @@ def csv_bad_records(spark: SparkSession, sf: str) -> DataFrame:
     FROM orders""",
 )
 def ingest_audit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = csv_bad_records(spark, sf)
-    good, bad = rows.where(F.col("record").isNull()), rows.where(F.col("record").isNotNull())
-    return T.load_audit(good, bad, "orders.csv", "bronze_orders").select("table_name", "rows_written", "bad_rows")
+    load = T.load_file(spark, _orders_with_bad_rows(spark, sf), _scratch_database(spark), "bronze_orders", schema=_BAD_SCHEMA)
+    return T.load_audit(spark, load).select("table_name", "rows_written", "bad_rows")
 
 
 _PADDED = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {name} AS c_name, c_mktsegment FROM customer"
@@ -245,6 +277,27 @@ def catalog_csvs_of_db(spark: SparkSession, sf: str) -> DataFrame:
     return K.catalogue_csvs(_silver(spark, sf), "n3", "db1")
 
 
+@query(
+    "catalogue_tables",
+    """
+    WITH listed AS (SELECT s_suppkey % 7 AS f FROM supplier WHERE s_nationkey % 5 = 3 AND s_suppkey % 3 = 1
+                    UNION SELECT (s_suppkey + 3) % 7 FROM supplier WHERE s_nationkey % 5 = 3 AND s_suppkey % 3 = 1)
+    SELECT concat('bronze_f_f', c_custkey % 5) AS table_name, CAST(c_custkey AS BIGINT) AS c_custkey, c_name
+    FROM customer WHERE c_nationkey % 5 = 3 AND c_custkey % 3 = 1 AND c_custkey % 5 IN (SELECT f FROM listed)""",
+)
+def catalogue_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The datasets that the catalogue lists for one database and that exist, loaded and read back."""
+    root, database = _catalogue_files(spark, sf), _scratch_database(spark)
+    listed = K.catalogue_csvs(_silver(spark, sf), "n3", "db1")
+    parts = F.split("path", "/")
+    folders = [F.concat(F.lit(f"{c}="), F.get(parts, F.lit(i))) for i, c in enumerate("cdf")]
+    loads = T.load_catalogue_csvs(spark, listed.select(F.concat_ws("/", *folders).alias("path")), root, lambda path: database)
+    tables = [
+        spark.table(x.table).select(F.lit(x.table.split("`")[-2]).alias("table_name"), F.col("c_custkey").cast("long"), "c_name") for x in loads
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue records as nested structs; the second table is missing in half of them."""
     table = lambda path: F.struct(F.struct(path.alias("s3_object")).alias("options"))
@@ -319,7 +372,9 @@ def yaml_catalog(spark: SparkSession, sf: str) -> DataFrame:
 @query("silver_catalog", _FLAT.format(dash="_", more=", " + _PATHS))
 def silver_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Types inferred from the records, flattened, paths collected."""
-    _, flat = K.build_silver(spark, _yaml_files(spark, sf))
+    path = new_scratch(spark, "nested-json")
+    _nested(spark, sf).write.json(path)
+    flat = K.silver_catalogue(K.read_nested_json(spark, path, multi_line=False))
     return flat.withColumn("all_s3_records", F.array_join("all_s3_records", ","))
 
 

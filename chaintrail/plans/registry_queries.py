@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from chaintrail.plans import fixtures as fx
 from chaintrail.plans.sql_parts import sql
 from chaintrail.session import new_scratch
 from chaintrail.sources import jdbc
+from chaintrail.sources.tables import create_database
 
 QUERIES: dict = {}
 
@@ -35,8 +38,9 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     "replicate_changes",
     sql(
         """
-    SELECT 'insert' AS op, * FROM orders WHERE o_orderkey % 10 IN (0, 1)
-    UNION ALL SELECT 'delete', * FROM dest_orders WHERE o_orderkey % 10 = 1 OR o_orderkey >= 1000000000000""",
+    SELECT 'insert' AS op, * FROM orders WHERE o_orderkey % 10 IN (0, 1, 3)
+    UNION ALL SELECT 'delete', * FROM dest_orders WHERE o_orderkey % 10 = 1 OR o_orderkey >= 1000000000000
+    UNION ALL SELECT 'delete', orders.* FROM orders, range(2) WHERE o_orderkey % 10 = 4""",
         "dest_orders",
     ),
 )
@@ -45,25 +49,63 @@ def replicate_changes(spark: SparkSession, sf: str) -> DataFrame:
     return inserts.withColumn("op", F.lit("insert")).unionByName(deletes.withColumn("op", F.lit("delete"))).drop(R.HASH)
 
 
-@query("replicate_apply", "SELECT * FROM orders")
+@query("replicate_apply", sql("SELECT * FROM source_orders", "source_orders"))
 def replicate_apply(spark: SparkSession, sf: str) -> DataFrame:
     source, dest = _both(spark, sf)
     return R.apply_changes(dest, *R.changes(source, dest)).drop(R.HASH)
 
 
+def _log_table(spark: SparkSession) -> str:
+    location = new_scratch(spark, "replica")
+    name = "replica_" + location.rsplit("-", 1)[-1]
+    create_database(spark, name, location)
+    return f"{name}.orders"
+
+
 @query(
     "snapshot_as_of",
-    sql("SELECT 0 AS version, * FROM dest_orders UNION ALL SELECT 1, * FROM orders", "dest_orders"),
+    sql("SELECT 0 AS version, * FROM dest_orders UNION ALL SELECT 1, * FROM source_orders", "dest_orders", "source_orders"),
 )
 def snapshot_as_of(spark: SparkSession, sf: str) -> DataFrame:
     """Both versions of a table that was created from the old and replicated to the new orders."""
-    log = R.VersionedTable(spark, new_scratch(spark, "orders-log"))
-    R.replicate(fx.replica_dest(spark, sf), log)
-    R.replicate(fx.replica_source(spark, sf), log)
-    first, second = (log.read(v).drop(R.HASH).withColumn("version", F.lit(v)) for v in (0, 1))
+    name = _log_table(spark)
+    R.replicate(fx.replica_dest(spark, sf), name)
+    R.replicate(fx.replica_source(spark, sf), name)
+    log = spark.table(name)
+    first, second = (R.as_of(log, v).drop(R.HASH).withColumn("version", F.lit(v)) for v in (0, 1))
     return first.unionByName(second)
 
 
+@query(
+    "replicate_tables",
+    sql(
+        """
+    SELECT 'orders' AS name, 'changed' AS action, (SELECT count(*) FROM orders WHERE o_orderkey % 10 IN (0, 1, 3)) AS inserted,
+           (SELECT count(*) FROM dest_orders WHERE o_orderkey % 10 = 1 OR o_orderkey >= 1000000000000)
+               + 2 * (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 4) AS deleted, 1 AS version,
+           (SELECT count(*) FROM source_orders) AS rows
+    UNION ALL SELECT 'customer', 'unchanged', 0, 0, 0, count(*) FROM customer
+    UNION ALL SELECT 'supplier', 'changed', 0, 1, 1, count(*) FROM supplier""",
+        "dest_orders",
+        "source_orders",
+    ),
+)
+def replicate_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tables replicated twice, at the same time: what the second run did, and the rows alive after it."""
+    database = _log_table(spark).split(".")[0]
+    suppliers, customers = fx.table(spark, sf, "supplier"), fx.table(spark, sf, "customer")
+    lowest = suppliers.agg(F.min("s_suppkey").alias("s_suppkey"))
+    first = suppliers.unionByName(suppliers.join(lowest, "s_suppkey", "left_semi"))  # one row stands twice
+    before = {"orders": lambda: fx.replica_dest(spark, sf), "customer": lambda: customers, "supplier": lambda: first}
+    after = {"orders": lambda: fx.replica_source(spark, sf), "customer": lambda: customers, "supplier": lambda: suppliers}
+    R.replicate_all(spark, {f"{database}.{t}": read for t, read in before.items()})
+    outcomes = R.replicate_all(spark, {f"{database}.{t}": read for t, read in after.items()})
+    rows = [(o.table.split(".")[1], o.action, o.inserted, o.deleted, o.version) for o in outcomes]
+    report = spark.createDataFrame(rows, "name string, action string, inserted long, deleted long, version int")
+    alive = [R.as_of(spark.table(o.table)).agg(F.count("*").alias("rows")).withColumn("name", F.lit(o.table.split(".")[1])) for o in outcomes]
+    return report.join(reduce(DataFrame.unionByName, alive), "name")
+
+
 @query(
     "source_freshness",
     """
@@ -75,7 +117,16 @@ def source_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return R.source_freshness(fx.replica_source(spark, sf), "o_orderdate", "1998-01-01 00:00:00")
 
 
-@query("schema_probe")
+_PROBED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
+
+
+@query(
+    "schema_probe",
+    sql(
+        " UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS type, count({c}) AS filled FROM source_orders" for c, t in _PROBED.items()),
+        "source_orders",
+    ),
+)
 def schema_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of the replicated table without the refresh field, and how many values each holds."""
     source = fx.replica_source(spark, sf)
@@ -222,23 +273,41 @@ def missing_canton(spark: SparkSession, sf: str) -> DataFrame:
     return G.missing_canton(match_facilities(spark, sf))
 
 
-@query(
-    "facility_registry",
-    sql(
-        f"""
+_REGISTRY = sql(
+    f"""
     SELECT {_MATCHED}, 'www.acuaculturaypesca.gob.ec' AS SOURCE
     FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(G.FINAL_KEY)}
                                        ORDER BY source_rank, row_id, CHINA_NAME_SYNONYM, ADDRESS, TELEPHONE, CONTACT) AS rn FROM matched)
     WHERE rn = 1""",
-        "matched",
-    ),
+    "matched",
 )
+
+
+@query("facility_registry", _REGISTRY)
 def facility_registry(spark: SparkSession, sf: str) -> DataFrame:
     return G.facility_registry(
         _facilities(spark, sf), fx.eu_list(spark, sf), fx.china_list(spark, sf), fx.city_list(spark, sf), fx.parish_list(spark, sf)
     )
 
 
+@query("facility_registry_files", _REGISTRY)
+def facility_registry_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry from its nine CSV files, some of them with line breaks inside fields."""
+    lists = fx.facility_sources(spark, sf)
+    inputs = {
+        "city_df": fx.city_list(spark, sf), "parish_df": fx.parish_list(spark, sf),
+        "eu_df": fx.eu_list(spark, sf), "china_df": fx.china_list(spark, sf),
+        **{name: df.orderBy("row_id").drop("row_id") for name, df in lists.items()},
+    }
+    paths = {name: new_scratch(spark, name) for name in inputs}
+    for name, df in inputs.items():
+        df.write.csv(paths[name], sep=G.INPUT_FILES[name], header=True)
+    read = G.registry_inputs(spark, paths)
+    first = G.facility_list([read["df1"], read["df2"], read["df3"]], copies_of=2)
+    second = G.facility_list([read["df1_2018"], read["df2_2018"]])
+    return G.facility_registry([first, second], read["eu_df"], read["china_df"], read["city_df"], read["parish_df"])
+
+
 # --- allocation by area
 
 
@@ -273,10 +342,23 @@ def _production(spark: SparkSession, sf: str) -> DataFrame:
     return A.production_per_parish(fx.ponds(spark, sf), A.product_flows(fx.raw_flows(spark, sf)), fx.FLOW_YEARS)
 
 
-@query(
-    "production_per_parish",
-    sql("SELECT PARISH_TRASE_ID, YEAR, round(avg_produced_tons, 6) AS avg_produced_tons, round(AREA_HA, 6) AS AREA_HA FROM parish_year", "parish_year"),
+_PER_PARISH = sql(
+    "SELECT PARISH_TRASE_ID, YEAR, round(avg_produced_tons, 6) AS avg_produced_tons, round(AREA_HA, 6) AS AREA_HA FROM parish_year", "parish_year"
 )
+
+
+@query("production_files", _PER_PARISH)
+def production_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the file of ponds and one file of flows a year."""
+    ponds, flows = new_scratch(spark, "ponds"), new_scratch(spark, "flows")
+    fx.ponds(spark, sf).write.csv(ponds, sep=";", header=True)
+    fx.raw_flows(spark, sf).repartition("YEAR").write.partitionBy("YEAR").csv(flows, sep=";", header=True)
+    read = A.production_inputs(spark, ponds, {y: f"{flows}/YEAR={y}" for y in fx.FLOW_YEARS})
+    made = A.production_per_parish(read[0], A.product_flows(read[1]), fx.FLOW_YEARS)
+    return _rounded(made, "avg_produced_tons", "AREA_HA")
+
+
+@query("production_per_parish", _PER_PARISH)
 def production_per_parish(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_production(spark, sf), "avg_produced_tons", "AREA_HA")
 

@@ -221,7 +221,12 @@ PARTS: dict[str, tuple[list[str], str]] = {
         FROM orders WHERE o_orderkey % 10 <> 0
         UNION ALL
         SELECT o_orderkey + 1000000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
-        FROM orders WHERE o_orderkey % 10 = 2""",
+        FROM orders WHERE o_orderkey % 10 = 2
+        UNION ALL SELECT orders.* FROM orders, range(2) WHERE o_orderkey % 10 = 4""",
+    ),
+    "source_orders": (
+        [],
+        "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 3",
     ),
     "ponds": (
         [],

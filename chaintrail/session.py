@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -74,3 +77,22 @@ def discard(*steps: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def in_parallel(spark: SparkSession, tasks: Mapping[str, Callable[[], object]], at_once: int = 4) -> dict[str, object]:
+    """Run independent driver-side tasks, each in a scheduler pool of its own; returns results or exceptions by name.
+
+    Short tasks then fill the executors that the tail of a long one leaves idle. Local properties
+    of the calling thread hold for all of them.
+    """
+
+    def run(name: str) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return tasks[name]()
+        except Exception as failure:  # noqa: BLE001  the caller decides what one failure means for the rest
+            return failure
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(tasks)))) as pool:
+        waiting = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in tasks}
+        return {name: f.result() for name, f in waiting.items()}

@@ -37,8 +37,10 @@ def yaml_records(spark: SparkSession, path: str) -> DataFrame:
     Items are the rows of the scan, so a big catalogue is split between tasks and a
     Python worker parses one record at a time.
     """
-    rows = spark.read.text(path, lineSep=RECORD_START).where(F.trim(F.rtrim("value")) != CATALOGUE_HEAD)
-    rows = rows.where(F.length(F.trim("value")) > 0)
+    rows = spark.read.text(path, lineSep=RECORD_START)
+    # what stands before the first record: a head line, comments, a document mark
+    preamble = F.regexp_replace("value", f"(?m)^\\s*(#.*|---|{CATALOGUE_HEAD})\\s*$", "")
+    rows = rows.where(F.length(F.trim(F.translate(preamble, "\r\n", "  "))) > 0)
     # the first record of a file without a head line still carries its dash
     return rows.select(F.regexp_replace("value", "^- ", "").alias("value")).mapInPandas(_to_json, "value string")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chaintrail.functions.headers import delimiter_text, needs_repair_text, repair_header_text, sanitise_names
+from chaintrail.functions.headers import delimiter_of, needs_repair, repair_header, sanitise_names
 from chaintrail.functions.text import strip_space
 from chaintrail.session import materialise
 
@@ -55,12 +57,31 @@ def read_csv(
     return reader.schema(schema).option("enforceSchema", True).csv(path)
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """Header text up to the first newline; one small task, whatever the file size."""
-    rows = spark.read.text(path, lineSep="\n").where(F.col("_metadata.file_block_start") == 0).select("value").take(1)
-    if not rows:
-        raise ValueError(f"{path} is empty")
-    return rows[0][0]
+@dataclass
+class Header:
+    """The header line of a file: its delimiter, whether it needs repair, and its clean names."""
+
+    delimiter: str
+    damaged: bool
+    names: list[str]
+
+
+def read_header(spark: SparkSession, path: str) -> Header | None:
+    """The header, judged where its line is read; one small task, whatever the file size. None for an empty file.
+
+    A header without any delimiter is that of a table with one column.
+    """
+    line = F.col("value")
+    first = spark.read.text(path, lineSep="\n").where(F.col("_metadata.file_block_start") == 0)
+    rows = first.select(
+        F.coalesce(delimiter_of(line), F.lit(DELIMITER)).alias("delimiter"),
+        F.coalesce(needs_repair(line), F.lit(False)).alias("damaged"),
+        F.rtrim(repair_header(line), F.lit("\r")).alias("repaired"),
+    ).take(1)
+    if not rows or not rows[0]["repaired"].strip():
+        return None
+    delimiter, damaged, repaired = rows[0]
+    return Header(delimiter, damaged, [n.strip() for n in repaired.split(delimiter)])
 
 
 def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
@@ -78,7 +99,7 @@ def spans_lines(spark: SparkSession, path: str | list[str]) -> bool:
 def read_repaired(
     spark: SparkSession,
     path: str,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     multi_line: bool | None = None,
     corrupt: str | None = None,
     **options: object,
@@ -90,17 +111,19 @@ def read_repaired(
     reaches the driver. With `corrupt`, that column holds the text of rows that do
     not fit.
     """
-    header = first_line(spark, path)
+    header = read_header(spark, path)
+    if header is None:
+        raise ValueError(f"{path} is empty")
     multi_line = spans_lines(spark, path) if multi_line is None else multi_line
-    delimiter = delimiter_text(header)
-    damaged = needs_repair_text(header)
-    names = [n.strip() for n in repair_header_text(header).rstrip("\r").split(delimiter)]
+    delimiter, damaged, names = header.delimiter, header.damaged, header.names
     if schema is None:
         found = read_csv(spark, path, delimiter, multi_line=multi_line, line_sep="\n", **options).schema
         kinds = [f.dataType for f in found.fields]
         kinds += [T.StringType()] * (len(names) - len(kinds))
         unique = sanitise_names(names, " ")
         schema = T.StructType([T.StructField(n, t) for n, t in zip(unique, kinds, strict=False)])
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     if corrupt:
         schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
@@ -117,24 +140,40 @@ def read_with_bad_records(
     """(good rows, raw text of rows that do not fit the schema).
 
     The parsed rows are written once: both results then rest on the same full parse,
-    whatever columns are used later.
+    whatever columns are used later. Quoted fields may hold line breaks, as elsewhere.
     """
     whole = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-    parsed = read_csv(
-        spark, path, delimiter, whole, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **{"multi_line": False, **options}
-    )
+    parsed = read_csv(spark, path, delimiter, whole, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
     df = materialise(parsed, "parsed")
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return good, df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
 
 
-def read_strings(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool | None = None) -> DataFrame:
-    """Plain scan, every column a string."""
+def row_position() -> Column:
+    """Place of a row in the files it was read from, as a value to sort by.
+
+    Path, start of the block and order inside the block: the same order however the files are
+    cut into tasks. For the frame of a scan only.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def read_strings(
+    spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool | None = None, position: str = ""
+) -> DataFrame:
+    """Plain scan, every column a string; `position` names a column for the place of each row."""
     multi_line = spans_lines(spark, path) if multi_line is None else multi_line
-    return spark.read.csv(path, sep=sep, encoding=ENCODING_NAMES.get(encoding, encoding), header=True, multiLine=multi_line)
+    df = spark.read.csv(path, sep=sep, encoding=ENCODING_NAMES.get(encoding, encoding), header=True, multiLine=multi_line)
+    return df.withColumn(position, row_position()) if position else df
 
 
-def read_trimmed(spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool | None = None) -> DataFrame:
+def read_trimmed(
+    spark: SparkSession, path: str, sep: str = DELIMITER, encoding: str = ENCODING, multi_line: bool | None = None, position: str = ""
+) -> DataFrame:
     """Plain scan with white space of any kind stripped from every value."""
-    df = read_strings(spark, path, sep, encoding, multi_line)
-    return df.select(*[strip_space(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    df = read_strings(spark, path, sep, encoding, multi_line, position)
+    return df.select(*[F.col(f"`{c}`") if c == position else strip_space(F.col(f"`{c}`")).alias(c) for c in df.columns])

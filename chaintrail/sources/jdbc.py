@@ -11,8 +11,8 @@ CONNECTIONS = 8
 
 
 def query_options(url: str, query: str, user: str = "", password: str = "", driver: str = "") -> dict[str, str]:
-    """Options that push a query into the database as a derived table."""
-    options = {"url": url, "dbtable": f"({query}) AS result_table"}
+    """Options that let the database answer a query."""
+    options = {"url": url, "query": query}
     options.update({k: v for k, v in {"user": user, "password": password, "driver": driver}.items() if v})
     return options
 
@@ -20,9 +20,15 @@ def query_options(url: str, query: str, user: str = "", password: str = "", driv
 def partitioned_options(
     base: dict[str, str], column: str, lower: object, upper: object, partitions: int = CONNECTIONS, fetch_size: int = FETCH_SIZE
 ) -> dict[str, str]:
-    """Options that split a read into strides of a column over several connections."""
+    """Options that split a read into strides of a column over several connections.
+
+    The source reads a table in strides, not a query, so a query becomes one by a name.
+    """
+    whole = dict(base)
+    if "query" in whole:
+        whole["dbtable"] = f"({whole.pop('query')}) strided"
     return {
-        **base,
+        **whole,
         "partitionColumn": column,
         "lowerBound": str(lower),
         "upperBound": str(upper),
@@ -37,7 +43,7 @@ def read_query(spark: SparkSession, options: dict[str, str]) -> DataFrame:
 
 def schema_probe(spark: SparkSession, base: dict[str, str], table: str) -> DataFrame:
     """No rows, only the schema of a table."""
-    return read_query(spark, {**base, "dbtable": f"(SELECT * FROM {table} WHERE 1=2) AS result_table"})
+    return read_query(spark, {**{k: v for k, v in base.items() if k != "dbtable"}, "query": f"SELECT * FROM {table} WHERE 1 = 0"})
 
 
 def column_bounds(df: DataFrame, column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the files below a folder that hold no byte, which a scan leaves out.
+
+    Spark's own list of the files, which the driver of any scan holds, against those it would read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    plain = lambda path: re.sub("^file:/+", "file:/", path)
+    read = {plain(r["path"]) for r in files.select("path").toLocalIterator()}
+    return sorted({plain(unquote(path)) for path in files.inputFiles()} - read)
+
+
 def below(path: Column, root: str) -> Column:
     """Path without the root, whose scheme and authority a listing may have added."""
     plain = re.sub("^[A-Za-z0-9+.-]+:/+", "/", root).rstrip("/")

@@ -21,6 +21,7 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"),
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoint-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -53,6 +53,7 @@ def compare(df, con, text: str) -> str | None:
 
 if __name__ == "__main__":
     import os
+    import tempfile
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
@@ -60,7 +61,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"}
+        master="local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="checkpoint-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = connect(sf), entry.oracle_sql()

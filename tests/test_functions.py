@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from chaintrail.functions import headers as H
-from chaintrail.functions.measures import fingerprint, freshness, whole_months
+from chaintrail.functions.measures import fingerprint, freshness, significant, whole_months
 from chaintrail.functions.text import cap_open_age, clean_breaks, lower_age_of, map_values, sex_of, simple_code, strip_space, upper_age_of
+from chaintrail.sources import csv_files as CSV
 
 
 def one(spark, column, **values):
@@ -58,20 +59,39 @@ def test_freshness(spark):
     assert one(spark, freshness(t("2019-01-01"), t(None))) == "newer"
 
 
-HEADERS = ["a;b c;d", "a\rb,c d", "x(kg)|y", "plain", "tab\tb\r", '"q";r', "é;f", "a;b\r", "\ra;b"]
+#: header -> (delimiter, does it need repair, repaired)
+HEADERS = {
+    "a;b c;d": (";", False, "a;b c;d"),
+    "a\rb,c d": (",", True, "a_b,c_d"),
+    "x(kg)|y": ("|", True, "x_kg_|y"),
+    "plain": (None, False, "plain"),
+    "tab\tb\r": ("\t", False, "tab\tb\r"),
+    '"q";r': (";", True, "_q_;r"),
+    "é;f": (";", True, "_;f"),
+    "a;b\r": (";", False, "a;b\r"),
+    "\ra;b": (";", False, "\ra;b"),
+    "a b,c;d(e)": (",", True, "a_b,c;d_e_"),
+}
 
 
-def test_header_rules_agree_as_column_and_text(spark):
+def test_header_rules(spark):
     df = spark.createDataFrame([(h,) for h in HEADERS], "h string")
-    got = df.select("h", H.needs_repair(F.col("h")).alias("n"), H.repair_header(F.col("h")).alias("r"), H.bronze_name(F.col("h")).alias("b")).collect()
-    for row in got:
-        assert row["n"] == H.needs_repair_text(row["h"]), row
-        assert row["r"] == H.repair_header_text(row["h"]), row
-        assert row["b"] == H.bronze_name_text(row["h"]), row
-    assert H.repair_header_text("a b;c(d)") == "a_b;c_d_"
-    assert H.repair_header_text("a b;c") == "a b;c"
-    assert H.bronze_name_text("CD_Ecuador (2013).CSV") == "bronze_cd_ecuador_2013"
-    assert H.delimiter_text("a,b;c") == ","
+    h = F.col("h")
+    got = df.select("h", H.delimiter_of(h).alias("d"), H.needs_repair(h).alias("n"), H.repair_header(h).alias("r")).collect()
+    assert {row["h"]: (row["d"], row["n"], row["r"]) for row in got} == HEADERS
+    assert one(spark, H.bronze_name(F.lit("CD_Ecuador (2013).CSV"))) == "bronze_cd_ecuador_2013"
+
+
+def test_header_of_a_file(spark, tmp_path):
+    for text, want in (
+        ("a b(x); c \n1;2\n", CSV.Header(";", True, ["a_b_x_", "_c_"])),
+        ("a b; c \r\n1;2\n", CSV.Header(";", False, ["a b", "c"])),
+        ("only one\n1\n", CSV.Header(";", False, ["only one"])),
+        ("", None),
+        ("\n\n", None),
+    ):
+        (tmp_path / "f.csv").write_bytes(text.encode())
+        assert CSV.read_header(spark, str(tmp_path / "f.csv")) == want
 
 
 def test_names_stay_unique():

@@ -1,5 +1,9 @@
 """Ingestion, replication, registry and allocation on hand-made inputs."""
 
+import random
+import uuid
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,8 +44,8 @@ def test_folder_becomes_tables(spark, tmp_path):
     write(tmp_path / "in/big.csv", "a|b\n" + "1|2\n" * 300)
     write(tmp_path / "in/readme.txt", "no table")
     T.create_database(spark, "bronze_folder", str(tmp_path / "db"))
-    names = T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_folder", max_bytes=600)
-    assert {n.split(".")[1].strip("`") for n in names} == {"bronze_two", "bronze_one_1"}  # big.csv is above the caller's limit
+    loads = T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_folder", max_bytes=600)
+    assert {x.table.split(".")[1].strip("`") for x in loads} == {"bronze_two", "bronze_one_1"}  # big.csv is above the caller's limit
     assert len(T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_folder")) == 3
     assert spark.table("bronze_folder.bronze_big").count() == 300
     assert spark.table("bronze_folder.bronze_two").count() == 1
@@ -52,9 +56,60 @@ def test_folder_becomes_tables(spark, tmp_path):
 def test_files_of_one_name_become_two_tables(spark, tmp_path):
     write(tmp_path / "in/a/x.csv", "k;v\n1;2\n")
     write(tmp_path / "in/b/x.csv", "k;v\n3;4\n")
-    names = T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_twice")
+    names = [x.table for x in T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_twice")]
     assert len(set(names)) == 2 and sorted(spark.table(n).first()["k"] for n in names) == [1, 3]
-    assert len(set(T.table_names(["/r/a/b.csv", "/r/a_b.csv", "/r/c/b.csv", "/r/a b.csv"], "/r"))) == 4
+    paths = ["/r/a/b.csv", "/r/a_b.csv", "/r/c/b.csv", "/r/a b.csv", "/r/A/b.csv"]
+    named = T.named_files(spark.createDataFrame([(p, 1) for p in paths], "path string, length long"), "/r").collect()
+    assert len({r["table"] for r in named}) == 5 and {r["length"] for r in named} == {1}
+
+
+def test_a_folder_with_odd_files_loads_the_rest(spark, tmp_path):
+    write(tmp_path / "in/usual.csv", "k;v\n1;2\n3;4\n")
+    write(tmp_path / "in/single.csv", "only\nx\ny\nz\n")
+    write(tmp_path / "in/empty.csv", "")
+    write(tmp_path / "in/blank.csv", "\n")
+    write(tmp_path / "in/head.csv", "a;b\n")
+    (tmp_path / "in/broken.csv.gz").write_bytes(b"\x1f\x8b not gzip at all")
+    loads = T.load_csv_folder(spark, str(tmp_path / "in"), "bronze_odd")
+    states = {x.path.rsplit("/", 1)[-1]: (x.state, x.rows_written) for x in loads}
+    assert states == {
+        "usual.csv": ("loaded", 2), "single.csv": ("loaded", 3), "empty.csv": ("empty", 0), "blank.csv": ("empty", 0),
+        "head.csv": ("loaded", 0), "broken.csv.gz": ("failed", 0),
+    }
+    assert spark.table("bronze_odd.bronze_single").columns == ["only"] and spark.table("bronze_odd.bronze_head").columns == ["a", "b"]
+    report = {r["state"]: r["reason"] for r in T.load_report(spark, loads).collect()}
+    assert report["failed"] and not report["loaded"]
+
+
+def test_bad_rows_between_rows_that_span_lines(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'a;b\n1;"x\ny"\nbad;"p\nq"\n2;z\n3;4;5\n')
+    good, bad = CSV.read_with_bad_records(spark, path, "a int, b string")
+    assert sorted(map(tuple, good.collect())) == [(1, "x\ny"), (2, "z")]
+    assert sorted(r[0] for r in bad.collect()) == ["3;4;5", 'bad;"p\nq"']
+    T.create_database(spark, "bronze_span", str(tmp_path / "db"))
+    load = T.load_file(spark, path, "bronze_span", "t", schema="a int, b string")
+    assert (load.rows_written, load.bad_rows) == (2, 2)
+    assert T.load_audit(spark, load).select("source_name", "rows_written", "bad_rows").collect() == [("a.csv", 2, 2)]
+    assert sorted(r[0] for r in spark.table("bronze_span.t_bad_records").collect()) == ["3;4;5", 'bad;"p\nq"']
+
+
+@pytest.mark.parametrize("block", ["128m", "300"])
+def test_reading_order_does_not_depend_on_the_splits(spark, tmp_path, block):
+    rows = "".join(f"PPA-{i % 40};n{i % 40};a{i % 2};t{i};c{i % 3}\n" for i in range(200))
+    path = write(tmp_path / "df.csv", "CODIGO;NOMBRE;DIRECCION_ESTABLECIMIENTO;TELEFONOS;CONTACTO\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        read = CSV.read_trimmed(spark, path, ";", position="row_id")
+        assert block == "128m" or read.rdd.getNumPartitions() > 5
+        kept = G.facility_list([read], copies_of=1).collect()
+        order = [r["TELEFONOS"] for r in read.orderBy("row_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert order == [f"t{i}" for i in range(200)]
+    first = {}
+    for i in range(200):
+        first.setdefault((i % 40, i % 2, i % 3), f"t{i}")
+    assert sorted(r["TELEPHONE"] for r in kept) == sorted(first.values())
 
 
 def test_rows_are_loaded_alike_at_every_size(spark, tmp_path):
@@ -86,7 +141,7 @@ def test_bad_records_of_an_earlier_load_go(spark, tmp_path):
 def test_pipeline_inputs(spark, tmp_path):
     paths = {n: write(tmp_path / f"{n}.csv", f"A{s}B\n x {s}\ty\n") for n, s in G.INPUT_FILES.items()}
     inputs = G.registry_inputs(spark, paths)
-    assert len(inputs) == 9 and all(df.collect() == [("x", "y")] for df in inputs.values())
+    assert len(inputs) == 9 and all(df.drop("row_id").collect() == [("x", "y")] for df in inputs.values())
     ponds_path = write(tmp_path / "ponds.csv", "POND_TRASE_ID;PARISH_TRASE_ID;AREA_HA\np;A;2\n")
     flow = "TOTAL.Net.Weight..Kg.;Harmonized.Code.Product.Spanish\n{};030616\n"
     flow_paths = {y: write(tmp_path / f"{y}.csv", flow.format(950 * (y - 2012))) for y in (2013, 2014)}
@@ -107,7 +162,9 @@ def test_bad_records_do_not_depend_on_chosen_columns(spark, tmp_path):
 
 
 def test_yaml_catalogue(spark, tmp_path):
-    text = """repositories:
+    text = """# all of them
+---
+repositories:
 - namespace: brazil
   external_tables:
     2017:
@@ -135,8 +192,8 @@ def test_catalogue_files_that_exist_become_tables(spark, tmp_path):
     write(tmp_path / "bucket/brazil/beef/a.csv", "a;b\n1;2\n")
     listed = spark.createDataFrame([("brazil/beef/a.csv",), ("brazil/beef/gone.csv",)], "path string")
     T.create_database(spark, "brazil__beef", str(tmp_path / "db"))
-    names = T.load_catalogue_csvs(spark, listed, str(tmp_path / "bucket"), lambda p: "brazil__beef")
-    assert names == ["`brazil__beef`.`bronze_a`"] and spark.table(names[0]).count() == 1
+    (load,) = T.load_catalogue_csvs(spark, listed, str(tmp_path / "bucket"), lambda p: "brazil__beef")
+    assert load.table == "`brazil__beef`.`bronze_a`" and spark.table(load.table).count() == 1
 
 
 def test_flatten_keeps_arrays_and_odd_names(spark):
@@ -167,12 +224,19 @@ def frame(spark, *rows, seen="2020-01-01 00:00:00"):
     return spark.createDataFrame([(i, n) for i, n in rows], "id long, name string").withColumn("seen", F.lit(seen).cast("timestamp_ntz"))
 
 
-def state(log, version=None):
-    return sorted(tuple(r) for r in log.read(version).select("id", "name").collect())
+def state(spark, name, version=None):
+    return sorted(tuple(r) for r in R.as_of(spark.table(name), version).select("id", "name").collect())
+
+
+@pytest.fixture
+def database(spark, tmp_path):
+    name = "replica_" + uuid.uuid4().hex
+    T.create_database(spark, name, str(tmp_path / "db"))
+    return name
 
 
-def test_replication_cycle(spark, tmp_path):
-    log = R.VersionedTable(spark, str(tmp_path / "log"))
+def test_replication_cycle(spark, database):
+    log = f"{database}.t"
     first = frame(spark, (1, "a"), (2, "b"), (2, "b"), (3, None))
     assert R.replicate(first, log, refresh_field="seen").action == "created"
     assert R.replicate(first, log, refresh_field="seen").action == "up-to-date"
@@ -181,42 +245,78 @@ def test_replication_cycle(spark, tmp_path):
     second = frame(spark, (1, "a"), (2, "b"), (2, "b"), (4, "d"), seen="2020-02-01 00:00:00")
     outcome = R.replicate(second, log, refresh_field="seen")
     assert (outcome.action, outcome.inserted, outcome.deleted, outcome.version) == ("changed", 1, 1, 1)
-    assert state(log) == [(1, "a"), (2, "b"), (2, "b"), (4, "d")]
-    assert state(log, 0) == sorted([(1, "a"), (2, "b"), (2, "b"), (3, None)])
-
-    # an older source is suspect but still compared; a row that left comes back
-    third = frame(spark, (1, "a"), (3, None), seen="2019-01-01 00:00:00")
-    assert R.replicate(third, log, refresh_field="seen").action == "changed"
-    assert state(log) == [(1, "a"), (3, None)]
+    assert state(spark, log) == [(1, "a"), (2, "b"), (2, "b"), (4, "d")]
+    assert state(spark, log, 0) == sorted([(1, "a"), (2, "b"), (2, "b"), (3, None)])
+
+    # an older source is suspect but still compared; a row that left comes back, another gains and one loses copies
+    third = frame(spark, (1, "a"), (1, "a"), (1, "a"), (2, "b"), (3, None), seen="2019-01-01 00:00:00")
+    outcome = R.replicate(third, log, refresh_field="seen")
+    assert (outcome.action, outcome.inserted, outcome.deleted) == ("changed", 3, 2)
+    assert state(spark, log) == [(1, "a"), (1, "a"), (1, "a"), (2, "b"), (3, None)]
+    assert state(spark, log, 1) == [(1, "a"), (2, "b"), (2, "b"), (4, "d")]
     assert R.replicate(third.drop("seen"), log).action == "unchanged"
 
     wider = third.drop("seen").withColumn("more", F.lit(1))
     assert R.replicate(wider, log).action == "schema-changed"
-    assert log.read().columns[:3] == ["id", "name", "more"]
-    assert state(log, 1) == [(1, "a"), (2, "b"), (2, "b"), (4, "d")]
+    assert spark.table(log).columns[:3] == ["id", "name", "more"] and len(state(spark, log)) == 5
+    assert state(spark, log + "_to_2", 1) == [(1, "a"), (2, "b"), (2, "b"), (4, "d")]
+
+
+@pytest.mark.parametrize("per_task", [100_000, 2])
+def test_differences_count_copies(spark, monkeypatch, per_task):
+    monkeypatch.setattr(R, "COPIES_PER_TASK", per_task)
+    rnd = random.Random(per_task)
+    rows = [(i, n) for i in range(12) for n in ("a", None)]
+    here, there = ([r for r in rows for _ in range(rnd.choice([0, 0, 1, 2, 9]))] for _ in range(2))
+    source, dest = (R.with_hash(spark.createDataFrame(x, "id long, name string")) for x in (here, there))
+    inserts, deletes = R.changes(source, dest)
+    add, gone = Counter(here) - Counter(there), Counter(there) - Counter(here)
+    assert Counter((r["id"], r["name"]) for r in inserts.collect()) == add
+    assert Counter((r["id"], r["name"]) for r in deletes.collect()) == gone
+    after = R.apply_changes(dest, inserts, deletes)
+    assert after.columns == dest.columns
+    assert Counter((r["id"], r["name"]) for r in after.collect()) == Counter(here)
+
+
+def test_a_random_history_reads_back(spark, database):
+    rnd, log, versions = random.Random(4), f"{database}.h", []
+    for _ in range(5):
+        rows = [(i, "x") for i in range(8) for _ in range(rnd.choice([0, 1, 1, 3]))]
+        R.replicate(spark.createDataFrame(rows, "id long, name string"), log)
+        versions.append(sorted(rows))
+    assert [state(spark, log, v) for v in range(5)] == versions
+
+
+def test_a_write_that_was_cut_off_leaves_no_version(spark, database, tmp_path):
+    log = f"{database}.t"
+    R.replicate(frame(spark, (1, "a")).drop("seen"), log)
+    half = spark.table(log).drop("version").withColumn("name", F.lit("half"))
+    half.write.parquet(str(tmp_path / "db/t/version=1"))  # files the table does not know
+    assert state(spark, log) == [(1, "a")]
+    R.replicate(frame(spark, (1, "a"), (2, "b")).drop("seen"), log)
+    assert state(spark, log) == [(1, "a"), (2, "b")]
 
 
-def test_unfinished_version_is_ignored(spark, tmp_path):
-    log = R.VersionedTable(spark, str(tmp_path / "log"))
-    R.replicate(frame(spark, (1, "a")).drop("seen"), log)
-    (tmp_path / "log/generation=0/version=1").mkdir()
-    assert log.versions() == [0] and state(log) == [(1, "a")]
+def test_tables_replicate_side_by_side(spark, database):
+    tables = {f"{database}.{t}": lambda i=i: frame(spark, (i, "a")).drop("seen") for i, t in enumerate("xyz")}
+    tables[f"{database}.lost"] = lambda: spark.read.parquet("/no/such/place")
+    done = {o.table.split(".")[1]: o.action for o in R.replicate_all(spark, tables, at_once=3)}
+    assert {t: done[t] for t in "xyz"} == dict.fromkeys("xyz", "created") and done["lost"].startswith("failed:")
+    assert [state(spark, f"{database}.{t}") for t in "xyz"] == [[(i, "a")] for i in range(3)]
 
 
-def test_replicate_all_and_drift(spark, tmp_path):
-    tables = {"x": frame(spark, (1, "a")).drop("seen"), "y": frame(spark, (2, "b")).drop("seen")}
-    logs = {t: R.VersionedTable(spark, str(tmp_path / t)) for t in tables}
-    assert [o.action for o in R.replicate_all(tables, tables.get, logs.get)] == ["created", "created"]
-    swapped = tables["x"].select("name", "id")
-    assert R.schema_drift(tables["x"], swapped).count() == 2
-    assert R.schema_drift(tables["x"], R.with_hash(tables["x"])).count() == 0
+def test_drift(spark):
+    rows = frame(spark, (1, "a")).drop("seen")
+    assert R.schema_drift(rows, rows.select("name", "id")).count() == 2
+    assert R.schema_drift(rows, R.with_hash(rows)).count() == 0
 
 
 def test_jdbc_options():
     base = jdbc.query_options("jdbc:x", "SELECT 1", user="u")
-    assert base == {"url": "jdbc:x", "dbtable": "(SELECT 1) AS result_table", "user": "u"}
+    assert base == {"url": "jdbc:x", "query": "SELECT 1", "user": "u"}
     split = jdbc.partitioned_options(base, "id", 1, 90, 18)
     assert (split["numPartitions"], split["fetchsize"], split["lowerBound"]) == ("18", "10000", "1")
+    assert "query" not in split and split["dbtable"] == "(SELECT 1) strided"
     predicates = jdbc.hash_predicates("hashtext(k)", 3)
     assert len(predicates) == 3 and "IS NULL" in predicates[0] and "IS NULL" not in predicates[1]
 
