@@ -10,7 +10,7 @@
    more other runs pass, no less of the survivors). A second pass over the texts counts what
    passes by its bytes, in tables of `ngrams.SpanTable`, and runs below the threshold go.
 3. Every phrase meets the counts of the two parts of each cut, and the longer phrases that hold
-   it. Frequent parts are split over tasks; the first rows of a language are found in two steps.
+   it. Frequent parts are split over tasks; the first rows of a language are found in rounds.
 
 Numbers are exact up to a phrase frequency of 10 ** 15. Null and empty texts have no words; a null
 language is `und`, which is also what a language of that name is counted under. Rows that repeat are
@@ -40,11 +40,12 @@ UNKNOWN = "und"
 #: Text per hash partition, which bounds its counters.
 PART_BYTES = 128 << 20
 #: Occurrences a task gathers before it sorts them, counters and phrases it holds before it gives them out.
-GATHERED, HELD, PHRASES = 500_000, 1_500_000, 150_000
+GATHERED, HELD, PHRASES = 500_000, 1_000_000, 120_000
 FILTER_BITS, BITS_PER_SURVIVOR = 1 << 30, 16
-BLOCK_WORDS = 65_536
+#: Bytes of text and words that are looked at together.
+SLICE, BLOCK_WORDS = 500_000, 65_536
 #: Rows that look up one part of a phrase in one task; rows of a language that one task ranks.
-PART_ROWS, RANK_ROWS = 2_000, 500_000
+PART_ROWS, RANK_ROWS = 2_000, 8_000
 
 #: Bytes that end a piece, and bytes of words.
 ENDS = np.zeros(256, dtype=bool)
@@ -132,7 +133,7 @@ def summaries(docs: DataFrame, parts: int, longest: int) -> DataFrame:
             return _tally(np.concatenate([held[0], keys]), np.concatenate([held[1], counts]))
 
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE):
                 buf, starts, ends, text, piece = _words(some.column("text"))
                 hashes = word_hashes(buf, starts, ends)
                 langs = some.column("lang").to_pylist()
@@ -256,7 +257,7 @@ def counted(docs: DataFrame, bits: np.ndarray, width: int, parts: int, longest:
             return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=SLICE):
                 langs = some.column("lang").to_pylist()
                 for lang in set(langs):
                     here = pa.array([x == lang for x in langs])
@@ -305,14 +306,25 @@ def _looked_up(rows: DataFrame, key: str, counts: DataFrame, name: str) -> DataF
 
 
 def _first_of_language(rows: DataFrame, first: int) -> DataFrame:
-    """The first rows of each language with their rank; parts of a language are cut down before they meet."""
+    """The first rows of each language with their rank.
+
+    A language is dealt to parts of about `RANK_ROWS` rows, which give on their own first rows only,
+    round after round, until what is left of the largest one is as small as a part.
+    """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    sizes = rows.groupBy("lang").agg(F.ceil(F.count("*") / RANK_ROWS).alias("_parts"))
-    rows = rows.join(broadcast_checked(sizes), "lang").withColumn("_part", F.pmod(F.xxhash64("phrase"), F.col("_parts")))
-    best = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
-    rows = rows.withColumn("_best", best).where(F.col("_best") <= first)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_size"))
+    most = sizes.agg(F.max("_size")).first()[0] or 0
+    rows = rows.join(broadcast_checked(sizes), "lang")
+    part_rows = max(RANK_ROWS, 2 * first)
+    while most > part_rows:
+        parts = F.ceil(F.col("_size") / part_rows)
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("phrase"), parts))
+        best = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
+        rows = rows.withColumn("_best", best).where(F.col("_best") <= first)
+        rows = rows.withColumn("_size", F.least(F.col("_size"), parts * first)).drop("_part", "_best")
+        most = ceil(most / part_rows) * first
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
-    return rows.withColumn("rank", rank).where(F.col("rank") <= first).drop("_part", "_parts", "_best")
+    return rows.drop("_size").withColumn("rank", rank).where(F.col("rank") <= first)
 
 
 def collocations(docs: DataFrame, threshold: int = 10, longest: int = 3, first: int = 2000, absorbed: int = 50) -> DataFrame:
