@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from chaintrail.functions.measures import path_weight
 from chaintrail.operators.permits import SLAUGHTERHOUSE
 from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
-from chaintrail.session import discard, materialise
+from chaintrail.session import bucketed, discard, materialise
 
 MAX_NODES = 10
-MERGE_SHARE = 10  # merge once improvements exceed a tenth of the tree
+LAYERS = 4  # rounds of improvements that lie beside the tree before they are merged into it
+PAIR = ["source", "target"]
 
 
 def target_year_edges(flows: DataFrame, year: int) -> DataFrame:
@@ -44,76 +45,59 @@ def project(edges: DataFrame, weight: str, keep: Column | None = None) -> DataFr
 def shortest_path_tree(edges: DataFrame, sources: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """(source, target, cost, hops, pred) of the cheapest path of every reachable pair.
 
-    All sources advance together. A round extends the pairs improved last and
-    keeps per pair the least (cost, hops, pred); it ends when nothing improves, so
-    no bound on hops can hide a cheaper long path. A pair carries its predecessor,
-    not its path. Edges stay partitioned by their start, hubs cut into parts.
+    All sources advance together. A round extends the pairs improved last and keeps per pair
+    the least (cost, hops, pred); it ends when nothing improves, so no bound on hops can hide a
+    cheaper long path. A pair carries its predecessor, not its path. Edges are bucketed by their
+    start, hubs cut into parts.
 
-    While many pairs improve, the tree is rewritten each round. Once few do, the
-    improvements are kept beside it: the tree is only scanned for the pairs in
-    question, neither shuffled nor rewritten, until the next merge.
+    The tree stays where it is: it and the improvements of each round are tables bucketed by pair,
+    and what a round tries is grouped by pair into the same buckets. A round shuffles the
+    improvements to their edges and what it tries to its pairs; the tree is read in place. When
+    `LAYERS` rounds lie beside it, they are merged bucket by bucket.
     """
     split = HotKeySplit(edges, "src", rows_per_part)
     lightest = edges.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    steps = materialise(split.spread(lightest, ["dst"]), "steps").repartition(*split.keys()).persist()
+    steps = bucketed(split.spread(lightest, ["dst"]), split.keys(), "steps")
     pred_type = edges.schema["src"].dataType
-    pair = ["source", "target"]
-    tree = materialise(
-        sources.select(
-            F.col("id").alias("source"),
-            F.col("id").alias("target"),
-            F.struct(
-                F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(pred_type).alias("pred"), F.lit(0).alias("turn")
-            ).alias("best"),
-        ),
-        "tree",
-    )
-    tree_rows = tree.count()
-    fresh, fresh_rows, beside, beside_rows, turn = tree, tree_rows, [], 0, 0
-    while fresh_rows:
-        turn += 1
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(pred_type).alias("pred"))
+    layers = [bucketed(sources.select(F.col("id").alias("source"), F.col("id").alias("target"), start.alias("best")).distinct(), PAIR, "tree")]
+    fresh, spent = layers[0], []
+    while not fresh.isEmpty():
         starts = split.repeat(fresh.select("source", F.col("target").alias("at"), "best"), "at")
-        reached = (
-            starts.join(steps, split.on(steps, starts, "at"))
-            .where(F.col("source") != F.col("dst"))
-            .select(
-                "source",
-                F.col("dst").alias("target"),
-                F.struct(
-                    (F.col("best.cost") + F.col("weight")).alias("cost"),
-                    (F.col("best.hops") + 1).alias("hops"),
-                    F.col("at").alias("pred"),
-                    F.lit(turn).alias("turn"),
-                ).alias("best"),
-            )
-        )
-        known = _stack([tree, *beside])
-        if (fresh_rows + beside_rows) * MERGE_SHARE > tree_rows:
-            merged = materialise(known.union(reached).groupBy(*pair).agg(F.min("best").alias("best")), "tree")
-            discard(tree, *beside)
-            tree, tree_rows, beside, beside_rows = merged, merged.count(), [], 0
-            fresh = tree.where(F.col("best.turn") == turn)
-            fresh_rows = fresh.count()
-        else:
-            tried = materialise(reached.groupBy(*pair).agg(F.min("best").alias("new")), "tried")
-            asked = known.join(tried.select(*pair), pair, "left_semi").groupBy(*pair).agg(F.min("best").alias("old"))
-            fresh = materialise(
-                tried.join(asked, pair, "left")
-                .where(F.col("old").isNull() | (F.col("new") < F.col("old")))
-                .select(*pair, F.col("new").alias("best")),
-                "fresh",
-            )
-            fresh_rows = fresh.count()
-            discard(tried)
-            beside, beside_rows = [*beside, fresh], beside_rows + fresh_rows
-    steps.unpersist()
-    if beside_rows:
-        # a pair's latest improvement is its best; the tree keeps the pairs not improved
-        late = materialise(_stack(beside).groupBy(*pair).agg(F.min("best").alias("best")), "late")
-        tree = tree.join(late.select(*pair), pair, "left_anti").union(late)
+        new = F.struct((F.col("best.cost") + F.col("weight")).alias("cost"), (F.col("best.hops") + 1).alias("hops"), F.col("at").alias("pred"))
+        reached = starts.join(steps, split.on(steps, starts, "at")).where(F.col("source") != F.col("dst"))
+        tried = reached.select("source", F.col("dst").alias("target"), new.alias("new")).groupBy(*PAIR).agg(F.min("new").alias("new"))
+        # the newest layer that knows a pair holds its best
+        known, best = tried, F.lit(None)
+        for i, layer in enumerate(layers):
+            known = known.join(layer.select(*PAIR, F.col("best").alias(f"_{i}")), PAIR, "left")
+            best = F.coalesce(F.col(f"_{i}"), best) if i else F.col("_0")
+        better = known.where(best.isNull() | (F.col("new") < best))
+        fresh = bucketed(better.select(*PAIR, F.col("new").alias("best")), PAIR, "fresh")
+        layers.append(fresh)
+        discard(*spent)
+        spent = []
+        if len(layers) > LAYERS:
+            # the last improvements are still to be extended, and go after the next round
+            merged = bucketed(_merged(layers), PAIR, "tree")
+            discard(*layers[:-1])
+            spent, layers = [fresh], [merged]
+    tree = materialise(_merged(layers), "tree")
+    discard(*layers, *spent, steps)
     return tree.select("source", "target", "best.cost", "best.hops", "best.pred")
 
 
+def _merged(layers: list[DataFrame]) -> DataFrame:
+    """One row per pair of layers over each other, from the newest layer that has the pair; buckets stay apart."""
+    return _stack([_without(layer, layers[i + 1 :]) for i, layer in enumerate(layers)])
+
+
+def _without(layer: DataFrame, newer: list[DataFrame]) -> DataFrame:
+    for other in newer:
+        layer = layer.join(other.select(*PAIR), PAIR, "left_anti")
+    return layer
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:

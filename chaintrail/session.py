@@ -65,6 +65,21 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str = "step") -> DataFrame:
+    """`materialise` as a table bucketed and sorted by `keys`, in as many buckets as the session has shuffle partitions.
+
+    Such tables meet on `keys` without a shuffle of their rows, and a frame that was grouped by `keys` is
+    written from where it stands. The table lives in the session's catalogue until it is discarded.
+    """
+    spark = df.sparkSession
+    path, table = new_scratch(spark, name), f"step_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    out = spark.table(table)
+    out._scratch_path, out._scratch_table = path, table
+    return out
+
+
 def discard(*steps: DataFrame) -> None:
     """Delete step tables that a later step has replaced; others than those are left alone.
 
@@ -75,6 +90,8 @@ def discard(*steps: DataFrame) -> None:
         if path is None:
             continue
         spark = df.sparkSession
+        if table := getattr(df, "_scratch_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

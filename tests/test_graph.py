@@ -186,9 +186,9 @@ def dijkstra(edges, source):
 
 
 @pytest.mark.parametrize("rows_per_part", [1_000_000, 7])
-@pytest.mark.parametrize("merge_share", [10, 0])
-def test_shortest_paths(spark, monkeypatch, rows_per_part, merge_share):
-    monkeypatch.setattr(SP, "MERGE_SHARE", merge_share)  # 0: improvements always stay beside the tree
+@pytest.mark.parametrize("layers", [1, 4, 99])
+def test_shortest_paths(spark, monkeypatch, rows_per_part, layers):
+    monkeypatch.setattr(SP, "LAYERS", layers)  # 1: each round is merged; 99: all improvements stay beside the tree
     edges = random_edges()
     weight = {(a, b): w for a, b, w in edges}
     frame = spark.createDataFrame(edges, "src long, dst long, weight double")
@@ -205,6 +205,33 @@ def test_shortest_paths(spark, monkeypatch, rows_per_part, merge_share):
             assert step == pytest.approx(cost)
 
 
+def test_the_tree_is_not_shuffled(spark, monkeypatch):
+    """A round's plan reads the tree's buckets in place: no exchange lies over a layer on its way to what was tried."""
+    plans = []
+
+    def record(df, keys, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return bucketed(df, keys, name)
+
+    bucketed = SP.bucketed
+    monkeypatch.setattr(SP, "bucketed", record)
+    monkeypatch.setattr(SP, "LAYERS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame(random_edges(), "src long, dst long, weight double")
+        SP.shortest_path_tree(edges, spark.createDataFrame([(0,), (5,)], "id long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [p for name, p in plans if name == "fresh"]
+    merges = [p for name, p in plans if name == "tree"][1:]
+    assert len(rounds) > 3 and merges
+    for plan in rounds:
+        # the improvements go to their edges, what was tried to its pairs; edges and tree stay
+        assert plan.count("Exchange hashpartitioning") == 2, plan
+    for plan in merges:
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
 def test_long_cheap_path_is_not_replaced_by_a_short_one(spark):
     chain = [(i, i + 1, 0.01) for i in range(12)] + [(0, 12, 5.0)]
     frame = spark.createDataFrame(chain, "src long, dst long, weight double")
