@@ -4,16 +4,20 @@
    Texts with equal sets are one class from here on.
 2. Inverted lists of the `INDEXED` smallest retained values. A pair at the threshold shares
    at least `shared_at_least()` of them (but for a chance of 1e-9), so each class may leave
-   out that many less one, and leaves out its most frequent values: boilerplate.
+   out that many less one, and leaves out its most frequent values: boilerplate and passages
+   that many documents share.
 3. In every list each class meets the list's first class. The union of both sketches
-   estimates the similarity, hopeless pairs go, and the full sets decide about the rest.
-4. Lists whose classes are not yet one component are swept in blocks, on sketches: a block's
-   task returns a spanning forest of the pairs that are possible links between components.
-   Each component of these forests is swept once more, on full sets, for a forest of links.
+   estimates the similarity, hopeless pairs go, and the full sets decide about the rest. While
+   lists leave much to compare and it helps, this is repeated with other classes in the middle:
+   each round meets every class of an open list once or twice.
+4. What is in one component needs no comparison. In lists with several components, the classes
+   outside the largest one are swept in blocks past all others, on sketches: a block's task
+   returns a spanning forest of the pairs that are possible links between components. Each
+   component of these forests is swept in the same way, on full sets, for a forest of links.
    No step emits all pairs.
 
-Nothing is capped: a list of any length is cut into blocks, and all pairs of blocks with more
-than one component are compared.
+Nothing is capped: a list of any length is cut into blocks, and every class outside its largest
+component is compared with all others.
 
 Null, empty and blank texts have no shingles and are alone. Rows that repeat a doc_id repeat
 in the result when their texts are equal; a doc_id must not stand for different texts. A row
@@ -28,19 +32,22 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaintrail.llm.arrow_text import ragged_take, shingle_sets, slices
 from chaintrail.llm.graph import components
 from chaintrail.llm.registry import query, table
-from chaintrail.session import materialise
+from chaintrail.session import discard, materialise
 
-SKETCH, INDEXED, MISS = 64, 24, 1e-9
+SKETCH, INDEXED, MISS = 64, 64, 1e-9
 #: Of one block in a sweep: classes, and shingles of their texts.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
 #: Classes that one hub meets in one task.
 HUB_ROWS = 2000
+#: Comparisons of sketches that lists may leave before further classes are put in their middle, and the share of them
+#: such a round must save to be followed by another.
+LEFT_TO_SWEEP, SAVED = 200_000_000, 0.2
 
 
 def _tail(size: int, similarity: float) -> int:
@@ -86,19 +93,28 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
 
 
+def _may_leave_out(threshold: float) -> Column:
+    """How many of its `kept` values a class may leave out and still meet every class at the threshold in a list.
+
+    A set smaller than `INDEXED` is known as a whole: a partner shares the threshold's part of the larger
+    of both, less what the partner's sketch leaves out.
+    """
+    n = F.col("kept").cast("double")
+    small = F.least(threshold * n, n - F.greatest(F.lit(0.0), n / threshold - INDEXED))
+    few = F.greatest(F.floor(small + 1e-9) - 1, F.lit(0))
+    return F.when(F.col("kept") < INDEXED, few).otherwise(shared_at_least(threshold) - 1).cast("int")
+
+
 def _index(reps: DataFrame, threshold: float) -> DataFrame:
     """(value, rep): inverted lists of two and more classes, without each class's most frequent values."""
-    drop = shared_at_least(threshold) - 1
     values = reps.select("rep", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"), F.least("n", F.lit(INDEXED)).alias("kept"))
     lists = values.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     common = values.join(lists, "value")
     ranked = common.groupBy("rep").agg(
         F.first("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("length", "value")), asc=False).alias("common")
     )
-    # sets of fewer than INDEXED shingles share still more of them: a third may go at most
-    skip = F.least(F.lit(drop), F.floor(F.col("kept") / 3)).cast("int")
     left = F.expr("slice(common, skip + 1, greatest(size(common) - skip, 0))")
-    return ranked.withColumn("skip", skip).select("rep", F.explode(left.getField("value")).alias("value"))
+    return ranked.withColumn("skip", _may_leave_out(threshold)).select("rep", F.explode(left.getField("value")).alias("value"))
 
 
 def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -164,16 +180,31 @@ def _forest(ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int
     return edges
 
 
-def _star_pairs(index: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, rep) of every list, with sizes that allow the similarity."""
-    hubs = index.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = index.join(hubs, "value").where("rep <> hub").select("hub", "rep").distinct()
+def _fitting(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (hub, rep) whose sizes allow the similarity."""
     sizes = reps.select("rep", "n")
+    pairs = pairs.where("rep <> hub").select("hub", "rep").distinct()
     pairs = pairs.join(sizes, "rep").join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub")
     return pairs.where(den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")).select("hub", "rep")
 
 
-def _against_hub(pairs: DataFrame, payload: DataFrame, kind: str, check, extra: str = "") -> DataFrame:
+def _first_hubs(index: DataFrame) -> DataFrame:
+    """(hub, rep): every class of a list with the list's first class."""
+    hubs = index.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return index.join(hubs, "value")
+
+
+def _next_hubs(members: DataFrame, turn: int) -> DataFrame:
+    """(hub, rep): the classes outside their list's largest component with one class inside and one outside it."""
+    order = F.xxhash64("rep", F.lit(turn))
+    hubs = members.groupBy("value").agg(
+        F.min_by("rep", F.when(~F.col("out"), order)).alias("inside"), F.min_by("rep", F.when(F.col("out"), order)).alias("outside")
+    )
+    met = members.where("out").join(hubs, "value")
+    return met.select(F.explode(F.array("inside", "outside")).alias("hub"), "rep").where("hub IS NOT NULL")
+
+
+def _against_hub(pairs: DataFrame, payload: DataFrame, kind: str, check) -> DataFrame:
     """Streams each hub's members past it, `HUB_ROWS` at a time: one shuffle, one hub in memory.
 
     `payload` has rep and one column `body`; `check(hub_body, bodies)` marks members that stay.
@@ -213,15 +244,37 @@ def _with_parts(pairs: DataFrame) -> DataFrame:
     return pairs.join(counts, "hub")
 
 
-def _sweep(members: DataFrame, payload: DataFrame, unit: str, limit: int, run, schema: str) -> DataFrame:
-    """Compare the classes of each list in blocks; `unit` is what a block may hold `limit` of in sum."""
-    size = members.groupBy("value").agg(
-        F.greatest(F.ceil(F.sum(unit) / limit), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks")
+def _with_outsiders(members: DataFrame) -> DataFrame:
+    """(value, rep, comp, n, out): `out` marks the classes outside the largest component of their list."""
+    sizes = members.groupBy("value", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("value").agg(F.max(F.struct(F.col("c"), F.col("comp"))).alias("largest"))
+    return members.join(largest, "value").select("value", "rep", "comp", "n", (F.col("comp") != F.col("largest.comp")).alias("out"))
+
+
+def _sweep(members: DataFrame, payload: DataFrame, unit: Column, limit: int, run, schema: str) -> DataFrame:
+    """Compare the classes outside the largest component of each list with each other and with those in it, in blocks.
+
+    `unit` is what a block may hold `limit` of in sum. A class in the largest component is copied once for each
+    block of outsiders, an outsider once for each block of its list.
+    """
+    members = _with_outsiders(members)
+    blocks = lambda own: F.greatest(
+        F.ceil(F.sum(F.when(own, unit)) / limit), F.ceil(F.count(F.when(own, 1)) / BLOCK_ROWS), F.lit(0)
+    ).cast("int")
+    out = F.col("out")
+    size = members.groupBy("value").agg(blocks(out).alias("outer"), blocks(~out).alias("inner"))
+    own = F.pmod(F.xxhash64("rep"), F.when(out, F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    dealt = members.join(size.where("outer > 0"), "value").withColumn("block", own)
+    upto = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i - 1)
+    nothing = F.array().cast("array<int>")
+    # outsiders with outsiders: blocks i <= j; outsiders of block i with insiders of block j, which is numbered from -1 down
+    among = F.transform(upto(F.col("outer")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    across = F.transform(
+        F.when(F.col("inner") > 0, upto(F.col("inner"))).otherwise(nothing), lambda o: F.struct(F.col("block").alias("i"), (-o - 1).alias("j"))
     )
-    dealt = members.join(size, "value").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("value", "rep", "comp", "n", "block", other)
-    dealt = dealt.select("value", "rep", "comp", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    inside = F.transform(upto(F.col("outer")), lambda o: F.struct(o.alias("i"), (-F.col("block") - 1).alias("j")))
+    place = F.explode(F.when(out, F.concat(among, across)).otherwise(inside)).alias("place")
+    dealt = dealt.select("value", "rep", "comp", "n", "out", "block", place).select("value", "rep", "comp", "n", "out", "block", "place.i", "place.j")
     # few bytes, much work: a fixed number of tasks, which adaptive execution doesn't merge
     session = members.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
@@ -231,8 +284,9 @@ def _sweep(members: DataFrame, payload: DataFrame, unit: str, limit: int, run, s
 
 def _halves(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the first and of the second block (the same rows when a block meets itself)."""
-    block = g["block"].to_numpy()
-    return np.flatnonzero(block == g["i"].iloc[0]), np.flatnonzero(block == g["j"].iloc[0])
+    block, out = g["block"].to_numpy(), g["out"].to_numpy(dtype=bool)
+    i, j = g["i"].iloc[0], g["j"].iloc[0]
+    return np.flatnonzero(out & (block == i)), np.flatnonzero(~out) if j < 0 else np.flatnonzero(block == j)
 
 
 def _residual(index: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
@@ -247,17 +301,25 @@ def _residual(index: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.join(open_lists.where("c > 2 AND a <> b").select("value"), "value").select("value", "rep", "comp", "n")
 
 
-def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): verified links between classes that connect all that is connected by links."""
+def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, steps: list[DataFrame]) -> DataFrame:
+    """(a, b): verified links between classes that connect all that is connected by links.
+
+    Tables written on the way are added to `steps`; they can go once the result has been read.
+    """
     threshold, floor = num / den, estimate_floor(num / den)
-    index = materialise(_index(reps, threshold), "lists")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        steps.append(materialise(df, name))
+        return steps[-1]
+
+    index = keep(_index(reps, threshold), "lists")
     sketch = reps.select("rep", F.col("sketch").alias("body"))
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:
         # written first, so that its measured size decides how the texts meet it
-        ids = materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{name}-ids")
+        ids = keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{name}-ids")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        return materialise(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("body")), name)
+        return keep(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("body")), name)
 
     def likely(head: pa.Array, bodies: pa.Array) -> list[bool]:
         one = np.asarray(head[0].values)
@@ -279,13 +341,27 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
             out.append(den * both >= num * (len(one) + len(two) - both))
         return out
 
-    pairs = _with_parts(materialise(_star_pairs(index, reps, num, den), "star-pairs"))
-    hopeful = materialise(_against_hub(pairs, sketch, "sketch", likely), "hopeful-pairs")
-    ends = hopeful.select("rep").unionByName(hopeful.select(F.col("hub").alias("rep")))
-    stars = materialise(_against_hub(_with_parts(hopeful), texts_of(ends, "star-texts"), "text", exact), "star-links")
-
-    comps = components(stars)
-    open_lists = materialise(_residual(index, comps, reps), "open-lists")
+    def met(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (hub, rep) that are links: by their sketches first, then by their texts."""
+        pairs = keep(_fitting(pairs, reps, num, den), f"{name}-pairs")
+        hopeful = keep(_against_hub(_with_parts(pairs), sketch, "sketch", likely), f"{name}-hopeful")
+        ends = hopeful.select("rep").unionByName(hopeful.select(F.col("hub").alias("rep")))
+        return keep(_against_hub(_with_parts(hopeful), texts_of(ends, f"{name}-texts"), "text", exact), f"{name}-links")
+
+    stars = met(_first_hubs(index), "star")
+    comps = keep(components(stars), "components")
+    open_lists = keep(_residual(index, comps, reps), "open-lists")
+    before, turn = None, 0
+    while True:
+        marked = _with_outsiders(open_lists)
+        per = marked.groupBy("value").agg(F.count("*").alias("c"), F.count(F.when(F.col("out"), 1)).alias("o"))
+        work = per.agg(F.sum(F.col("c").cast("double") * F.col("o"))).first()[0] or 0.0
+        if work <= LEFT_TO_SWEEP or (before is not None and work > (1 - SAVED) * before):
+            break
+        before, turn = work, turn + 1
+        stars = stars.unionByName(met(_next_hubs(marked, turn), f"star-{turn}"))
+        comps = keep(components(stars), "components")
+        open_lists = keep(_residual(index, comps, reps), "open-lists")
 
     def edges_of(g: pd.DataFrame, ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         pairs = np.array(_forest(ok, x, y), dtype=np.int64).reshape(-1, 2)
@@ -313,11 +389,11 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
         return edges_of(g, (den * both >= num * union) & (comp[x][:, None] != comp[y][None, :]), x, y)
 
     schema = "hub long, rep long"
-    plausible = _sweep(open_lists.withColumn("one", F.lit(1)), sketch, "one", BLOCK_ROWS, possible, schema)
+    plausible = _sweep(open_lists, sketch, F.lit(1), BLOCK_ROWS, possible, schema)
     # a pair is plausible only within one component of the plausible pairs: a class is swept once
-    groups = components(materialise(plausible, "plausible")).select(F.col("component").alias("value"), F.col("node").alias("rep"))
-    members = materialise(groups.join(open_lists.select("rep", "comp", "n").distinct(), "rep"), "groups")
-    more = _sweep(members, texts_of(members, "group-texts"), "n", BLOCK_SHINGLES, verified, schema)
+    groups = components(keep(plausible, "plausible")).select(F.col("component").alias("value"), F.col("node").alias("rep"))
+    members = keep(groups.join(open_lists.select("rep", "comp", "n").distinct(), "rep"), "groups")
+    more = _sweep(members, texts_of(members, "group-texts"), F.col("n"), BLOCK_SHINGLES, verified, schema)
     return stars.unionByName(more)
 
 
@@ -331,7 +407,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = shingled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select("rep").join(shingled.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep")
     reps = materialise(reps, "classes")
-    comps = components(links(docs, reps, k, num, den))
+    steps: list[DataFrame] = []
+    comps = materialise(components(links(docs, reps, k, num, den, steps)), "named")
+    discard(*steps)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left")
     named = named.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     own = base.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

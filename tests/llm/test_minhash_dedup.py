@@ -1,6 +1,9 @@
 """Operator 1 beside a brute-force version."""
 
 import random
+from math import comb
+
+import pytest
 
 from chaintrail.llm import minhash_dedup as M
 
@@ -64,6 +67,43 @@ def test_blocks_and_small_hubs(spark, monkeypatch):
     check(spark, corpus(2, groups=3), 5, 80, 100)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_more_rounds_of_hubs(spark, monkeypatch, seed):
+    """Every list that is left open gets further hubs, and is then swept in blocks of a few classes."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(M, "LEFT_TO_SWEEP", 0)
+    check(spark, corpus(seed, groups=4), 3, 85, 100)
+
+
+def test_a_passage_that_many_share_and_a_large_group(spark):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(passage + [f"own{i}_{j}" for j in range(110)])) for i in range(150)]
+    for i in range(150, 330):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    check(spark, rows, 3, 85, 100)
+    check(spark, rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_a_class_may_leave_out_no_more_than_it_shares(spark, threshold):
+    """For all sizes of two sets at the threshold, what the smaller sketch knows of the shared values exceeds what is left out."""
+    sizes = spark.createDataFrame([(n,) for n in range(1, M.INDEXED)], "kept int")
+    skip = {r["kept"]: r["s"] for r in sizes.select("kept", M._may_leave_out(threshold).alias("s")).collect()}
+    for n, s in skip.items():
+        for m in range(n, int(n / threshold + 1e-9) + 1):
+            shared = -(-threshold * m // 1)
+            if shared <= n:
+                assert s < shared - max(0, m - M.INDEXED)
+                if m in skip:
+                    assert skip[m] < shared
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert M.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, "a b c d e f", "en", 1, "x")] * 3 + [(None, "a b c d e f", "en", 1, "x"), (None, None, None, None, None)]
@@ -72,5 +112,8 @@ def test_empty_table_and_repeated_rows(spark):
 
 
 def test_miss_bounds():
-    assert M.shared_at_least(0.85) == 7 or M.shared_at_least(0.85) == 8
+    for threshold in (0.8, 0.85):
+        miss = lambda s, t=threshold: sum(comb(M.INDEXED, i) * t**i * (1 - t) ** (M.INDEXED - i) for i in range(s))
+        s = M.shared_at_least(threshold)
+        assert miss(s) <= M.MISS < miss(s + 1)
     assert 0.5 < M.estimate_floor(0.85) < 0.85
