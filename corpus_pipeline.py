@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chaintrail.llm import byte_bpe, decontaminate, language_id, minhash_dedup, pii
 from chaintrail.llm.registry import query, table
-from chaintrail.session import materialise
+from chaintrail.session import discard, materialise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +21,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5 words, 0.8): that with the smallest doc_id."""
-    kept = minhash_dedup.near_duplicates(docs, k=5, num=80, den=100).where("kept").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return once.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One document of each group of near duplicates (5 words, 0.8): that with the smallest doc_id.
+
+    Every row is a document of its own, also where a doc_id is missing or stands for several texts;
+    rows without doc_id stay only where no row of their group has one. Texts without words stay.
+    """
+    row = "_near_duplicate_row"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("doc_id"), "text")
+    groups = minhash_dedup.near_duplicates(texts, k=5, num=80, den=100).select(F.col("doc_id").alias(row), "component_id")
+    named = groups.join(numbered.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # the written table of the stage before
     return docs
 
 
