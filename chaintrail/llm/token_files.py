@@ -11,11 +11,14 @@ with a line feed (Spark's text writer puts it there, which lets any file system
     D      the ids (int64) and token counts (int64) of documents whose last id is in the file
            by then, one zstandard frame
 
-All numbers are little-endian. `chunk_index` lists file, kind, position, length, first entry
-and entries of every chunk as a table beside the files, so that a range of ids can be read alone.
+All numbers are little-endian. The chunk index is a table in the folder `_chunk_index` of the files,
+written with them: file, kind, position, length, entries, first entry within the file and, of ids,
+their place among all ids. `read_ids` finds the files and chunks of a range of ids in it and
+opens no others; `read_documents` takes the place of each file from it.
 
 Null texts count as empty and hold the end id alone. Rows that repeat a doc_id are ordered by
-text. A null doc_id comes first. An empty table writes no chunk. Other columns are not read.
+a hash of their text, which also lets one doc_id fill several files. A null doc_id comes first.
+An empty table writes no chunk. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chaintrail.llm.arrow_text import slices
 from chaintrail.llm.registry import query, table
 from chaintrail.llm.token_units import UnitEncoder
-from chaintrail.session import new_scratch
+from chaintrail.session import materialise, new_scratch
 
 MAGIC = b"CTB1"
 HEAD = "<4sc3xQQQQ"
@@ -45,6 +48,7 @@ BLOCK = 1 << 16
 NULL_ID = -(1 << 63)
 #: Text bytes of one file, which one task reads whole.
 FILE_BYTES = 16 << 20
+INDEX, FILES_PER_GROUP = "_chunk_index", 10_000
 
 
 @lru_cache(maxsize=2)
@@ -129,9 +133,12 @@ def write_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, bits: bo
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     session = docs.sparkSession
     files = max(1, -(-size // FILE_BYTES), 2 * session.sparkContext.defaultParallelism)
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = ["doc_id", "tie", "place"]
+    rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     chunks = rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string").alias("value"))
     chunks.write.option("lineSep", "\n").text(out)
+    _placed(_heads(session, out)).write.parquet(f"{out}/{INDEX}")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,25 +146,76 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
-def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
-    """file, kind, position, length, first (entry within the file), entries."""
+def _heads(spark: SparkSession, folder: str) -> DataFrame:
+    """file, kind, position, length, first (entry within the file), entries of every chunk, read off the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("file").to_pylist(), batch.column("content")):
                 at, rows = 0, []
-                raw = data.as_py()
-                while at < len(raw):
+                raw = data.as_buffer()
+                while at < raw.size:
                     _, kind, entries, first, size, _ = struct.unpack_from(HEAD, raw, at)
-                    rows.append({"file": file, "kind": kind.decode(), "position": at, "length": HEAD_SIZE + size, "first": first, "entries": entries})
+                    rows.append((file, kind.decode(), at, HEAD_SIZE + size, first, entries))
                     at += HEAD_SIZE + size + 1
                 names = ["file", "kind", "position", "length", "first", "entries"]
                 kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return _files(spark, folder).mapInArrow(run, "file string, kind string, position long, length long, first long, entries long")
 
 
+def _placed(heads: DataFrame) -> DataFrame:
+    """`heads` with `start`, the place of a chunk's first id among the ids of all files (null for other chunks).
+
+    Files are numbered in the order of their ranges. Their sizes are added up in groups of `FILES_PER_GROUP`
+    files, and the groups' sums before that, so that no task sees all files.
+    """
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long")
+    heads = materialise(heads.withColumn("number", number).withColumn("bunch", F.floor(number / FILES_PER_GROUP)), "heads")
+    ids = F.when(F.col("kind") == "I", F.col("entries")).otherwise(0)
+    files = heads.groupBy("bunch", "number").agg(F.sum(ids).alias("n"))
+    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = files.withColumn("inside", before(Window.partitionBy("bunch").orderBy("number"))).select("number", "inside", "bunch")
+    groups = files.groupBy("bunch").agg(F.sum("n").alias("n"))
+    outside = groups.select("bunch", before(Window.orderBy("bunch")).alias("outside"))
+    places = inside.join(outside, "bunch").select("number", (F.col("inside") + F.col("outside")).alias("before"))
+    start = F.when(F.col("kind") == "I", F.col("before") + F.col("first")).alias("start")
+    return heads.join(places, "number").select("file", "kind", "position", "length", "first", "entries", start)
+
+
+def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
+    """file, kind, position, length, first (entry within the file), entries, start: the index stored with the files."""
+    return spark.read.parquet(f"{folder}/{INDEX}")
+
+
+def read_ids(spark: SparkSession, folder: str, start: int, stop: int) -> DataFrame:
+    """(place, ids): the ids from place `start` up to `stop` among all ids, one row for each chunk that holds some.
+
+    Only files with such chunks are opened, and only these chunks are unpacked.
+    """
+    found = chunk_index(spark, folder).where((F.col("kind") == "I") & (F.col("start") < stop) & (F.col("start") + F.col("entries") > start))
+    found = found.groupBy("file").agg(F.collect_list(F.struct("position", "length", "start")).alias("chunks"))
+    paths = [f"{folder}/{r['file']}" for r in found.select("file").toLocalIterator()]  # the files asked for
+    schema = "place long, ids array<int>"
+    if not paths:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, chunks in zip(batch.column("content"), batch.column("chunks").to_pylist()):
+                raw = data.as_buffer()
+                for c in chunks:
+                    piece = raw.slice(c["position"], c["length"]).to_pybytes()
+                    ((_, _, _, _, ids),) = read_chunks(piece)
+                    a, b = max(start - c["start"], 0), min(stop - c["start"], len(ids))
+                    columns = [pa.array([c["start"] + a], pa.int64()), pa.array([ids[a:b].astype(np.int32)], pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["place", "ids"])
+
+    files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.join(found, "file").select("content", "chunks").mapInArrow(run, schema)
+
+
 def _documents_of(chunks: Iterator) -> Iterator[tuple[int, int, np.ndarray]]:
     """(doc_id, start within the file, ids) in the file's order."""
     have, waiting, start = np.zeros(0, dtype=np.uint32), [], 0
@@ -200,14 +258,9 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = True) -> D
 
     schema = "file string, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     rows = _files(spark, folder).mapInArrow(run, schema)
-    # a row per file: their names are in the order of their ranges
-    totals = chunk_index(spark, folder).where("kind = 'I'").groupBy("file").agg(F.sum("entries").alias("n")).collect()
-    before, start = [], 0
-    for file, n in sorted(map(tuple, totals)):
-        before.append((file, start))
-        start += n
-    known = F.broadcast(spark.createDataFrame(before, "file string, before long"))
-    out = rows.join(known, "file").withColumn("start", F.col("at") + F.col("before"))
+    ids = chunk_index(spark, folder).where("kind = 'I'")
+    before = ids.groupBy("file").agg(F.min(F.col("start") - F.col("first")).alias("before"))
+    out = rows.join(before, "file").withColumn("start", F.col("at") + F.col("before"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 

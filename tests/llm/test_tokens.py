@@ -75,6 +75,19 @@ def test_token_files(spark, bits, monkeypatch):
         start += len(ids)
     index = T.chunk_index(spark, folder).where("kind = 'I'").collect()
     assert sum(r.entries for r in index) == start
+    every = np.concatenate([r.ids for r in got])
+    for a, b in ((0, 5), (990, 1010), (start // 2, start // 2 + 4321), (start - 3, start + 9), (start, start + 1), (7, 7)):
+        rows_read = sorted(T.read_ids(spark, folder, a, b).collect())
+        assert np.concatenate([[], *[r.ids for r in rows_read]]).tolist() == every[a:b].tolist()
+        assert all(r.place == a or r.place in {i.start for i in index} for r in rows_read)
+
+
+def test_places_over_groups_of_files(spark, monkeypatch):
+    monkeypatch.setattr(T, "FILES_PER_GROUP", 2)
+    folder = new_scratch(spark, "token-files")
+    T.write_files(rows(spark, texts(60)), folder, WORDS, end_id=2)
+    index = sorted((r.start, r.entries) for r in T.chunk_index(spark, folder).where("kind = 'I'").collect())
+    assert len(index) > 5 and [s for s, _ in index] == [sum(n for _, n in index[:i]) for i in range(len(index))]
 
 
 def test_empty_tables_and_repeats(spark):
