@@ -77,12 +77,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 CUES = re.compile(r"(?i)(passw(or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)")
 LABELS = ("O", "CUE", "SECRET")
-FEATURES = ("bias", "plain", "digits only", "digits and letters", "upper and digits, long", "hex, long", "cue word", "cue and value", "ends in colon or equals", "long", "other")
+FEATURES = ("bias", "plain", "digits only", "digits and letters", "upper and digits, long", "hex, long", "cue word", "cue and value", "ends in colon or equals", "long", "other", "address", "parted number")
+#: Signs around a word that are no part of it.
+AROUND = ".,;!?\"'()[]<>#*"
 
 
 def shape(word: str) -> list[int]:
     """Word-shape features of a word that is not plain."""
-    core = word.strip(".,;!?\"'()[]<>")
+    core = word.strip(AROUND)
     letters, digits = any(c.isalpha() for c in core), any(c.isdigit() for c in core)
     cue = CUES.search(core)
     value = re.split("[=:]", core)[-1] if re.search("[=:]", core) else core
@@ -92,14 +94,17 @@ def shape(word: str) -> list[int]:
         int(bool(re.fullmatch(r"[0-9a-fA-F]{12,}", value)) and any(c.isalpha() for c in value) and digits),
         int(bool(cue)), int(bool(cue) and bool(re.search(r"[=:].{6,}", core))),
         int(core.endswith((":", "="))), int(len(core) >= 12), int(not letters and not digits),
+        int("://" in core or core.lower().startswith("www.")),
+        int(bool(re.fullmatch(r"([^=:]*[=:])?v?[0-9]+([.:/-][0-9]+)+", core))),
     ]
 
 
 PLAIN = [1, 1, *[0] * (len(FEATURES) - 2)]
 
 
-def labelled_table(rows: int = 120) -> list[list[tuple[str, int]]]:
-    """Sentences of (word, label), from templates: credentials in running text, and numbers that are none."""
+def labelled_table(rows: int = 200) -> list[list[tuple[str, int]]]:
+    """Sentences of (word, label), from templates: credentials in running text; numbers, addresses, versions, dates
+    and settings that are none."""
     rng = random.Random(4)
     hexes, uppers, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijkmnpqrstuvwxyz0123456789"
 
@@ -119,7 +124,10 @@ def labelled_table(rows: int = 120) -> list[list[tuple[str, int]]]:
             [(f"x{rng.randint(1, 99)}@a.com", 0), ("+1", 0), (f"({rng.randint(200, 999)})", 0), (f"555-{rng.randint(1000, 9999)}", 0)],
             [(str(rng.randint(10**15, 10**16)), 0), ("note:", 0), (f"b{rng.randint(1, 99)}", 0), ("|", 0), (f"x={rng.randint(1, 9)}", 0)],
             [(cue, 0), (rng.choice(["stays", "is"]), 0), ("***", 0), (f'style="w{rng.randint(1, 99)}"', 0)],
-        ][i % 7]
+            [(f"https://{pick(mixed, 6)}.example/{pick(mixed, 9)}?id={rng.randint(1, 10**6)}&page={rng.randint(1, 9)}", 0), (f"www.{pick(mixed, 8)}.org", 0)],
+            [(f"version={rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", 0), (f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", 0), (f"1{rng.randint(0, 9)}:{rng.randint(10, 59)}", 0)],
+            [(f"{words[0][0]}_{words[1][0]}={rng.randint(1, 10**5)}", 0), (f"{words[0][0]}:", 0), (f"{words[1][0]}{rng.randint(1, 99)}", 0), (f"https://{words[1][0]}.example/{cue}/{rng.randint(1, 99)}", 0)],
+        ][i % 10]
         out.append(words[:at] + add + words[at:])
     return out
 
@@ -235,7 +243,7 @@ def field_spans(values: pa.Array) -> dict[int, list[tuple[int, int]]]:
         for h in np.flatnonzero(labels[row, col] == 2).tolist():
             w = words[h]
             word = data[starts[w] : ends[w]]
-            core = word.strip(b".,;!?\"'()[]<>")
+            core = word.strip(AROUND.encode())
             if core:
                 start = int(starts[w]) + word.index(core) - int(offsets[doc[w]])
                 found.setdefault(int(doc[w]), []).append((start, start + len(core)))

@@ -28,3 +28,19 @@ def test_stages(spark):
     assert 9002 not in kept["benchmark_decontamination"]
     assert kept["byte_bpe"] == kept["pii"] == kept["benchmark_decontamination"]
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_awkward_tables(spark):
+    """Repeated and missing ids, several texts under one id, columns with clashing names, and no rows at all."""
+    prose = [" ".join(f"{w}{i}" for w in ("the river runs", "under a stone bridge", "in the morning")) for i in range(12)]
+    long = " ".join(prose)
+    rows = [(5, long, "a"), (5, long, "a"), (5, "other words " + " ".join(prose[:6]), "b"), (None, long, "c"), (None, " ".join(reversed(prose)), "d"), (9, None, "e"), (9, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = C.near_duplicate_stage(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    # one of the copies of `long` stays, that with an id; every other text is a document of its own
+    assert sorted((r.doc_id or 0, r.component_id) for r in kept.collect()) == [(0, "d"), (5, "a"), (5, "b"), (9, "e"), (9, "f")]
+    empty = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
+    for name, stage in C.STAGES:
+        empty = materialise(stage(spark, empty, FOLDER), name)
+        assert empty.count() == 0
