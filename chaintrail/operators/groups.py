@@ -37,7 +37,7 @@ def animal_groups(permits: DataFrame, animals: DataFrame) -> DataFrame:
     )
 
 
-def could_come_from(later: DataFrame, earlier: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def could_come_from(later: DataFrame, earlier: DataFrame, rows_per_cell: int = ROWS_PER_CELL, hot: DataFrame | None | bool = False) -> DataFrame:
     """Pairs (ag1, ag2): ag1 left the farm ag2 had arrived at, and may hold its animals.
 
     The pair needs the same farm and sex, ag2 not after ag1, and age ranges that
@@ -46,6 +46,8 @@ def could_come_from(later: DataFrame, earlier: DataFrame, rows_per_cell: int = R
     with more than `rows_per_cell` groups on either side is cut further: by birth
     month, so that groups that cannot overlap do not meet, and into a grid of
     salts, so that no task compares more than rows_per_cell x rows_per_cell.
+
+    `hot` is what `hot_cells` found for these groups or for more of them; by default it is looked for.
     """
     months = F.col("transport_date")
     one = later.where(F.col("sex").isNotNull() & F.col("lower_age").isNotNull() & F.col("upper_age").isNotNull()).select(
@@ -75,7 +77,8 @@ def could_come_from(later: DataFrame, earlier: DataFrame, rows_per_cell: int = R
         F.col("upper_age").alias("high2"),
     )
     keys, extra = ["farm_id", "sex"], F.lit(True)
-    hot = _hot_cells(one, two, rows_per_cell)
+    if hot is False:
+        hot = _hot_cells(one, two, rows_per_cell)
     if hot is not None:
         one, two = _cut(one, two, hot)
         keys = keys + ["bin", "cell1", "cell2"]
@@ -105,6 +108,13 @@ def could_come_from(later: DataFrame, earlier: DataFrame, rows_per_cell: int = R
     )
 
 
+def hot_cells(later: DataFrame, earlier: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame | None:
+    """(farm, sex) keys of two sets of groups that are too big for one task, for several calls of `could_come_from`."""
+    one = later.select(F.col("origin_id").alias("farm_id"), "sex")
+    two = earlier.where(F.col("dest_label") == FARM).select(F.col("dest_id").alias("farm_id"), "sex")
+    return _hot_cells(one, two, rows_per_cell)
+
+
 def _hot_cells(one: DataFrame, two: DataFrame, rows_per_cell: int) -> DataFrame | None:
     """(farm, sex) keys that are too big for one task, with their number of cells per side."""
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chaintrail.operators.groups import could_come_from
+from chaintrail.operators.groups import could_come_from, hot_cells
 from chaintrail.operators.permits import FARM, SLAUGHTERHOUSE
 from chaintrail.session import materialise
 
@@ -74,7 +75,7 @@ def _first_of_farm(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
-def supplier_degrees(groups: DataFrame, target: object, years: Iterable[int]) -> DataFrame:
+def supplier_degrees(groups: DataFrame, target: object, years: Iterable[int], degrees: Iterable[str] = DEGREES) -> DataFrame:
     """(farm_id, year, degree, animals) of one slaughterhouse, all years in one pass.
 
     first   what the farm sent itself
@@ -82,46 +83,51 @@ def supplier_degrees(groups: DataFrame, target: object, years: Iterable[int]) ->
     third   per arriving group and farm the lesser of the best first and best
             second link of its chains, summed
 
-    Only groups on a chain to the target are inferred, and the second hop is
-    reduced to one row per (group, farm) before it meets the first.
+    Only groups on a chain to the target are inferred, and only for the degrees asked for; the
+    second hop is reduced to one row per (group, farm) before it meets the first. Hot farms are
+    measured once, on all groups, and cut in both hops.
     """
+    degrees = [d for d in DEGREES if d in set(degrees)]
     arriving = groups.where(
         (F.col("dest_id") == F.lit(target))
         & (F.col("dest_label") == SLAUGHTERHOUSE)
         & F.col("transport_year").isin(list(years))
     )
-    hop1 = materialise(
-        could_come_from(arriving, groups).select("ag1", "ag1_year", "ag2", "ag2_origin_id", "possible_animals"), "hop1"
-    )
-    linked = hop1.select(F.col("ag2").alias("id")).distinct()
-    hop2 = (
-        could_come_from(groups.join(linked, "id", "left_semi"), groups)
-        .groupBy(F.col("ag1").alias("ag2"), F.col("ag2_origin_id").alias("farm_id"))
-        .agg(F.max("possible_animals").alias("best2"))
-    )
-    year = F.col("ag1_year").alias("year")
-    first = arriving.groupBy(F.col("origin_id").alias("farm_id"), F.col("transport_year").alias("year")).agg(
-        F.sum("amount").alias("animals")
-    )
-    second = (
-        hop1.groupBy("ag1", year, F.col("ag2_origin_id").alias("farm_id"))
-        .agg(F.max("possible_animals").alias("best"))
-        .groupBy("farm_id", "year")
-        .agg(F.sum("best").alias("animals"))
-    )
-    third = (
-        hop1.select("ag1", "ag1_year", "ag2", "possible_animals")
-        .join(hop2, "ag2")
-        .groupBy("ag1", year, "farm_id")
-        .agg(F.least(F.max("possible_animals"), F.max("best2")).alias("best"))
-        .groupBy("farm_id", "year")
-        .agg(F.sum("best").alias("animals"))
-    )
-    parts = [
-        df.select("farm_id", "year", F.lit(name).alias("degree"), F.col("animals").cast("long").alias("animals"))
-        for name, df in zip(DEGREES, (first, second, third), strict=True)
+    year, parts = F.col("ag1_year").alias("year"), {}
+    if "first_degree" in degrees:
+        parts["first_degree"] = arriving.groupBy(F.col("origin_id").alias("farm_id"), F.col("transport_year").alias("year")).agg(
+            F.sum("amount").alias("animals")
+        )
+    if degrees != ["first_degree"]:
+        hot = hot_cells(groups, groups)
+        hop1 = could_come_from(arriving, groups, hot=hot).select("ag1", "ag1_year", "ag2", "ag2_origin_id", "possible_animals")
+    if "third_degree" in degrees:
+        hop1 = materialise(hop1, "hop1")  # read for the second hop, and for both degrees
+        linked = hop1.select(F.col("ag2").alias("id")).distinct()
+        hop2 = (
+            could_come_from(groups.join(linked, "id", "left_semi"), groups, hot=hot)
+            .groupBy(F.col("ag1").alias("ag2"), F.col("ag2_origin_id").alias("farm_id"))
+            .agg(F.max("possible_animals").alias("best2"))
+        )
+        parts["third_degree"] = (
+            hop1.select("ag1", "ag1_year", "ag2", "possible_animals")
+            .join(hop2, "ag2")
+            .groupBy("ag1", year, "farm_id")
+            .agg(F.least(F.max("possible_animals"), F.max("best2")).alias("best"))
+            .groupBy("farm_id", "year")
+            .agg(F.sum("best").alias("animals"))
+        )
+    if "second_degree" in degrees:
+        parts["second_degree"] = (
+            hop1.groupBy("ag1", year, F.col("ag2_origin_id").alias("farm_id"))
+            .agg(F.max("possible_animals").alias("best"))
+            .groupBy("farm_id", "year")
+            .agg(F.sum("best").alias("animals"))
+        )
+    stacked = [
+        parts[name].select("farm_id", "year", F.lit(name).alias("degree"), F.col("animals").cast("long").alias("animals")) for name in degrees
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, stacked)
 
 
 def one_degree(degrees: DataFrame, degree: str) -> DataFrame:

@@ -242,14 +242,14 @@ def second_degree_sample(spark: SparkSession, sf: str) -> DataFrame:
     return S.second_degree_groups(groups, fx.flows(spark, sf), fx.TARGET, F.col("farm_id") == via, limit=3)
 
 
-def _degrees(spark: SparkSession, sf: str) -> DataFrame:
+def _degrees(spark: SparkSession, sf: str, degrees: tuple[str, ...] = S.DEGREES) -> DataFrame:
     groups = materialise(fx.groups(spark, sf), "groups")
-    return S.supplier_degrees(groups, fx.TARGET, fx.SHED_YEARS)
+    return S.supplier_degrees(groups, fx.TARGET, fx.SHED_YEARS, degrees)
 
 
 for _degree, _part in zip(S.DEGREES, ("first_deg", "second_deg", "third_deg"), strict=True):
     QUERIES[_degree] = (
-        lambda spark, sf, degree=_degree: S.one_degree(_degrees(spark, sf), degree),
+        lambda spark, sf, degree=_degree: S.one_degree(_degrees(spark, sf, (degree,)), degree),
         sql(f"SELECT * FROM {_part}", _part),
     )
 

@@ -96,6 +96,9 @@ def test_supplier_degrees(spark):
     degrees = S.supplier_degrees(spark.createDataFrame(rows, GROUP_SCHEMA), 99, [2018, 2019])
     got = {(r["farm_id"], r["year"], r["degree"]): r["animals"] for r in degrees.collect()}
     assert got == want and any(k[2] == "third_degree" for k in want)
+    for name in S.DEGREES:
+        alone = S.supplier_degrees(spark.createDataFrame(rows, GROUP_SCHEMA), 99, [2018, 2019], [name]).collect()
+        assert {(r["farm_id"], r["year"], r["degree"]): r["animals"] for r in alone} == {k: v for k, v in want.items() if k[2] == name}
 
     farms = spark.range(6).select(F.col("id"), F.concat(F.lit("n"), "id").alias("name"), F.col("id").cast("string").alias("tax_number"))
     shed = S.supply_shed(degrees, farms, [2019, 2018]).collect()
