@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chaintrail.functions.text import REMARK_TYPES, clean_breaks, map_values, simple_code
 from chaintrail.operators.columns import keep_first, rename_strict
+from chaintrail.operators.skew import broadcast_checked
 from chaintrail.sources.csv_files import read_trimmed
 
 # Column names of the published lists, code prefixes, flags, source.
@@ -106,7 +107,8 @@ def match_facilities(facilities: DataFrame, eu: DataFrame, china: DataFrame, cit
         F.col("NAME").alias("CHINA_NAME_SYNONYM"),
         F.col("City_County").alias("_county"),
     )
-    city_side = city_parishes.select(F.col("CITY").alias("_city"), "PARISH_TRASE_ID", "CANTON")
+    # facilities without a city share one key; a list of cities as small as usual is not shuffled for it
+    city_side = broadcast_checked(city_parishes.select(F.col("CITY").alias("_city"), "PARISH_TRASE_ID", "CANTON"))
     flag = lambda c: F.when(F.col(c).isNull(), FALSE).otherwise(TRUE)
     return (
         base.join(eu_side, F.col("SIMPLE_CODE").eqNullSafe(F.col("_eu_simple")), "left")
