@@ -295,7 +295,8 @@ def catalogue_tables(spark: SparkSession, sf: str) -> DataFrame:
     tables = [
         spark.table(x.table).select(F.lit(x.table.split("`")[-2]).alias("table_name"), F.col("c_custkey").cast("long"), "c_name") for x in loads
     ]
-    return reduce(DataFrame.unionByName, tables)
+    none = spark.createDataFrame([], "table_name string, c_custkey long, c_name string")  # no dataset may be listed
+    return reduce(DataFrame.unionByName, tables, none)
 
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
