@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
@@ -106,8 +106,8 @@ def louvain_run(
     its smallest member. `settled` tells a run that ended because nothing improved from one that
     ran out of levels or turns.
 
-    Sums over a community are added up before the shuffle and written once a turn; where a community
-    or a hub has more than `rows_per_part` rows, joins with it are split over tasks.
+    A turn is one job over the links, and writes one row per node. Sums over a community are added up before
+    the shuffle; where a community or a hub has more than `rows_per_part` rows, joins with it are split over tasks.
     """
     both = edges.where(F.col("src") != F.col("dst")).select(
         F.explode(
@@ -181,9 +181,8 @@ def _named_by_smallest(placed: DataFrame, rows_per_part: int) -> DataFrame:
 
 
 def _sums(state: DataFrame) -> DataFrame:
-    """(of, sum_k, count) of every community, written: one row each, added up before the shuffle."""
-    sums = state.groupBy(F.col("community").alias("of")).agg(F.sum("k").alias("sum_k"), F.count("*").alias("count"))
-    return materialise(sums, "community-sums")
+    """(of, sum_k, count) of every community: one row each, added up before the shuffle."""
+    return state.groupBy(F.col("community").alias("of")).agg(F.sum("k").alias("sum_k"), F.count("*").alias("count"))
 
 
 def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, level):
@@ -198,48 +197,57 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
     )
     state = materialise(state, "state")
     written, best_written = [state], state
-    spread = split.spread(links, ["src"]).repartition(*split.keys()).persist()
-    loops = vertices.agg(F.sum("loop")).first()[0] or 0.0
+    # the strength of a link's start stays for the level, and so stands with the link
+    begins, starts = by_src.spread(links, ["dst"]), by_src.repeat(state.select(F.col("id").alias("start"), "k"), "start")
+    begun = begins.join(starts, by_src.on(begins, starts, "start")).select("src", "dst", "weight", "k")
+    spread = split.spread(begun, ["src"]).repartition(*split.keys()).persist()
+    loops, size = vertices.agg(F.sum("loop"), F.count("*")).first()
+    loops = loops or 0.0
     best_state, best_q, first_q, idle, settled, turn = state, None, None, 0, False, 0
     for turn in range(2 * max_iterations + 1):
-        sums = _sums(state)
-        members = HotKeySplit(None, "community", rows_per_part, sums.select(F.col("of").alias("community"), "count"))
+        sums, members = _sums(state), HotKeySplit.none("community")
+        if size > rows_per_part:  # else no community has so many members
+            sums = materialise(sums, "community-sums")
+            members = HotKeySplit(None, "community", rows_per_part, sums.select(F.col("of").alias("community"), "count"))
         many, few = members.spread(state, ["id"]), members.repeat(sums.drop("count"), "of")
-        own = many.join(few, members.on(many, few, "of")).select("id", "k", "community", F.col("sum_k").alias("own_sum"))
+        own = many.join(few, members.on(many, few, "of")).select("id", "k", "community", "sum_k")
         # a community's strength travels with its members, so edges never join on a community
-        ends = split.repeat(own.select(F.col("id").alias("end"), F.col("community").alias("c"), F.col("own_sum").alias("sum_k")), "end")
-        link = (
-            spread.join(ends, split.on(spread, ends, "end"))
+        ends = split.repeat(own.select(F.col("id").alias("end"), F.col("community").alias("c"), "sum_k"), "end")
+        link = spread.join(ends, split.on(spread, ends, "end")).select("src", "c", "weight", "sum_k", "k", F.lit(False).alias("own"))
+        # a node meets its links as a row of weight 0 to its own community: nothing is joined on the start of a link
+        mine = own.select(F.col("id").alias("src"), F.col("community").alias("c"), F.lit(0.0).alias("weight"), "sum_k", "k", F.lit(True).alias("own"))
+        to = (
+            link.unionByName(mine)
             .groupBy("src", "c")
-            .agg(F.sum("weight").alias("to_c"), F.max("sum_k").alias("sum_k"))
+            .agg(F.sum("weight").alias("to_c"), F.max("sum_k").alias("sum_k"), F.max("k").alias("k"), F.max("own").alias("own"))
         )
-        link, mine = by_src.spread(link, ["c"]), by_src.repeat(own, "id")
-        options = (
-            link.join(mine, by_src.on(link, mine, "id"))
-            .groupBy("id")
-            .agg(
-                F.max(F.when(F.col("c") == F.col("community"), F.col("to_c"))).alias("to_own"),
-                F.max(
-                    F.when(
-                        F.col("c") != F.col("community"),
-                        F.struct((F.col("to_c") - F.col("k") * F.col("sum_k") / F.lit(double_m)).alias("gain"), F.col("c").alias("c")),
-                    )
-                ).alias("best"),
-            )
+        gain = F.col("to_c") - F.col("k") * F.col("sum_k") / F.lit(double_m)
+        options = to.groupBy(F.col("src").alias("id")).agg(
+            F.max("k").alias("k"),
+            F.max(F.when(F.col("own"), F.col("c"))).alias("community"),
+            F.max(F.when(F.col("own"), F.col("sum_k"))).alias("own_sum"),
+            F.max(F.when(F.col("own"), F.col("to_c"))).alias("to_own"),
+            F.max(F.when(~F.col("own"), F.struct(gain.alias("gain"), F.col("c").alias("c")))).alias("best"),
         )
-        to_own = F.coalesce(F.col("to_own"), F.lit(0.0))
-        stay = to_own - F.col("k") * (F.col("own_sum") - F.col("k")) / F.lit(double_m)
+        stay = F.col("to_own") - F.col("k") * (F.col("own_sum") - F.col("k")) / F.lit(double_m)
         goes = (F.pmod(F.xxhash64(F.col("id"), F.lit(level * 100 + turn)), F.lit(2)) == 0) & (
             F.col("best.gain") > stay + F.lit(1e-9 * double_m)
         )
+        judged = options.select(
+            "id", "k", "community", "own_sum", "to_own", F.when(goes, F.col("best.c")).otherwise(F.col("community")).alias("next")
+        )
+        # counted while writing; the strengths of its members, times its own, add up to the square of a community's
+        seen = Observation()
         judged = materialise(
-            own.join(options, "id", "left").select(
-                "id", "k", "community", to_own.alias("to_own"), F.when(goes, F.col("best.c")).otherwise(F.col("community")).alias("next")
+            judged.observe(
+                seen,
+                F.sum("to_own").alias("inner"),
+                F.max(F.col("next") != F.col("community")).alias("moves"),
+                F.sum(F.col("k") * F.col("own_sum")).alias("squares"),
             ),
             "judged",
         )
-        inner, moves = judged.agg(F.sum("to_own"), F.max(F.col("next") != F.col("community"))).first()
-        squares = sums.agg(F.sum(F.col("sum_k") * F.col("sum_k"))).first()[0]
+        inner, moves, squares = (seen.get[x] for x in ("inner", "moves", "squares"))
         discard(sums)
         q = (inner + loops) / double_m - squares / (double_m * double_m)
         if first_q is None:

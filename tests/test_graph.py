@@ -358,6 +358,24 @@ def test_louvain_says_when_it_did_not_settle(spark):
     assert none.settled and none.levels == [] and none.community_count == 3 and none.modularity == 0.0
 
 
+def test_a_louvain_turn_writes_one_table(spark, monkeypatch):
+    """A turn that writes sums, hot keys and moves one after the other takes its time in jobs, not in links."""
+    written, write = [], C.materialise
+
+    def noted(df, name="step"):
+        written.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(C, "materialise", noted)
+    monkeypatch.setattr("chaintrail.operators.skew.materialise", noted)
+    edges = [(a, b, 1) for g in range(3) for a, b in itertools.combinations(range(g * 5, g * 5 + 5), 2)] + [(0, 5, 1), (5, 10, 1), (99, 1, 1)]
+    run = C.louvain_run(spark.createDataFrame(edges, "src long, dst long, weight long"), spark.range(15))  # 99 is no node
+    assert {r["id"]: r["community"] for r in run.membership.collect()} == {i: i - i % 5 for i in range(15)}
+    turns = written.count("judged")
+    assert turns >= sum(level.turns for level in run.levels) > 4
+    assert written.count("community-sums") == 0 and written.count("hot-keys") < turns + 5
+
+
 def test_nodes_and_edges_come_from_one_scan(spark):
     records = raw(
         spark,
