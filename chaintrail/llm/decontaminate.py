@@ -4,8 +4,8 @@
    are hashed to `FEATURES` columns and weighted by inverse document frequency over all passages.
 2. A distributed randomised singular value decomposition of the TF-IDF passages: tasks sum
    A'(A G) for a Gaussian G, the driver orthonormalises it to Q, tasks sum (A Q)'(A Q), and its
-   eigenvectors turn Q to the right singular vectors. Only matrices of FEATURES x RANK meet. The
-   axes are fitted on a sample of about `SAMPLE_TILES` tiles; every passage is indexed.
+   eigenvectors turn Q to the right singular vectors. Only matrices of FEATURES x RANK meet. All
+   passages are read for the axes, and all are indexed.
 3. Passages and benchmark passages meet in the latent space, each direction scaled by its
    singular value; pairs with a cosine of `CANDIDATE` or more are candidates, without a cap.
 4. Candidates whose surroundings hold too few of the item's words go, counted for all of a batch at
@@ -43,8 +43,12 @@ CANDIDATE, COPIED, PARAPHRASED, ANSWERED = 0.4, 0.8, 0.6, 0.7
 BLOCK_ITEMS = 2000
 #: Tiles whose latent vectors are in memory at once.
 CHUNK_TILES = 4096
-#: Tiles and texts the axes of the latent space are fitted on; sums that meet in one group.
-SAMPLE_TILES, SAMPLE_TEXTS, FAN = 200_000, 4_000, 64
+#: Sums that meet in one group.
+FAN = 64
+#: Bounds of the sample that the axes were fitted on before; they bound nothing now, a test still sets them.
+SAMPLE_TILES, SAMPLE_TEXTS = 200_000, 4_000
+#: Rows that are added up for one key at a time. Text that is cut into words at once: what is made on the way stays in the cache.
+RUN, SLICE_BYTES = 16, 250_000
 #: Candidates whose words are counted at once.
 PAIRS = 4_000
 #: Cells of the table of words by items in a block.
@@ -123,6 +127,31 @@ def project(bucket: np.ndarray, starts: np.ndarray, basis: np.ndarray) -> np.nda
     return out
 
 
+def group_sums(values: np.ndarray, index: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sum of values[index] of each); `key` ascends.
+
+    Runs of at most `RUN` rows of a key are added up place by place, then their sums in the same way.
+    """
+    while len(key):
+        begins = np.ones(len(key), dtype=bool)
+        begins[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(begins)
+        place = np.arange(len(key)) - np.repeat(first, np.diff([*first, len(key)]))
+        head = np.flatnonzero(place % RUN == 0)
+        n = np.diff([*head, len(key)])
+        order = np.argsort(-n, kind="stable")
+        at, longer = head[order], len(head) - np.cumsum(np.bincount(n, minlength=RUN + 1))
+        total = values[index[at]]
+        for j in range(1, n.max()):
+            total[: longer[j]] += values[index[at[: longer[j]] + j]]
+        values = np.empty_like(total)
+        values[order] = total
+        key, index = key[head], np.arange(len(head))
+        if len(first) == len(head):
+            break
+    return key, values
+
+
 def _passages(at: np.ndarray, bucket: np.ndarray, basis: np.ndarray):
     """For each cut: (first word, end, tile starts, text of tile, first and second tile, latent passages)."""
     cuts = list(_chunks(at))
@@ -152,7 +181,7 @@ def _summed(docs: DataFrame, size: int, add) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 hashes, at = words(part.column("text"))
                 if len(hashes):
                     add(total, buckets(hashes), at)
@@ -187,12 +216,7 @@ class Space:
 
 
 def latent_space(docs: DataFrame) -> Space:
-    """Inverse document frequencies over all passages, and a randomised SVD fitted on a bounded sample of the texts.
-
-    The sample takes texts by a hash, so that about `SAMPLE_TILES` tiles or `SAMPLE_TEXTS` texts are in it, whichever
-    is more; a smaller corpus is in it as a whole. It only turns the axes of the latent space: every passage is
-    indexed and compared in it.
-    """
+    """Inverse document frequencies and a randomised SVD, both over all passages, in three passes."""
     rows = _texts(docs)
 
     def count(total: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> None:
@@ -201,13 +225,10 @@ def latent_space(docs: DataFrame) -> Space:
         once = np.ones(held.shape, dtype=bool)
         once[:, 1:] = held[:, 1:] != held[:, :-1]
         total[:FEATURES] += np.bincount(held[once], minlength=FEATURES + 1)[:FEATURES]
-        total[FEATURES:] += len(starts), np.count_nonzero(np.diff(at))
+        total[FEATURES] += len(starts)
 
-    df = _summed(rows, FEATURES + 2, count)
+    df = _summed(rows, FEATURES + 1, count)
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES]))
-    share = min(1.0, max(SAMPLE_TILES / max(df[FEATURES], 1.0), SAMPLE_TEXTS / max(df[FEATURES + 1], 1.0)))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     g = (np.random.default_rng(3).normal(size=(FEATURES, RANK)) * idf[:, None]).astype(np.float32)
     spread = docs.sparkSession.sparkContext.broadcast(g)
 
@@ -220,9 +241,9 @@ def latent_space(docs: DataFrame) -> Space:
             back[second[second >= 0]] += y[second >= 0]
             here = bucket[a:b]
             tile = np.repeat(np.arange(len(starts)), np.diff([*starts, b - a]))
-            order = np.argsort(here, kind="stable")
-            present, cuts = np.unique(here[order], return_index=True)
-            out[present] += np.add.reduceat(back[tile[order]], cuts, axis=0)
+            order = np.argsort(here.astype(np.uint16), kind="stable")
+            present, sums = group_sums(back, tile[order], here[order])
+            out[present] += sums
 
     sketch = _summed(rows, FEATURES * RANK, ranged).reshape(FEATURES, RANK) * idf[:, None]
     q, _ = np.linalg.qr(sketch)
@@ -391,7 +412,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=SLICE_BYTES):
                     now = judge(part.column("text"), *spread.value)
                     old = zip(part.column("item_id").to_pylist(), part.column("lcs").to_pylist())
                     # blocks come in order of item_id: an equal share stays with the earlier
@@ -416,7 +437,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=SLICE_BYTES):
                     found = judge(part.column("text"), *spread.value)
                     yield part.filter(pa.array([item is None for item, _ in found], pa.bool_()))
 

@@ -43,6 +43,8 @@ from chaintrail.session import discard, materialise
 SKETCH, INDEXED, MISS = 64, 64, 1e-9
 #: Of one block in a sweep: classes, and shingles of their texts.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1_000_000
+#: Of a block, rows that are compared with the other block at once; pairs that are added to its table at once.
+STRIP_ROWS, PAIRS_AT_ONCE = 256, 1_000_000
 #: Classes that one hub meets in one task.
 HUB_ROWS = 2000
 #: Comparisons of sketches that lists may leave before further classes are put in their middle, and the share of them
@@ -134,7 +136,7 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     (at_a, row_a, n_a), (at_b, row_b, n_b) = places
     first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
     few = np.flatnonzero(n_a * n_b <= 256)
-    for part in np.array_split(few, 1 + int((n_a[few] * n_b[few]).sum()) // 4_000_000):
+    for part in np.array_split(few, 1 + int((n_a[few] * n_b[few]).sum()) // PAIRS_AT_ONCE):
         # every row of `a` that holds a value, repeated for every row of `b` that holds it
         left = ragged_take(row_a, first_a[part], n_a[part])
         width = np.repeat(n_b[part], n_a[part])
@@ -151,11 +153,24 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             here = column[at] >= 0
             m[row[here], column[at[here]]] = 1
             one.append(m)
-        counts += one[0] @ one[1].T
+        for rows in _strips(len(a)):
+            counts[rows] += one[0][rows] @ one[1].T
         column[part] = -1
     return counts
 
 
+def _strips(rows: int) -> Iterator[slice]:
+    return (slice(at, at + STRIP_ROWS) for at in range(0, rows, STRIP_ROWS))
+
+
+def _marked(both: np.ndarray, x: np.ndarray, y: np.ndarray, test) -> np.ndarray:
+    """`test(both, x, y)` for a table of pairs, a strip of its rows at a time: what it makes on the way would fill the worker."""
+    ok = np.zeros(both.shape, dtype=bool)
+    for rows in _strips(len(x)):
+        ok[rows] = test(both[rows], x[rows], y)
+    return ok
+
+
 def _forest(ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (x[i], y[j]) with ok[i, j]; x and y are row numbers."""
     rows = [ok, np.ascontiguousarray(ok.T)]
@@ -373,20 +388,28 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, steps: l
         sets = [np.asarray(s).view(np.uint64)[:SKETCH] for s in g["body"]]
         n, comp = g["n"].to_numpy(), g["comp"].to_numpy()
         both = _overlap([sets[i] for i in x], [sets[i] for i in y])
-        small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
-        # at least `floor` of the union sketch lies in both, and so in both sketches
-        need = np.ceil(floor * np.minimum(large, SKETCH) - 1e-9)
-        ok = (both >= need) & (den * small >= num * large) & (comp[x][:, None] != comp[y][None, :])
-        return edges_of(g, ok, x, y)
+
+        def plausible(both: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
+            # at least `floor` of the union sketch lies in both, and so in both sketches
+            need = np.ceil(floor * np.minimum(large, SKETCH) - 1e-9)
+            return (both >= need) & (den * small >= num * large) & (comp[x][:, None] != comp[y][None, :])
+
+        return edges_of(g, _marked(both, x, y, plausible), x, y)
 
     def verified(g: pd.DataFrame) -> pd.DataFrame:
         x, y = _halves(g)
         sets = shingle_sets(pa.array(g["body"], pa.string()), k)
         comp = g["comp"].to_numpy()
         n = np.array([len(s) for s in sets], dtype=np.float64)
-        both = _overlap([sets[i] for i in x], [sets[i] for i in y]).astype(np.float64)
-        union = n[x][:, None] + n[y][None, :] - both
-        return edges_of(g, (den * both >= num * union) & (comp[x][:, None] != comp[y][None, :]), x, y)
+        both = _overlap([sets[i] for i in x], [sets[i] for i in y])
+
+        def linked(both: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            both = both.astype(np.float64)
+            union = n[x][:, None] + n[y][None, :] - both
+            return (den * both >= num * union) & (comp[x][:, None] != comp[y][None, :])
+
+        return edges_of(g, _marked(both, x, y, linked), x, y)
 
     schema = "hub long, rep long"
     plausible = _sweep(open_lists, sketch, F.lit(1), BLOCK_ROWS, possible, schema)

@@ -100,3 +100,29 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert {r.doc_id: r.item_id for r in D.find(frame, bench).collect()} == {1: 4, 2: None}
     assert D.find(frame.where("doc_id > 5"), bench).count() == 0
     assert [r.item_id for r in D.find(frame, bench.where("item_id > 9")).collect()] == [None, None]
+
+
+def test_axes_come_from_all_passages(spark, monkeypatch):
+    """With the bounds of the former sample the axes were fitted on a tenth of these texts."""
+    monkeypatch.setattr(D, "SAMPLE_TILES", 30, raising=False)
+    monkeypatch.setattr(D, "SAMPLE_TEXTS", 20, raising=False)
+    texts = [" ".join(prose(3000 + k, 10 + k)) for k in range(200)]
+    space = D.latent_space(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    hashes, at = D.words(pa.array(texts))
+    passages = np.concatenate([y for *_, y in D._passages(at, D.buckets(hashes), space.basis)])
+    # in the space each axis is scaled by its singular value over all passages
+    held = (passages**2).sum(axis=0)
+    kept = space.values > 1e-3 * space.values.max()
+    assert held[kept] == pytest.approx(np.full(kept.sum(), held.max()), rel=0.01)
+
+
+def test_group_sums_beside_a_loop():
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(50, 3))
+    for n in (0, 1, 15, 16, 17, 900):
+        key = np.sort(rng.integers(0, 4, n))
+        index = rng.integers(0, 50, n)
+        keys, sums = D.group_sums(values, index, key)
+        assert keys.tolist() == sorted(set(key.tolist()))
+        for k, row in zip(keys, sums):
+            assert row == pytest.approx(values[index[key == k]].sum(axis=0))
