@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chaintrail.operators.groups import could_come_from, hot_cells
 from chaintrail.operators.permits import FARM, SLAUGHTERHOUSE
-from chaintrail.session import materialise
+from chaintrail.operators.skew import broadcast_checked
+from chaintrail.session import discard, materialise
 
 DEGREES = ("first_degree", "second_degree", "third_degree")
 
@@ -75,6 +76,31 @@ def _first_of_farm(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def chain_permits(permits: DataFrame, target: object, years: Iterable[int], hops: int = 2) -> DataFrame:
+    """Permits whose groups may lie on a chain of `hops` farms to the target, written.
+
+    These are the permits to the target in the years, and those to a farm that a permit of the hop before
+    comes from; whether a group could come from another is not asked here. `supplier_degrees` finds the same
+    with their groups as with all. A hop reads the permits once and keeps one row per farm.
+    """
+    arriving = permits.where(
+        (F.col("dest_id") == F.lit(target)) & (F.col("dest_label") == SLAUGHTERHOUSE) & F.col("year").isin(list(years))
+    )
+    to_farms = permits.where(F.col("dest_label") == FARM)
+    arriving = materialise(arriving, "arriving")
+    kept, spent = arriving, []
+    for _ in range(hops):
+        farms = kept.select(F.col("origin_id").alias("dest_id")).distinct()
+        farms = materialise(farms, "chain-farms")
+        sent = materialise(to_farms.join(broadcast_checked(farms), "dest_id", "left_semi").select(*permits.columns), "chain-permits")
+        kept = arriving.unionByName(sent)
+        discard(farms, *spent)
+        spent = [sent]
+    out = materialise(kept, "chain")
+    discard(arriving, *spent)
+    return out
+
+
 def supplier_degrees(groups: DataFrame, target: object, years: Iterable[int], degrees: Iterable[str] = DEGREES) -> DataFrame:
     """(farm_id, year, degree, animals) of one slaughterhouse, all years in one pass.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaintrail.functions.measures import significant, whole_months
+from chaintrail.operators import groups as G
 from chaintrail.operators import permits as P
 from chaintrail.operators import suppliers as S
 from chaintrail.operators.groups import could_come_from, mark_compatible
@@ -243,7 +244,10 @@ def second_degree_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _degrees(spark: SparkSession, sf: str, degrees: tuple[str, ...] = S.DEGREES) -> DataFrame:
-    groups = materialise(fx.groups(spark, sf), "groups")
+    # the permits of a chain first: only their lines are read on, and no other line is shuffled
+    chain = S.chain_permits(fx.permits(spark, sf), fx.TARGET, fx.SHED_YEARS, max(S.DEGREES.index(d) for d in degrees))
+    lines = fx.animals(spark, sf).join(chain.select("gta_id"), "gta_id", "left_semi")
+    groups = materialise(G.animal_groups(chain, lines), "groups")
     return S.supplier_degrees(groups, fx.TARGET, fx.SHED_YEARS, degrees)
 
 

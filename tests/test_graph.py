@@ -410,3 +410,20 @@ def test_second_degree_groups_skip_direct_senders(spark):
     flows = spark.createDataFrame([(1, 9), (3, 9)], "src long, dst long")
     got = S.second_degree_groups(groups, flows, 9, F.col("farm_id") == 1).collect()
     assert [tuple(r) for r in got] == [("a", 1, "b", 2)]
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2])
+def test_chains_need_few_permits(spark, hops):
+    """All degrees from the permits of the chains alone: reading every permit's lines made the export grow with all of them."""
+    groups = random_groups(160)
+    groups = [(*r[:2], 99 if r[3] == "Slaughterhouse" else r[2], *r[3:]) for r in groups]
+    far = [(f"far{i}", 500 + i, 600 + i, "Farm", *r[4:]) for i, r in enumerate(groups[:20])]
+    frame = spark.createDataFrame(groups + far + [("none", None, None, *groups[0][3:])], GROUP_SCHEMA)
+    permits = frame.withColumns({"year": F.col("transport_year"), "gta_id": F.col("id")})
+    chain = S.chain_permits(permits, 99, [2018, 2019], hops)
+    assert chain.columns == permits.columns
+    few = chain.drop("year", "gta_id")
+    assert few.count() < len(groups) and few.where("id LIKE 'far%'").isEmpty()
+    names = S.DEGREES[: hops + 1]
+    want, got = (sorted(map(tuple, S.supplier_degrees(g, 99, [2018, 2019], names).collect())) for g in (frame, few))
+    assert got == want and {r[2] for r in got} == set(names)
