@@ -49,6 +49,8 @@ FAN = 64
 SAMPLE_TILES, SAMPLE_TEXTS = 200_000, 4_000
 #: Rows that are added up for one key at a time. Text that is cut into words at once: what is made on the way stays in the cache.
 RUN, SLICE_BYTES = 16, 250_000
+#: Of a cut's words, those that occur more often than `FREQUENT` times are added up by one product, `COLUMNS` of them at most.
+FREQUENT, COLUMNS = 150, 32
 #: Candidates whose words are counted at once.
 PAIRS = 4_000
 #: Cells of the table of words by items in a block.
@@ -141,17 +143,37 @@ def group_sums(values: np.ndarray, index: np.ndarray, key: np.ndarray) -> tuple[
         n = np.diff([*head, len(key)])
         order = np.argsort(-n, kind="stable")
         at, longer = head[order], len(head) - np.cumsum(np.bincount(n, minlength=RUN + 1))
-        total = values[index[at]]
+        total = np.take(values, index[at], axis=0)
+        more = np.empty_like(total)
         for j in range(1, n.max()):
-            total[: longer[j]] += values[index[at[: longer[j]] + j]]
-        values = np.empty_like(total)
-        values[order] = total
+            here = more[: longer[j]]
+            np.take(values, index[at[: longer[j]] + j], axis=0, out=here, mode="clip")
+            total[: longer[j]] += here
+        values = np.take(total, np.argsort(order), axis=0)
         key, index = key[head], np.arange(len(head))
         if len(first) == len(head):
             break
     return key, values
 
 
+def word_sums(values: np.ndarray, tile: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, sum of values[tile] over the words of each), in two parts without a common bucket."""
+    count = np.bincount(bucket, minlength=FEATURES)
+    often = np.argsort(-count, kind="stable")[:COLUMNS]
+    often = often[count[often] > FREQUENT]
+    column = np.full(FEATURES, -1)
+    column[often] = np.arange(len(often))
+    at = column[bucket]
+    if len(often):
+        here = at >= 0
+        copies = np.bincount(at[here] * len(values) + tile[here], minlength=len(often) * len(values))
+        yield often, copies.reshape(len(often), -1).astype(np.float32) @ values
+    rest = np.flatnonzero(at < 0)
+    if len(rest):
+        order = rest[np.argsort(bucket[rest].astype(np.uint16), kind="stable")]
+        yield group_sums(values, tile[order], bucket[order])
+
+
 def _passages(at: np.ndarray, bucket: np.ndarray, basis: np.ndarray):
     """For each cut: (first word, end, tile starts, text of tile, first and second tile, latent passages)."""
     cuts = list(_chunks(at))
@@ -241,9 +263,8 @@ def latent_space(docs: DataFrame) -> Space:
             back[second[second >= 0]] += y[second >= 0]
             here = bucket[a:b]
             tile = np.repeat(np.arange(len(starts)), np.diff([*starts, b - a]))
-            order = np.argsort(here.astype(np.uint16), kind="stable")
-            present, sums = group_sums(back, tile[order], here[order])
-            out[present] += sums
+            for present, sums in word_sums(back, tile, here):
+                out[present] += sums
 
     sketch = _summed(rows, FEATURES * RANK, ranged).reshape(FEATURES, RANK) * idf[:, None]
     q, _ = np.linalg.qr(sketch)

@@ -126,3 +126,19 @@ def test_group_sums_beside_a_loop():
         assert keys.tolist() == sorted(set(key.tolist()))
         for k, row in zip(keys, sums):
             assert row == pytest.approx(values[index[key == k]].sum(axis=0))
+
+
+def test_word_sums_beside_a_loop():
+    rng = np.random.default_rng(3)
+    bucket = np.concatenate([rng.integers(0, 40, 300), np.full(2 * D.FREQUENT, 7), np.full(3 * D.FREQUENT, 900)])
+    tile = rng.integers(0, 25, len(bucket))
+    values = rng.integers(0, 9, (25, 4)).astype(np.float32)
+    want = np.zeros((D.FEATURES, 4))
+    np.add.at(want, bucket, values[tile])
+    got, parts = np.zeros((D.FEATURES, 4)), list(D.word_sums(values, tile, bucket))
+    for at, sums in parts:
+        got[at] += sums
+    assert len(parts) == 2 and (got == want).all()
+    only = np.full(D.FREQUENT + 1, 7)
+    (at, sums), = D.word_sums(values, tile[: len(only)], only)
+    assert at.tolist() == [7] and (sums[0] == values[tile[: len(only)]].sum(axis=0)).all()
