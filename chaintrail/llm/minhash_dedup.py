@@ -108,15 +108,15 @@ def _may_leave_out(threshold: float) -> Column:
 
 
 def _index(reps: DataFrame, threshold: float) -> DataFrame:
-    """(value, rep): inverted lists of two and more classes, without each class's most frequent values."""
-    values = reps.select("rep", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"), F.least("n", F.lit(INDEXED)).alias("kept"))
+    """(value, rep, n): inverted lists of two and more classes, without each class's most frequent values."""
+    values = reps.select("rep", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
     lists = values.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     common = values.join(lists, "value")
     ranked = common.groupBy("rep").agg(
-        F.first("kept").alias("kept"), F.sort_array(F.collect_list(F.struct("length", "value")), asc=False).alias("common")
-    )
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("length", "value")), asc=False).alias("common")
+    ).withColumn("kept", F.least("n", F.lit(INDEXED)))
     left = F.expr("slice(common, skip + 1, greatest(size(common) - skip, 0))")
-    return ranked.withColumn("skip", _may_leave_out(threshold)).select("rep", F.explode(left.getField("value")).alias("value"))
+    return ranked.withColumn("skip", _may_leave_out(threshold)).select("rep", "n", F.explode(left.getField("value")).alias("value"))
 
 
 def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -195,28 +195,26 @@ def _forest(ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int
     return edges
 
 
-def _fitting(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (hub, rep) whose sizes allow the similarity."""
-    sizes = reps.select("rep", "n")
-    pairs = pairs.where("rep <> hub").select("hub", "rep").distinct()
-    pairs = pairs.join(sizes, "rep").join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub")
-    return pairs.where(den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")).select("hub", "rep")
+def _fitting(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (hub, rep) of pairs (hub, hub_n, rep, n) whose sizes allow the similarity."""
+    fits = den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")
+    return pairs.where((F.col("rep") != F.col("hub")) & fits).select("hub", "rep").distinct()
 
 
 def _first_hubs(index: DataFrame) -> DataFrame:
-    """(hub, rep): every class of a list with the list's first class."""
-    hubs = index.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return index.join(hubs, "value")
+    """(hub, hub_n, rep, n): every class of a list with the list's first class."""
+    hubs = index.groupBy("value").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count("*").alias("c"))
+    return index.join(hubs.where("c > 1").drop("c"), "value")
 
 
 def _next_hubs(members: DataFrame, turn: int) -> DataFrame:
-    """(hub, rep): the classes outside their list's largest component with one class inside and one outside it."""
-    order = F.xxhash64("rep", F.lit(turn))
+    """(hub, hub_n, rep, n): the classes outside their list's largest component with one class inside and one outside it."""
+    order, one = F.xxhash64("rep", F.lit(turn)), F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     hubs = members.groupBy("value").agg(
-        F.min_by("rep", F.when(~F.col("out"), order)).alias("inside"), F.min_by("rep", F.when(F.col("out"), order)).alias("outside")
+        F.min_by(one, F.when(~F.col("out"), order)).alias("inside"), F.min_by(one, F.when(F.col("out"), order)).alias("outside")
     )
     met = members.where("out").join(hubs, "value")
-    return met.select(F.explode(F.array("inside", "outside")).alias("hub"), "rep").where("hub IS NOT NULL")
+    return met.select(F.explode(F.array("inside", "outside")).alias("middle"), "rep", "n").select("middle.*", "rep", "n").where("hub IS NOT NULL")
 
 
 def _against_hub(pairs: DataFrame, payload: DataFrame, kind: str, check) -> DataFrame:
@@ -304,14 +302,13 @@ def _halves(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(out & (block == i)), np.flatnonzero(~out) if j < 0 else np.flatnonzero(block == j)
 
 
-def _residual(index: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+def _residual(index: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of lists whose classes are in several components: (value, rep, comp, n).
 
     The first class of a list has met all others, so lists of two are done.
     """
-    state = reps.select("rep", "n").join(comps, F.col("rep") == F.col("node"), "left")
-    state = state.select("rep", "n", F.coalesce("component", "rep").alias("comp"))
-    rows = index.join(state, "rep")
+    rows = index.join(comps, F.col("rep") == F.col("node"), "left")
+    rows = rows.select("value", "rep", F.coalesce("component", "rep").alias("comp"), "n")
     open_lists = rows.groupBy("value").agg(F.count("*").alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b"))
     return rows.join(open_lists.where("c > 2 AND a <> b").select("value"), "value").select("value", "rep", "comp", "n")
 
@@ -327,14 +324,21 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, steps: l
         steps.append(materialise(df, name))
         return steps[-1]
 
+    def drop(*read: DataFrame) -> None:
+        """What has been read goes at once: the texts would lie beside all that follows."""
+        discard(*read)
+        steps[:] = [step for step in steps if all(step is not other for other in read)]
+
     index = keep(_index(reps, threshold), "lists")
     sketch = reps.select("rep", F.col("sketch").alias("body"))
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:
         # written first, so that its measured size decides how the texts meet it
-        ids = keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{name}-ids")
+        ids = materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{name}-ids")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        return keep(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("body")), name)
+        texts = keep(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("body")), name)
+        discard(ids)
+        return texts
 
     def likely(head: pa.Array, bodies: pa.Array) -> list[bool]:
         one = np.asarray(head[0].values)
@@ -357,15 +361,19 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, steps: l
         return out
 
     def met(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (hub, rep) that are links: by their sketches first, then by their texts."""
-        pairs = keep(_fitting(pairs, reps, num, den), f"{name}-pairs")
+        """Those of the pairs that are links: by their sketches first, then by their texts."""
+        done = len(steps)
+        pairs = keep(_fitting(pairs, num, den), f"{name}-pairs")
         hopeful = keep(_against_hub(_with_parts(pairs), sketch, "sketch", likely), f"{name}-hopeful")
         ends = hopeful.select("rep").unionByName(hopeful.select(F.col("hub").alias("rep")))
-        return keep(_against_hub(_with_parts(hopeful), texts_of(ends, f"{name}-texts"), "text", exact), f"{name}-links")
+        linked = materialise(_against_hub(_with_parts(hopeful), texts_of(ends, f"{name}-texts"), "text", exact), f"{name}-links")
+        drop(*steps[done:])
+        steps.append(linked)
+        return linked
 
     stars = met(_first_hubs(index), "star")
     comps = keep(components(stars), "components")
-    open_lists = keep(_residual(index, comps, reps), "open-lists")
+    open_lists = keep(_residual(index, comps), "open-lists")
     before, turn = None, 0
     while True:
         marked = _with_outsiders(open_lists)
@@ -375,8 +383,11 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, steps: l
             break
         before, turn = work, turn + 1
         stars = stars.unionByName(met(_next_hubs(marked, turn), f"star-{turn}"))
+        spent = comps, open_lists
         comps = keep(components(stars), "components")
-        open_lists = keep(_residual(index, comps, reps), "open-lists")
+        open_lists = keep(_residual(index, comps), "open-lists")
+        drop(*spent)
+    drop(index, comps)
 
     def edges_of(g: pd.DataFrame, ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         pairs = np.array(_forest(ok, x, y), dtype=np.int64).reshape(-1, 2)
@@ -430,9 +441,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = shingled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select("rep").join(shingled.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "rep")
     reps = materialise(reps, "classes")
+    # the sketches are in the classes now
+    sketched, base = base, materialise(base.drop("sketch"), "documents")
+    discard(sketched)
+    shingled = base.where("n > 0 AND doc_id IS NOT NULL")
+    classes = shingled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     steps: list[DataFrame] = []
     comps = materialise(components(links(docs, reps, k, num, den, steps)), "named")
-    discard(*steps)
+    discard(*steps, reps)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left")
     named = named.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     own = base.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -141,3 +141,19 @@ def test_overlap_beside_sets(monkeypatch):
     a, b = ([np.unique(rng.integers(0, 400, n)).astype(np.uint64) for n in rng.integers(1, 90, size)] for size in (60, 45))
     want = [[len(set(p.tolist()) & set(q.tolist())) for q in b] for p in a]
     assert M._overlap(a, b).tolist() == want
+
+
+def test_texts_go_as_soon_as_their_links_are_written(spark):
+    import os
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join([*base[:59], f"x{i}"])) for i in range(6)] + [(9, "alone here"), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = M.sketches(docs, 3).where("n > 0").withColumnRenamed("doc_id", "rep")
+    steps = []
+    links = M.links(docs, reps, 3, 85, 100, steps)
+    found = {x for r in links.collect() for x in r}
+    left = [os.path.basename(step._scratch_path) for step in steps]
+    assert found == set(range(6))
+    assert not [x for x in left if x.startswith(("star-texts", "star-pairs", "star-hopeful", "lists"))]

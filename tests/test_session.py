@@ -45,3 +45,23 @@ def test_discard_deletes_only_materialised_steps(spark):
     assert step.count() == 3 and os.path.isdir(path)
     session.discard(spark.range(3), step)
     assert not os.path.exists(path)
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    from glob import glob
+    import os
+    import time
+
+    def files():
+        folders = [spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+        return {f for folder in folders for d in folder for f in glob(os.path.join(d, "**", "shuffle_*"), recursive=True)}
+
+    before, setting = files(), spark.conf.get(session.FREED, None)
+    shuffled = spark.range(1000).repartition(3, "id")
+    steps = [session.materialise(shuffled, "step"), session.bucketed(shuffled.groupBy("id").count(), ["id"], "step")]
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(session.FREED, None) == setting
+    assert [step.count() for step in steps] == [1000, 1000]
+    session.discard(*steps)
