@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import os
 import random
 from datetime import date, timedelta
 
@@ -208,6 +209,41 @@ def test_shortest_paths(spark, monkeypatch, rows_per_part, layers):
             assert step == pytest.approx(cost)
 
 
+@pytest.mark.parametrize("at_once, steps, nodes", [(200, 1_000_000, 2_000_000), (1_000_000, 1_000_000, 2_000_000), (200, 0, 5)])
+def test_shortest_paths_in_batches(spark, monkeypatch, at_once, steps, nodes):
+    """Only finished trees stay: what else was written is gone, and where edges go to the tree no round shuffles its rows."""
+    written, plans = [], []
+
+    def record(df, *args):
+        plans.append((args[-1], df._jdf.queryExecution().executedPlan().toString()))
+        out = bucketed(df, *args)
+        written.append((args[-1], out._scratch_path))
+        return out
+
+    bucketed = SP.bucketed
+    monkeypatch.setattr(SP, "bucketed", record)
+    monkeypatch.setattr(SP, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(SP, "BROADCAST_STEPS", steps)
+    monkeypatch.setattr(SP, "GROUP_NODES", nodes)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    conf = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    edges = random_edges(n=12, m=30)
+    ids = [*range(0, 40, 2), 4]  # one comes twice, some have no edge
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double")
+    paths = SP.shortest_paths(frame, spark.createDataFrame([(i,) for i in ids], "id long"), 4)
+    batches = sum(name == "finished" for name, _ in written)
+    assert (batches > 1) == (at_once == 200)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == conf
+    assert all(os.path.exists(path) == (name == "finished") for name, path in written)
+    if steps and at_once > 200:
+        assert all("Exchange hashpartitioning" not in plan for name, plan in plans if name in ("fresh", "finished"))
+    got = sorted((p["source"], p["target"], round(p["total_cost"], 9), len(p["node_ids"])) for p in paths.collect())
+    want = [(s, t, round(c, 9), h + 1) for s in ids for t, (c, h) in dijkstra(edges, s).items() if h <= 3]
+    assert got == sorted(want)
+    for p in paths.collect():
+        assert p["node_ids"][0] == p["source"] and p["node_ids"][-1] == p["target"] and p["costs"][0] == 0.0 and p["costs"][-1] == p["total_cost"]
+
+
 def test_the_tree_is_not_shuffled(spark, monkeypatch):
     """A round's plan reads the tree's buckets in place: no exchange lies over a layer on its way to what was tried."""
     plans = []
