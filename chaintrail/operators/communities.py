@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from chaintrail.operators.community_moves import coin, levels_in_task
 from chaintrail.operators.skew import ROWS_PER_PART, HotKeySplit
 from chaintrail.session import discard, materialise
 
 MAX_LEVELS = 10
 MAX_ITERATIONS = 10
 TOLERANCE = 1e-4
+LINKS_IN_TASK = 4_000_000  # links and nodes of a level that one task may hold, at about 200 bytes each
 
 
 def _labelled(edges: DataFrame, communities: DataFrame, rows_per_part: int) -> DataFrame:
@@ -97,6 +100,7 @@ def louvain_run(
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
     rows_per_part: int = ROWS_PER_PART,
+    in_task: int = 0,
 ) -> LouvainRun:
     """Communities (id, community) by weighted modularity, with a record of every level; direction is ignored.
 
@@ -108,6 +112,7 @@ def louvain_run(
 
     A turn is one job over the links, and writes one row per node. Sums over a community are added up before
     the shuffle; where a community or a hub has more than `rows_per_part` rows, joins with it are split over tasks.
+    Once a level has at most `in_task` links and nodes, that level and all after it are moved inside one task, turn by turn alike.
     """
     both = edges.where(F.col("src") != F.col("dst")).select(
         F.explode(
@@ -132,6 +137,12 @@ def louvain_run(
     kept = vertices  # what the membership reads
     ended = False
     for level in range(max_levels):
+        if in_task and links.count() + vertices.count() <= in_task:
+            further, membership, ended = _rest_in_task(links, vertices, membership, double_m, level, max_levels, max_iterations, tolerance, rows_per_part)
+            levels += further
+            if further and kept is not vertices:
+                discard(kept)
+            break
         improved, placed, turns, q, settled = _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, level)
         if not improved:
             ended = settled
@@ -139,11 +150,7 @@ def louvain_run(
             break
         named = materialise(_named_by_smallest(placed, rows_per_part), "named")
         discard(placed)
-        moved = named.select(F.col("id").alias("old"), F.col("community").alias("new"))
-        by_community = HotKeySplit(membership, "community", rows_per_part)
-        spread, few = by_community.spread(membership, ["id"]), by_community.repeat(moved, "old")
-        joined = spread.join(few, by_community.on(spread, few, "old")).select("id", F.col("new").alias("community"))
-        membership = materialise(joined, "membership")
+        membership = _renamed(membership, named, rows_per_part)
         if kept is not vertices:
             discard(kept)
         kept = membership
@@ -173,6 +180,28 @@ def louvain(edges: DataFrame, nodes: DataFrame, **options: object) -> DataFrame:
     return louvain_run(edges, nodes, **options).membership
 
 
+def _renamed(membership: DataFrame, named: DataFrame, rows_per_part: int) -> DataFrame:
+    """Members of each community under the community that it, as a node, went to."""
+    moved = named.select(F.col("id").alias("old"), F.col("community").alias("new"))
+    by_community = HotKeySplit(membership, "community", rows_per_part)
+    spread, few = by_community.spread(membership, ["id"]), by_community.repeat(moved, "old")
+    joined = spread.join(few, by_community.on(spread, few, "old")).select("id", F.col("new").alias("community"))
+    return materialise(joined, "membership")
+
+
+def _rest_in_task(links, vertices, membership, double_m, level, max_levels, max_iterations, tolerance, rows_per_part):
+    """The levels from `level` on, inside one task: (their record, the membership after them, did the last one settle)."""
+    settled = levels_in_task(links, vertices, double_m, level, max_levels, 2 * max_iterations + 1, tolerance)
+    told = settled.where(F.col("log").isNotNull()).select("log").first()
+    log = json.loads(told["log"]) if told else {"levels": [], "ended": True}
+    further = [Level(*x) for x in log["levels"]]
+    if further:
+        named = settled.select("id", "community")
+        membership = _renamed(membership, named, rows_per_part) if level else materialise(named, "membership")
+    discard(settled)
+    return further, membership, log["ended"]
+
+
 def _named_by_smallest(placed: DataFrame, rows_per_part: int) -> DataFrame:
     names = placed.groupBy("community").agg(F.min("id").alias("name"))
     split = HotKeySplit(placed, "community", rows_per_part)
@@ -230,7 +259,7 @@ def _move(links, vertices, double_m, max_iterations, tolerance, rows_per_part, l
             F.max(F.when(~F.col("own"), F.struct(gain.alias("gain"), F.col("c").alias("c")))).alias("best"),
         )
         stay = F.col("to_own") - F.col("k") * (F.col("own_sum") - F.col("k")) / F.lit(double_m)
-        goes = (F.pmod(F.xxhash64(F.col("id"), F.lit(level * 100 + turn)), F.lit(2)) == 0) & (
+        goes = (F.pmod(coin(F.col("id"), level, turn), F.lit(2)) == 0) & (
             F.col("best.gain") > stay + F.lit(1e-9 * double_m)
         )
         judged = options.select(
