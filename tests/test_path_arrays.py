@@ -29,9 +29,21 @@ def test_nearest_inside_tasks(spark, monkeypatch):
         assert not tree.exceptAll(every).count()  # a pair has its cost, steps and predecessor from the tree of all pairs
 
 
+def test_paths_inside_tasks(spark, monkeypatch):
+    frame, sources = graph(spark)
+    listed = lambda paths: sorted(map(repr, paths.collect()))
+    want = {most: listed(SP.shortest_paths(frame, sources, max_nodes=most)) for most in (10, 3)}
+    monkeypatch.setattr(SP, "_trees", no_rounds)
+    for most, rows in want.items():
+        assert rows and listed(SP.shortest_paths(frame, sources, max_nodes=most, steps_in_task=1_000)) == rows
+
+
 @pytest.mark.parametrize("last", [(3, 4, None), (3, 4, -0.01)])
 def test_odd_weights_and_many_edges_go_in_rounds(spark, monkeypatch, last):
     monkeypatch.setattr(SP, "nearest_in_tasks", no_rounds)
+    monkeypatch.setattr(SP, "paths_in_tasks", no_rounds)
     frame = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.25), last], EDGES)
     sources, targets = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(3,)], "target long")
     assert nearest(SP.shortest_path_tree(frame, sources, nearest_to=targets, steps_in_task=1_000), targets) == [(3, 2, 0.75, 1)]
+    assert len(SP.shortest_paths(frame, sources, steps_in_task=1_000).collect()) == 4
+    assert len(SP.shortest_paths(frame.where("src < 3"), sources, steps_in_task=1).collect()) == 3
