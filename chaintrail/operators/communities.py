@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from math import isfinite
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def louvain_run(
     kept = vertices  # what the membership reads
     ended = False
     for level in range(max_levels):
-        if in_task and links.count() + vertices.count() <= in_task:
+        if in_task and isfinite(double_m) and links.count() + vertices.count() <= in_task:
             further, membership, ended = _rest_in_task(links, vertices, membership, double_m, level, max_levels, max_iterations, tolerance, rows_per_part)
             levels += further
             if further and kept is not vertices:

@@ -47,3 +47,17 @@ def test_odd_weights_and_many_edges_go_in_rounds(spark, monkeypatch, last):
     assert nearest(SP.shortest_path_tree(frame, sources, nearest_to=targets, steps_in_task=1_000), targets) == [(3, 2, 0.75, 1)]
     assert len(SP.shortest_paths(frame, sources, steps_in_task=1_000).collect()) == 4
     assert len(SP.shortest_paths(frame.where("src < 3"), sources, steps_in_task=1).collect()) == 3
+
+
+@pytest.mark.parametrize("weight", ["nan", "inf"])
+def test_weights_without_a_sum_go_in_rounds(spark, monkeypatch, weight):
+    monkeypatch.setattr(SP, "paths_in_tasks", no_rounds)
+    frame = spark.createDataFrame([(1, 2, 0.5), (2, 3, float(weight))], EDGES)
+    paths = SP.shortest_paths(frame, spark.createDataFrame([(1,)], "id long"), steps_in_task=1_000)
+    assert sorted((r["target"], repr(r["total_cost"])) for r in paths.collect()) == [(1, "0.0"), (2, "0.5"), (3, weight)]
+
+
+def test_no_edges(spark):
+    sources = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    paths = SP.shortest_paths(spark.createDataFrame([], EDGES), sources, steps_in_task=1_000)
+    assert sorted((r["source"] or 0, r["node_ids"]) for r in paths.collect()) == [(0, [None]), (1, [1]), (1, [1])]
